@@ -6,7 +6,7 @@ import importlib
 
 from pitpanel.plans.registry import REGISTRY, Entry
 
-THEMES = ["calendar"]
+THEMES = ["calendar", "pointintime", "quality"]
 
 
 def registry() -> dict[str, Entry]:
