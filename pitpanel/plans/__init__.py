@@ -6,7 +6,7 @@ import importlib
 
 from pitpanel.plans.registry import REGISTRY, Entry
 
-THEMES = ["calendar", "pointintime", "quality"]
+THEMES = ["calendar", "pointintime", "quality", "features"]
 
 
 def registry() -> dict[str, Entry]:
