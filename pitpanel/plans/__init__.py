@@ -6,7 +6,7 @@ import importlib
 
 from pitpanel.plans.registry import REGISTRY, Entry
 
-THEMES = ["calendar", "pointintime", "quality", "features"]
+THEMES = ["calendar", "pointintime", "quality", "features", "forecast"]
 
 
 def registry() -> dict[str, Entry]:

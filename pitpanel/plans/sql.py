@@ -58,3 +58,42 @@ DAILY = """daily AS (
          CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 7.0 AS value, count(*) AS n,
          max_by(value, struct_pack(ts := ts, event_id := event_id)) / 7.0 AS last_value
   FROM events GROUP BY 1, 2)"""
+
+
+def hac_slope(name: str, src: str, y: str, x: str, lags: int) -> str:
+    """CTEs ending in ``name``(entity, n, slope, const, r2, se): one-regressor OLS, Bartlett HAC."""
+    weights = " + ".join(["s * s"] + [f"2 * {1 - j / (lags + 1)}::DOUBLE * s * coalesce(lag(s, {j}) OVER o, 0)" for j in range(1, lags + 1)])
+    return f"""{name}_f AS (SELECT entity, count(*) AS n, regr_slope({y}, {x}) AS b, regr_intercept({y}, {x}) AS a, regr_r2({y}, {x}) AS r2, avg({x}) AS mx, regr_sxx({y}, {x}) AS sxx
+   FROM {src} WHERE {y} IS NOT NULL AND {x} IS NOT NULL GROUP BY 1),
+ {name}_s AS (SELECT t.entity, t.ref_month, ({x} - mx) * ({y} - a - b * {x}) AS s FROM {src} t JOIN {name}_f f ON f.entity = t.entity WHERE {y} IS NOT NULL AND {x} IS NOT NULL),
+ {name}_w AS (SELECT entity, {weights} AS q FROM {name}_s WINDOW o AS (PARTITION BY entity ORDER BY ref_month)),
+ {name} AS (SELECT f.entity, n, b AS slope, a AS const, r2, sqrt(m.q) / sxx AS se FROM {name}_f f JOIN (SELECT entity, sum(q) AS q FROM {name}_w GROUP BY 1) m ON m.entity = f.entity)"""
+
+
+COMP = """comp AS (SELECT *, CASE WHEN gap_a IS NOT NULL AND gap_b IS NOT NULL THEN (0.5 * gap_a + 0.5 * gap_b) / 1.0 END AS ect FROM (
+  SELECT entity, ref_month, p, v, n, ln(p) AS level, CASE WHEN count(v) OVER o = 12 THEN ln(v / avg(v) OVER o) END AS gap_a,
+    CASE WHEN count(p) OVER o = 12 THEN ln(p / avg(p) OVER o) END AS gap_b FROM grid
+  WINDOW o AS (PARTITION BY entity ORDER BY ref_month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)))"""
+
+
+def target_cte(name: str, src: str, x: str, horizons: str) -> str:
+    return f"""{name} AS (SELECT c.entity, k.h, c.ref_month, c.{x} AS x, d.level - c.level AS y FROM {src} c CROSS JOIN (VALUES {horizons}) k(h)
+  LEFT JOIN {src} d ON d.entity = c.entity AND d.ref_month = CAST(c.ref_month + INTERVAL 1 MONTH * k.h AS DATE))"""
+
+
+def forecast_cte(name: str, tgt: str, min_train: int) -> str:
+    return f"""{name} AS (SELECT o.entity, o.h, o.ref_month, o.x, o.y, avg(t.y) AS f_drift, regr_intercept(t.y, t.x) + regr_slope(t.y, t.x) * o.x AS f_model,
+   regr_slope(t.y, t.x) AS slope, regr_intercept(t.y, t.x) AS const, count(*) AS n_train
+  FROM {tgt} o JOIN {tgt} t ON t.entity = o.entity AND t.h = o.h AND t.x IS NOT NULL AND t.y IS NOT NULL AND CAST(t.ref_month + INTERVAL 1 MONTH * t.h AS DATE) <= o.ref_month
+  WHERE o.x IS NOT NULL GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= {min_train})"""
+
+
+def mean_test_cte(name: str, src: str, x: str, by: str = "entity, h", lags: str = "h - 1") -> str:
+    """CTEs ending in ``name``(by, n, mean, t): Bartlett long-run variance of a mean."""
+    on = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in by.split(","))
+    cols = ", ".join(f"a.{c.strip()}" for c in by.split(","))
+    lag = lags.replace("h", "a.h") if "h" in lags else lags
+    return f"""{name}_d AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY ref_month) AS rn, {x} AS raw, {x} - avg({x}) OVER (PARTITION BY {by}) AS e FROM {src} WHERE {x} IS NOT NULL),
+ {name}_l AS (SELECT {cols}, sum(CASE WHEN a.rn = b.rn THEN 1.0 ELSE 2 * (1 - (a.rn - b.rn) / CAST({lag} + 1 AS DOUBLE)) END * a.e * b.e) AS q
+   FROM {name}_d a JOIN {name}_d b ON {on} AND b.rn <= a.rn AND a.rn - b.rn <= {lag} GROUP BY {cols}),
+ {name} AS (SELECT {cols}, count(*) AS n, avg(raw) AS mean, avg(raw) / sqrt(any_value(q) / count(*) / count(*)) AS t FROM {name}_d a JOIN {name}_l b ON {on} GROUP BY {cols})"""
