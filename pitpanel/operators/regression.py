@@ -14,10 +14,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitpanel.functions.columns import ordered
+from pitpanel.functions.columns import ordered, whole
 from pitpanel.functions.tails import p_chi2_upper, p_normal_two
 from pitpanel.operators.calendar import Keys
 
@@ -89,6 +89,11 @@ def gram(df: DataFrame, by: Keys, y: str, xs: Sequence[str], intercept: bool = T
                               F.sum(yy).alias("_sy"), F.sum(yy * yy).alias("_syy"))
 
 
+def attach(df: DataFrame, small: DataFrame, by: Keys) -> DataFrame:
+    """Join per-group results back to rows; without keys the result is one row."""
+    return df.join(small, list(by)) if by else df.crossJoin(F.broadcast(small))
+
+
 def ols(df: DataFrame, by: Keys, y: str, xs: Sequence[str], intercept: bool = True) -> DataFrame:
     """by, n, k, beta, inv, ssr, r2, se (classical), t."""
     k = len(xs) + int(intercept)
@@ -108,7 +113,7 @@ def fitted(xs: Sequence[str], intercept: bool = True, beta: str = "beta") -> Col
 
 def with_residuals(df: DataFrame, fit: DataFrame, by: Keys, y: str, xs: Sequence[str], intercept: bool = True) -> DataFrame:
     """Complete rows with ``fitted`` and ``resid`` of their group's fit."""
-    d = df.dropna(subset=[y, *xs]).join(fit.select(*by, "beta"), list(by))
+    d = attach(df.dropna(subset=[y, *xs]), fit.select(*by, "beta"), by)
     d = d.withColumn("fitted", fitted(xs, intercept))
     return d.withColumn("resid", F.col(y) - F.col("fitted")).drop("beta")
 
@@ -125,7 +130,6 @@ def long_run_products(df: DataFrame, by: Keys, time: str, scores: Sequence[str],
     Each score is first summed with its weighted lags, so k columns are lagged, not k x k. The
     matrix is not symmetric; its symmetric part is the long-run product."""
     if demean:
-        from pitpanel.functions.columns import whole
         df = df.withColumns({s: F.col(s) - F.avg(s).over(whole(by)) for s in scores})
     w = ordered(by, time)
     smooth = {f"_z_{s}": reduce(lambda a, b: a + b, [F.col(s)] + [
@@ -152,7 +156,7 @@ def ols_hac(df: DataFrame, by: Keys, time: str, y: str, xs: Sequence[str], lags:
     d = with_residuals(df, fit, by, y, xs, intercept)
     d = d.select(*by, time, *[(x * F.col("resid")).alias(n) for n, x in zip(names, design(xs, intercept))])
     meat = long_run_products(d, by, time, names, lags, max_lag).select(*by, "meat")
-    return _with_cov(fit.join(meat, list(by)).withColumn("cov", sandwich("inv", "meat")).drop("meat"), k)
+    return _with_cov(attach(fit, meat, by).withColumn("cov", sandwich("inv", "meat")).drop("meat"), k)
 
 
 def ols_clustered(df: DataFrame, by: Keys, cluster: str, y: str, xs: Sequence[str], intercept: bool = True) -> DataFrame:
@@ -163,7 +167,7 @@ def ols_clustered(df: DataFrame, by: Keys, cluster: str, y: str, xs: Sequence[st
     d = with_residuals(df, fit, by, y, xs, intercept)
     sums = d.groupBy(*by, cluster).agg(*[F.sum(x * F.col("resid")).alias(n) for n, x in zip(names, design(xs, intercept))])
     meat = sums.groupBy(*by).agg(F.count("*").alias("clusters"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).alias("meat"))
-    j = fit.join(meat, list(by)) if by else fit.crossJoin(meat)                            # one row each without keys
+    j = attach(fit, meat, by)
     g, n = F.col("clusters"), F.col("n")
     factor = g / (g - 1) * (n - 1) / (n - k)
     cov = F.transform(sandwich("inv", "meat"), lambda c: c * F.col("_f"))
@@ -180,7 +184,7 @@ def terms(fit: DataFrame, by: Keys, names: Sequence[str], p_values: bool = True,
 
 def contributions(df: DataFrame, fit: DataFrame, by: Keys, y: str, xs: Sequence[str]) -> DataFrame:
     """Each row's value split into coefficient x regressor, drift and residual (they add up)."""
-    d = df.dropna(subset=[y, *xs]).join(fit.select(*by, "beta"), list(by))
+    d = attach(df.dropna(subset=[y, *xs]), fit.select(*by, "beta"), by)
     d = d.withColumns({f"from_{x}": F.col("beta")[i + 1] * F.col(x) for i, x in enumerate(xs)}).withColumn("drift", F.col("beta")[0])
     parts = reduce(lambda a, b: a + b, [F.col(f"from_{x}") for x in xs])
     return d.withColumn("residual", F.col(y) - F.col("drift") - parts).drop("beta")
@@ -189,8 +193,6 @@ def contributions(df: DataFrame, fit: DataFrame, by: Keys, y: str, xs: Sequence[
 def window_attribution(df: DataFrame, by: Keys, time: str, y: str, xs: Sequence[str], windows: Sequence[int]) -> DataFrame:
     """Sums of contributions over the latest rows of each window length, with coefficients from
     all rows (``fit`` = full) and from the rows outside the window (``fit`` = outside)."""
-    from pyspark.sql import Window
-
     d = df.dropna(subset=[y, *xs])
     d = d.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(time).desc())))
     d = d.withColumn("months", F.explode(F.array(*[F.lit(m) for m in windows])))
@@ -242,6 +244,6 @@ def mean_test(df: DataFrame, by: Keys, time: str, x: str, lags: Column | int, ma
     d = df.where(F.col(x).isNotNull()).select(*by, time, F.col(x).alias("_x"), F.col(x).alias("_raw"))
     m = long_run_products(d, by, time, ["_x"], lags, max_lag, demean=True)
     means = d.groupBy(*by).agg(F.avg("_raw").alias("mean"))
-    j = m.join(means, list(by)) if by else m.crossJoin(means)                              # one row each without keys
+    j = attach(m, means, by)
     j = j.withColumn("var_of_mean", F.greatest(F.col("meat")[0] / F.col("n"), F.lit(1e-300)) / F.col("n"))
     return j.select(*by, "n", "mean", "var_of_mean", (F.col("mean") / F.sqrt("var_of_mean")).alias("t"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pitpanel", cpus: int = 8, memory: str = "12g") -> SparkSession:
@@ -25,7 +25,17 @@ def build_session(app: str = "pitpanel", cpus: int = 8, memory: str = "12g") ->
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names; a local one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pitpanel-ckpt-"))
-    return named or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pitpanel-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A panel that several passes read, written once to the checkpoint folder.
+
+    Meant for panels already reduced to one row per entity and period. A lost executor costs a
+    re-read, and the passes do not repeat the scans and joins that made the panel."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
