@@ -17,7 +17,7 @@ def sorted_percentile(ordered: Column, p: float) -> Column:
 
 
 def percentile(values: Column, p: float) -> Column:
-    return sorted_percentile(F.array_sort(F.filter(values, lambda x: x.isNotNull())), p)
+    return sorted_percentile(F.sort_array(F.filter(values, lambda x: x.isNotNull())), p)
 
 
 def dot(a: Column, b: Column) -> Column:

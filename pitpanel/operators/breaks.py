@@ -59,7 +59,7 @@ def _series(df: DataFrame, keys: Keys, time: str, y: str, x: str | None) -> Data
     """One row per key with its complete rows as a time-ordered array (bounded by the calendar)."""
     d = df.dropna(subset=[y] + ([x] if x else []))
     row = F.struct(F.col(time).alias("t"), (F.col(x) if x else F.lit(0.0)).alias("x"), F.col(y).alias("y"))
-    return d.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return d.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
 
 def _break_test(series: DataFrame, keys: Keys, with_x: bool, reps: int, block: int, seed: int, trim: float) -> DataFrame:

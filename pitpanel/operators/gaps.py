@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions.arrays import percentile
-from pitpanel.functions.columns import ordered, past, ratio, trailing, whole
+from pitpanel.functions.columns import ordered, past, ratio, whole
 from pitpanel.functions.draws import normal, uniform
 from pitpanel.operators.asof import asof
-from pitpanel.operators.calendar import Keys, trailing_asof, trailing_full
+from pitpanel.operators.calendar import Keys, trailing_full
 
 Q = "quarter"
 
@@ -51,11 +51,10 @@ def price_adjustment(q: DataFrame, prices: DataFrame, keys: Keys, price: str, wi
     """Part of a net bill due to prices above their norm, volumes fixed: net x (1 - norm / paid).
 
     Paid and norm are trailing means of the monthly price as of the quarter's last month."""
-    q = q.withColumn("_at", F.add_months(Q, 2))
-    probes = q.select(*keys, "_at")
-    paid = trailing_asof(prices, probes, keys, "ref_month", price, 3 * window, "_at").withColumnRenamed("norm", "price_paid")
-    norm = trailing_asof(prices, probes, keys, "ref_month", price, norm_months, "_at").withColumnRenamed("norm", "price_norm")
-    d = q.join(paid, [*keys, "_at"], "left").join(norm, [*keys, "_at"], "left").drop("_at")
+    seen = prices.where(F.col(price).isNotNull())
+    means = seen.select(*keys, "ref_month", trailing_full(keys, "ref_month", price, 3 * window).alias("price_paid"),
+                        trailing_full(keys, "ref_month", price, norm_months).alias("price_norm"))
+    d = asof(q.withColumn("_at", F.add_months(Q, 2)), means, keys, "_at", "ref_month", ["price_paid", "price_norm"]).drop("_at", "fact_time")
     d = d.withColumn("bill_pct", _roll(keys, "bill", window) / F.col("base_w") * 100)
     return d.withColumn("price_adjustment", F.col("bill_pct") * (1 - F.col("price_norm") / F.col("price_paid")))
 
@@ -106,8 +105,9 @@ def draw_table(spark: SparkSession, seed: int, draws: int, normals: Sequence[str
     ids = spark.range(1, draws + 1, numPartitions=1)
     cols = [normal(seed, s, F.col("id")).alias(s) for s in normals] + [uniform(seed, s, F.col("id")).alias(s) for s in uniforms]
     rows = ids.select("id", *cols)
-    lists = [F.transform(F.array_sort(F.collect_list(F.struct("id", s))), lambda x, s=s: x[s]).alias(s) for s in (*normals, *uniforms)]
-    return rows.agg(*lists)
+    ordered_rows = F.sort_array(F.collect_list(F.struct("id", *normals, *uniforms)))
+    d = rows.agg(ordered_rows.alias("_d"))
+    return d.select(*[F.col(f"_d.{s}").alias(s) for s in (*normals, *uniforms)])
 
 
 def band(q: DataFrame, spark: SparkSession, seed: int, draws: int, eta_x: float, eta_m: float, spread: float,
@@ -184,7 +184,7 @@ def conformal_fit(cal: DataFrame, by: Keys, level: float, with_shift: bool) -> D
     d = cal.withColumn("_shift", shift)
     c = F.col("mid") + F.col("_shift")
     score = F.when(F.col("x") >= c, (F.col("x") - c) / (F.col("hi") - F.col("mid"))).otherwise((c - F.col("x")) / (F.col("mid") - F.col("lo")))
-    g = d.withColumn("_s", score).groupBy(*by).agg(F.max("_shift").alias("shift"), F.array_sort(F.collect_list("_s")).alias("_s"))
+    g = d.withColumn("_s", score).groupBy(*by).agg(F.max("_shift").alias("shift"), F.sort_array(F.collect_list("_s")).alias("_s"))
     n = F.size("_s")
     place = F.least(n, F.ceil((n + 1) * F.lit(level)).cast("int"))
     return g.select(*by, n.alias("n_scores"), "shift", F.element_at("_s", place).alias("scale"))

@@ -78,7 +78,7 @@ def reconcile(df: DataFrame, keys: Keys, month: str, a: str, b: str, rel_tol: fl
          .withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(month).desc())))
          .withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_rel").desc(), month))))
     bad = F.col("_rel") > rel_tol
-    listed = F.transform(F.array_sort(F.collect_list(F.when(bad & (F.col("_rank") <= worst), F.struct("_rank", month)))),
+    listed = F.transform(F.sort_array(F.collect_list(F.when(bad & (F.col("_rank") <= worst), F.struct("_rank", month)))),
                          lambda x: F.date_format(x[month], "yyyy-MM"))
     return d.groupBy(*keys, "newer").agg(
         F.count("*").alias("overlap"), F.max("_rel").alias("max_rel_diff"),

@@ -17,6 +17,7 @@ from pitpanel.plans.calendar import E, grid
 from pitpanel.plans.inputs import table
 from pitpanel.plans.registry import query
 from pitpanel.plans.sql import COMP, GRID, NM, forecast_cte, mean_test_cte, rnd, target_cte, with_
+from pitpanel.session import settled
 
 HORIZONS = [1, 3, 6, 12]
 H_SQL = "(1), (3), (6), (12)"
@@ -84,7 +85,7 @@ def _(spark, sf):
 
 @query("forecast_test_pvalues", "H3 H4")
 def _(spark, sf):
-    f = fc_table(spark, sf)
+    f = settled(fc_table(spark, sf))
     by = ["entity", "h"]
     cw = fc.clark_west(f, by, "ref_month", 12).select(*by, "n", p_normal_upper("stat").alias("clark_west_p"))
     dm = fc.diebold_mariano(f, by, "ref_month", 12).select(*by, p_t_two("stat", F.col("n") - 1.0).alias("diebold_mariano_p"))
@@ -117,7 +118,7 @@ def _(spark, sf):
 
 @query("state_conditional_slope", "H7")
 def _(spark, sf):
-    d = comp_table(spark, sf).withColumn("prob", 1 / (1 + F.exp(-(F.col("n") - 7.5) / 3)))
+    d = settled(comp_table(spark, sf)).withColumn("prob", 1 / (1 + F.exp(-(F.col("n") - 7.5) / 3)))
     fit = fc.state_conditional(d, E, "ref_month", "level", "ect", "prob", 3)
     return out(rg.terms(fit, E, ["const", "x_calm", "x_stress"]), "coef", "se", "t", "p", "r2", keep=("entity", "n", "term"))
 
@@ -144,7 +145,7 @@ WINDOWS = [24, 36, 48]
  s AS (SELECT entity, w, count(*) AS n, sqrt(avg((y - f1) ** 2)) / sqrt(avg((y - f0) ** 2)) AS ratio FROM f GROUP BY 1, 2)
 SELECT entity, w AS "window", n AS n_oos, {rnd('ratio', 'rmse_ratio')}, {rnd('quantile_cont(ratio, 0.5) OVER (PARTITION BY entity)', 'median_ratio')} FROM s WHERE n >= 12""")
 def _(spark, sf):
-    c = comp_table(spark, sf)
+    c = settled(comp_table(spark, sf))
     runs = None
     for w in WINDOWS:
         s = fc.score_card(fc.forecasts(c, E, "ref_month", "level", "ect", [3], MIN_TRAIN, w), E, "ref_month").where("n_oos >= 12")
@@ -173,7 +174,7 @@ SCHEME_BASE = [NM, GRID, COMP, SCHEME_SQL, target_cte("tg", "sc", "x", "(3), (12
 
 
 def scheme_scores(spark, sf):
-    f = scheme_forecasts(spark, sf)
+    f = settled(scheme_forecasts(spark, sf))
     by = ["entity", "scheme", "h"]
     s = fc.score_card(f, by, "ref_month").where("n_oos >= 12").select(*by, "n_oos", "rmse_ratio")
     return s.join(fc.clark_west(f, by, "ref_month", 12).select(*by, F.col("stat").alias("cw")), by)
@@ -217,7 +218,7 @@ def _(spark, sf):
 
 def likelihoods(spark, sf):
     t = fc.targets(comp_table(spark, sf), E, "ref_month", "level", ["ect"], [3])
-    both = t.dropna(subset=["y", "ect"])
+    both = settled(t.dropna(subset=["y", "ect"]))
     null, alt = rg.ols(both, E, "y", []), rg.ols(both, E, "y", ["ect"])
     rows = [d.select("entity", "n", F.lit(name).alias("model"), "k", "ssr") for name, d in (("constant", null), ("gap", alt))]
     return br.likelihood_table(rows[0].unionByName(rows[1]), E, "constant")

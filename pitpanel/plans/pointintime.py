@@ -12,6 +12,7 @@ from pitpanel.plans.calendar import TWO_GRID, E, grid, two_grid
 from pitpanel.plans.inputs import long_panel, monthly_panel, releases, two_sources
 from pitpanel.plans.registry import query
 from pitpanel.plans.sql import GRID, LONG, NM, REL, TWO, rnd, with_
+from pitpanel.session import settled
 
 # Fixed settings: series, months until public, months a late print may be carried.
 SETTINGS = [("v", 1, 2), ("p", 2, 2), ("n", 0, 0)]
@@ -129,13 +130,13 @@ KNOWN = """kn AS (SELECT entity, ref_month, t.info_month, max_by(value, realtime
   ON realtime_start <= last_day(t.info_month) GROUP BY 1, 2, 3)"""
 
 
-def known(spark, sf):
-    return pit.known_each_month(releases(spark, sf), E, F.lit(UNTIL).cast("date"))
+def known(rel):
+    return pit.known_each_month(rel, E, F.lit(UNTIL).cast("date"))
 
 
 @query("series_as_known", "C5", with_(REL, KNOWN) + f"SELECT entity, ref_month, info_month, {rnd('value', 'value')} FROM kn")
 def _(spark, sf):
-    return known(spark, sf).withColumn("value", r6("value"))
+    return known(releases(spark, sf)).withColumn("value", r6("value"))
 
 
 YOY = """lt AS (SELECT entity, info_month, max(ref_month) AS ref_month FROM kn GROUP BY 1, 2),
@@ -146,7 +147,7 @@ YOY = """lt AS (SELECT entity, info_month, max(ref_month) AS ref_month FROM kn G
 
 @query("yoy_as_known", "C6", with_(REL, KNOWN, YOY) + f"SELECT entity, info_month, ref_month, {rnd('yoy', 'yoy')} FROM yo")
 def _(spark, sf):
-    return pit.yoy_as_known(known(spark, sf), E).withColumn("yoy", r6("yoy"))
+    return pit.yoy_as_known(known(releases(spark, sf)), E).withColumn("yoy", r6("yoy"))
 
 
 @query("first_release", "C7", with_(REL, FIRSTQ) + f"SELECT entity, ref_month, released, {rnd('value', 'value')} FROM fr")
@@ -161,8 +162,9 @@ def _(spark, sf):
 SELECT yo.entity, count(*) AS n, min(yo.info_month) AS first, {rnd('avg(abs(yo.yoy - rv.yoy))', 'mean_abs')}, {rnd('max(abs(yo.yoy - rv.yoy))', 'max_abs')}
 FROM yo JOIN rv ON rv.entity = yo.entity AND rv.info_month = yo.info_month WHERE yo.yoy IS NOT NULL AND rv.yoy IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
-    rt = pit.yoy_as_known(known(spark, sf), E)
-    final = cal.spine(pit.last_release(releases(spark, sf), E), E, "ref_month", ["value"])
+    rel = settled(releases(spark, sf))
+    rt = pit.yoy_as_known(known(rel), E)
+    final = cal.spine(pit.last_release(rel, E), E, "ref_month", ["value"])
     rev = final.select("entity", F.add_months("ref_month", 1).alias("info_month"), sp.year_on_year(E, "ref_month", "value").alias("revised"))
     d = rt.join(rev, ["entity", "info_month"]).where("yoy is not null and revised is not null")
     gap = F.abs(F.col("yoy") - F.col("revised"))
@@ -235,8 +237,7 @@ COMPARE = f"""count(*) AS n_months, CAST(sum(CASE WHEN abs(gl - ge) > 1e-9 THEN
   {rnd('max_by(gl - ge, ref_month)', 'last_diff')}, {rnd('avg(abs(dlev))', 'mean_abs_level')}, {rnd('avg(abs(dnorm))', 'mean_abs_norm')}"""
 
 
-def revision_runs(spark, sf):
-    two = two_sources(spark, sf)
+def revision_runs(two):
     return [gap_run(sp.merge_vintages(two, E, "ref_month", "a", "b", later_wins=w)) for w in (True, False)]
 
 
@@ -246,14 +247,15 @@ def rounded(d, skip=("entity", "n_months", "n_changed", "max_month", "last_month
 
 @query("vintage_comparison", "C13", with_(NM, TWO, TWO_GRID) + MERGED + f"SELECT entity, {COMPARE} FROM c GROUP BY 1")
 def _(spark, sf):
-    current, early = revision_runs(spark, sf)
+    current, early = revision_runs(settled(two_sources(spark, sf)))
     return rounded(pit.compare_runs(current, early, E, "ref_month", "gap", ["level", "norm"]))
 
 
 @query("revision_effect", "C14", with_(NM, TWO, TWO_GRID) + MERGED + f"SELECT entity, {COMPARE} FROM c WHERE ref_month <= eb + INTERVAL 3 MONTH GROUP BY 1")
 def _(spark, sf):
-    current, early = revision_runs(spark, sf)
-    ends = two_sources(spark, sf).where("b is not null").groupBy("entity").agg(F.add_months(F.max("ref_month"), 3).alias("until"))
+    two = settled(two_sources(spark, sf))
+    current, early = revision_runs(two)
+    ends = two.where("b is not null").groupBy("entity").agg(F.add_months(F.max("ref_month"), 3).alias("until"))
     cut = lambda d: d.join(ends, "entity").where(F.col("ref_month") <= F.col("until")).drop("until")
     return rounded(pit.compare_runs(cut(current), early, E, "ref_month", "gap", ["level", "norm"]))
 

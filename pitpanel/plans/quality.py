@@ -13,6 +13,7 @@ from pitpanel.plans.inputs import monthly_panel, releases, table, two_sources
 from pitpanel.plans.pointintime import gap_run
 from pitpanel.plans.registry import query
 from pitpanel.plans.sql import GRID, NM, REL, TWO, rnd, with_
+from pitpanel.session import settled
 
 # A text copy of the events as a source file would hold them: two date styles, some cells
 # broken, one event in 41 repeated under the key of its neighbour.
@@ -88,7 +89,7 @@ FLAT = """fl AS (SELECT entity, min(ref_month) AS first, max(ref_month) AS last,
 SELECT * FROM fl WHERE NOT (entity IN (SELECT entity FROM fl GROUP BY 1 HAVING min(first) = fl.first) AND entity % 2 = 0)""".replace(
     "entity IN (SELECT entity FROM fl GROUP BY 1 HAVING min(first) = fl.first)", "first = (SELECT min(f2.first) FROM fl f2 WHERE f2.entity = fl.entity)"))
 def _(spark, sf):
-    nm = monthly_panel(spark, sf)
+    nm = settled(monthly_panel(spark, sf))
     runs = qc.flat_runs(nm, E, "ref_month", "n", 2)
     # the verified list: the first run of every even entity
     verified = (runs.groupBy("entity").agg(F.min("first").alias("first"), F.min_by("last", "first").alias("last"))
@@ -150,7 +151,7 @@ STATUS = "CASE WHEN rows_before = 0 THEN 'new series' WHEN rows_after = 0 THEN '
 
 
 def snapshots(spark, sf):
-    rel = releases(spark, sf)
+    rel = settled(releases(spark, sf))
     cut = lambda d, day: pit.last_release(d.where(F.col("realtime_start") <= F.lit(day).cast("date")), E)
     gone = (F.col("entity") == 4) & (F.col("ref_month") < F.lit("1996-01-01").cast("date"))
     return cut(rel.where("entity <> 5"), "2000-03-31"), cut(rel.where("entity <> 3").where(~gone), "2000-09-30")
@@ -212,7 +213,7 @@ SELECT entity, 'gap' AS code, strftime(min(ref_month), '%Y-%m') AS detail, count
 UNION ALL SELECT entity, 'stale', strftime(m, '%Y-%m'), datediff('month', m, DATE '2001-12-01') FROM e WHERE datediff('month', m, DATE '2001-12-01') > 3
 UNION ALL SELECT entity, 'flat', strftime(first, '%Y-%m'), length FROM fl""")
 def _(spark, sf):
-    return qc.warnings(monthly_panel(spark, sf), E, "ref_month", "n", F.lit("2001-12-10").cast("date"), 3, 2)
+    return qc.warnings(settled(monthly_panel(spark, sf)), E, "ref_month", "n", F.lit("2001-12-10").cast("date"), 3, 2)
 
 
 @query("null_count_interpolate", "D15", with_(NM, TWO, TWO_GRID, HOLES, INTERP) + f"""
