@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pitpanel.functions.arrays import percentile
 from pitpanel.functions.columns import past, r6
-from pitpanel.functions.draws import normal, pick
 from pitpanel.operators import calendar as cal
 from pitpanel.operators import gaps as gp
 from pitpanel.operators.forecast import targets
@@ -346,10 +345,10 @@ def _(spark, sf):
     two = comp_table(spark, sf).where("ect is not null").groupBy("entity", F.trunc("ref_month", "QUARTER").alias("quarter")).agg(
         F.max_by("ect", "ref_month").alias("e2"), F.max_by("n", "ref_month").alias("n2"))
     q = q.join(two, ["entity", "quarter"])
-    ids = F.sequence(F.lit(1), F.lit(P["draws"]))
+    q = q.join(F.broadcast(gp.draw_table(spark, 23, P["draws"], ["z_two"], ["scheme"])))       # one row
     q = q.withColumns({
-        "draws_a": F.transform(ids, lambda i: F.col("e2") + 0.05 * normal(23, "z_two", i)),
+        "draws_a": F.transform("z_two", lambda z: F.col("e2") + 0.05 * z),
         "weights": F.array(F.lit(0.5), F.lit(0.25), 1.0 / (1.0 + F.col("n2"))),
-        "picks": F.transform(ids, lambda i: pick(23, "scheme", F.lit(3), i))})
+        "picks": F.transform("scheme", lambda u: F.floor(u * 3).cast("int"))})
     q = q.withColumn("joint", gp.combine_draws(q, "draws_a", "draws_b", "weights", "picks"))
     return q.select("entity", "quarter", *[r6(percentile(F.col("joint"), p)).alias(n) for n, p in (("lo", 0.1), ("mid", 0.5), ("hi", 0.9))])
