@@ -153,7 +153,6 @@ def cluster_bootstrap(df: DataFrame, entity: str, time: str, y: str, xs: Sequenc
 
 def refit_origins(df: DataFrame, keys: Keys, time: str, y: str, xs: Sequence[str], at_least: int, every: int) -> DataFrame:
     """Rows under each refit origin: an expanding sample, re-estimated every ``every`` complete rows."""
-
     d = df.withColumn("_ok", reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *xs)]))
     d = d.withColumn("_k", F.when(F.col("_ok"), F.row_number().over(ordered([*keys, "_ok"], time))))
     origin = F.col("_ok") & (F.col("_k") >= at_least) & ((F.col("_k") - at_least) % every == 0)
