@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _clean(x: float) -> bool:
@@ -75,22 +76,22 @@ def t_sf(x: float, df: float) -> float:
     return half if x >= 0 else 1.0 - half
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_normal_upper(x: pd.Series) -> pd.Series:
     """P(Z > x)."""
     return x.map(lambda v: normal_sf(v) if _clean(v) else None).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_normal_two(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 2 * normal_sf(abs(v)) if _clean(v) else None).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(max(a, 0.0), b) if _clean(a) and b > 0 else None for a, b in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_t_two(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([2 * t_sf(abs(a), b) if _clean(a) and b > 0 else None for a, b in zip(x, df)], dtype="float64")

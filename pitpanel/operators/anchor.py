@@ -17,7 +17,7 @@ from pitpanel.operators.asof import asof
 from pitpanel.operators.calendar import Keys
 from pitpanel.operators.features import dynamic_terms
 from pitpanel.operators.gaps import draw_table
-from pitpanel.operators.regression import attach, ols_clustered, ols_hac, solve_gram
+from pitpanel.operators.regression import NUMBERS, attach, ols_clustered, ols_hac, solve_gram
 
 
 def dynamic_rows(df: DataFrame, keys: Keys, time: str, y: str, xs: Sequence[str], k: int) -> tuple[DataFrame, list[str]]:
@@ -83,7 +83,7 @@ def anchor_gaps(months: DataFrame, panel: DataFrame, fit: DataFrame, effects: Da
     return m.withColumns({"gap_log": F.col("star") - F.col("level"), "misalignment_pct": (F.exp(F.col("star") - F.col("level")) - 1) * 100})
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(NUMBERS)
 def cholesky(v: pd.Series) -> pd.Series:
     """Lower factor of a covariance matrix (row-major); tiny negative roots count as zero."""
     out = []

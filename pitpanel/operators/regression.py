@@ -16,12 +16,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pitpanel.functions.columns import ordered, whole
 from pitpanel.functions.tails import p_chi2_upper, p_normal_two
 from pitpanel.operators.calendar import Keys
 
-SOLUTION = "beta array<double>, inv array<double>, ssr double"
+NUMBERS = ArrayType(DoubleType())
+# a string here would need a running session at import time
+SOLUTION = StructType([StructField("beta", NUMBERS), StructField("inv", NUMBERS), StructField("ssr", DoubleType())])
 
 
 def _square(values: pd.Series) -> np.ndarray:
@@ -50,13 +53,13 @@ def solve_gram(gram: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["beta", "inv", "ssr"])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(NUMBERS)
 def sandwich(inv: pd.Series, meat: pd.Series) -> pd.Series:
     out = [(a @ (m + m.T) / 2 @ a).ravel().tolist() for a, m in zip(_square(inv), _square(meat))] if len(inv) else []
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def quadratic_form(vector: pd.Series, matrix: pd.Series) -> pd.Series:
     """v' pinv(M) v."""
     out = []

@@ -6,7 +6,7 @@ import importlib
 
 from pitpanel.plans.registry import REGISTRY, Entry
 
-THEMES = ["calendar", "pointintime", "quality", "features", "forecast", "regression", "gaps", "sources", "anchor", "dynamics"]
+THEMES = ["calendar", "pointintime", "quality", "features", "forecast", "regression", "gaps", "sources", "anchor", "dynamics", "refresh"]
 
 
 def registry() -> dict[str, Entry]:
