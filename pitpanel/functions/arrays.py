@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,5 +20,11 @@ def percentile(values: Column, p: float) -> Column:
     return sorted_percentile(F.sort_array(F.filter(values, lambda x: x.isNotNull())), p)
 
 
+def with_percentiles(df: DataFrame, values: str, levels: dict[str, float]) -> DataFrame:
+    """Named percentiles of an array column; the array is sorted once."""
+    d = df.withColumn("_sorted", F.sort_array(F.filter(values, lambda x: x.isNotNull())))
+    return d.withColumns({n: sorted_percentile(F.col("_sorted"), p) for n, p in levels.items()}).drop("_sorted")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

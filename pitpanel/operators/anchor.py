@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.functions.arrays import percentile
+from pitpanel.functions.arrays import with_percentiles
 from pitpanel.functions.columns import ordered, whole
 from pitpanel.functions.draws import pick
 from pitpanel.operators.asof import asof
@@ -115,7 +115,7 @@ def parameter_band(gaps: DataFrame, xs: Sequence[str], seed: int, draws: int, le
         return F.col("gap_log") + F.col("alpha_se") * F.get(F.col("z_alpha"), i) + slopes
 
     d = d.withColumn("_draws", F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), one))
-    d = d.withColumns({f"gap_p{round(100 * p)}": percentile(F.col("_draws"), p) for p in levels})
+    d = with_percentiles(d, "_draws", {f"gap_p{round(100 * p)}": p for p in levels})
     return d.drop("_draws", "_l", "z_alpha", *names, *[f"_w{j}" for j in range(m)])
 
 

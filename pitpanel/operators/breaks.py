@@ -31,7 +31,7 @@ def _candidates(df: DataFrame, keys: Keys, time: str, y: str, x: str | None, tri
                        "_right": _ssr(y, x, back.rowsBetween(Window.unboundedPreceding, 0))})
     inside = (F.col("_i") >= F.floor(F.col("n") * F.lit(trim))) & (F.col("_i") < F.floor(F.col("n") * F.lit(1 - trim)))
     split = F.col("_left") + F.col("_right")
-    return d.where(inside).withColumn("_f", (F.col("_all") - split) / k / (split / (F.col("n") - 2 * k)))
+    return d.where(inside & (F.col("n") > 2 * k)).withColumn("_f", (F.col("_all") - split) / k / (split / (F.col("n") - 2 * k)))
 
 
 def sup_wald(df: DataFrame, keys: Keys, time: str, y: str, x: str | None, trim: float = 0.15) -> DataFrame:

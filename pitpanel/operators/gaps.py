@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitpanel.functions.arrays import percentile
+from pitpanel.functions.arrays import with_percentiles
 from pitpanel.functions.columns import ordered, past, ratio, whole
 from pitpanel.functions.draws import normal, uniform
 from pitpanel.operators.asof import asof
@@ -127,7 +127,7 @@ def band(q: DataFrame, spark: SparkSession, seed: int, draws: int, eta_x: float,
 
     d = d.withColumn("gap_draws", F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), one))
     d = d.drop("z_norm", "z_balance", "u_x", "u_m", "u_share", "u_back")
-    return d.withColumns({f"gap_p{round(100 * p)}": percentile(F.col("gap_draws"), p) for p in levels})
+    return with_percentiles(d, "gap_draws", {f"gap_p{round(100 * p)}": p for p in levels})
 
 
 def monthly_view(q: DataFrame, months: DataFrame, keys: Keys, price: str, cols: Sequence[str], lo: str, hi: str) -> DataFrame:

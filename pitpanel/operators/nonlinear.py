@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.functions.arrays import percentile
+from pitpanel.functions.arrays import sorted_percentile
 from pitpanel.functions.columns import past
 from pitpanel.operators.calendar import Keys
 from pitpanel.operators.forecast import forecasts, per_horizon, targets
@@ -52,8 +52,8 @@ def linear_forecasts(o: DataFrame) -> DataFrame:
 def threshold_forecasts(o: DataFrame, by: Keys, time: str, quantiles: Sequence[float], min_side: int = 12) -> DataFrame:
     """Slope inside and outside a band of |x|; the band edge is the quantile with the smallest
     sum of squares among those leaving ``min_side`` rows on either side, else the linear fit."""
-    d = linear_forecasts(o).withColumn("_abs", F.transform("train", lambda r: F.abs(r["x"])))
-    d = d.withColumn("c", F.explode(F.array(*[percentile(F.col("_abs"), q) for q in quantiles])))
+    d = linear_forecasts(o).withColumn("_abs", F.sort_array(F.transform("train", lambda r: F.abs(r["x"]))))
+    d = d.withColumn("c", F.explode(F.array(*[sorted_percentile(F.col("_abs"), q) for q in quantiles])))
     inside = F.size(F.filter("_abs", lambda a: a <= F.col("c")))
     d = d.withColumn("_in", inside).withColumn("_usable", (F.col("_in") >= min_side) & (F.col("n_train") - F.col("_in") >= min_side))
     step = lambda r: [F.lit(1.0), F.when(F.abs(r["x"]) <= F.col("c"), r["x"]).otherwise(0.0),

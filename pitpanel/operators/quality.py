@@ -169,8 +169,8 @@ def headline_change(old: DataFrame, new: DataFrame, keys: Keys, month: str, tota
     weight = sum(parts.values())
 
     def last(d: DataFrame, tag: str) -> DataFrame:
-        row = F.max_by(F.struct(month, total, *parts), F.when(F.col(total).isNotNull(), F.col(month)))
-        return d.groupBy(*keys).agg(row.alias(tag))
+        row = F.max_by(F.struct(month, total, *parts), month)
+        return d.where(F.col(total).isNotNull()).groupBy(*keys).agg(row.alias(tag))
 
     j = last(old, "o").join(last(new, "n"), list(keys))
     return j.select(*keys, F.col(f"o.{month}").alias("previous_asof"), F.col(f"n.{month}").alias("asof"),

@@ -217,14 +217,14 @@ MIX = """mx AS (SELECT entity, ref_month, ret, avg(ret) OVER w AS m, stddev_samp
    - ln(exp(-0.5 * ((ret - m) / s) ** 2) / (s * 2.5066282746310002::DOUBLE)) AS d FROM mx)"""
 
 
-@query("mixture_score_difference", "H18", with_(NM, GRID, MIX, mean_test_cte("mt", "sd", "d", "entity", "3")) + f"SELECT entity, n, {rnd('mean', 'mean')}, {rnd('t', 't')} FROM mt")
+@query("mixture_score_difference", "H18", with_(NM, GRID, MIX, mean_test_cte("mt", "sd", "d", "entity", "3")) + f"SELECT entity, n, {rnd('mean', 'mean')}, {rnd('t', 't')} FROM mt WHERE n >= 12")
 def _(spark, sf):
     d = returns(spark, sf).where("ret is not null")
     m, s = F.avg("ret").over(whole(E)), F.stddev_samp("ret").over(whole(E))
     d = d.withColumns({"m": m, "s": s})
     dens = lambda k: rm._density(F.col("ret"), F.col("m"), k * F.col("s"))
     d = d.withColumn("d", F.log(0.5 * dens(0.6) + 0.5 * dens(1.5)) - F.log(dens(1.0)))
-    return out(mean_test(d, E, "ref_month", "d", 3), "mean", "t", keep=("entity", "n"))
+    return out(mean_test(d, E, "ref_month", "d", 3).where("n >= 12"), "mean", "t", keep=("entity", "n"))
 
 
 TRANS = """st AS (SELECT event_type, day, CAST(CASE WHEN value > avg(value) OVER (PARTITION BY event_type) THEN 1 ELSE 0 END AS INT) AS s FROM daily),

@@ -208,7 +208,7 @@ def _(spark, sf):
 @query("rank_agreement", "K4", with_(NM, GRID, GAPS) + f"""
 , y AS (SELECT entity, year(ref_month) AS yr, avg(gap) AS g, avg(bench) AS b FROM gaps WHERE gap IS NOT NULL AND bench IS NOT NULL GROUP BY 1, 2),
  r AS (SELECT *, rank() OVER (PARTITION BY yr ORDER BY g) AS r1, rank() OVER (PARTITION BY yr ORDER BY b) AS r2, g - avg(g) OVER (PARTITION BY entity) AS d1, b - avg(b) OVER (PARTITION BY entity) AS d2 FROM y),
- t AS (SELECT yr, corr(r1, r2) AS c FROM r GROUP BY 1)
+ t AS (SELECT yr, CASE WHEN NOT isnan(corr(r1, r2)) THEN corr(r1, r2) END AS c FROM r GROUP BY 1)
 SELECT count(*) AS n, {rnd('corr(g, b)', 'pooled_corr')}, {rnd('corr(d1, d2)', 'within_corr')}, {rnd('avg(CASE WHEN sign(g) = sign(b) THEN 1.0 ELSE 0.0 END)', 'same_sign')},
  {rnd('(SELECT avg(c) FROM t)', 'mean_rank_corr')}, {rnd('(SELECT min(c) FROM t)', 'min_rank_corr')} FROM r""")
 def _(spark, sf):

@@ -131,7 +131,7 @@ def _(spark, sf):
 SELECT f.entity, f.h, as_of, train_from, train_to, {rnd('l.x', 'x')}, {rnd('b', 'slope')}, {rnd('a + b * l.x', 'forecast')}, {rnd('drift', 'drift_only')}
 FROM f JOIN m USING (entity, h) JOIN l USING (entity, h)""")
 def _(spark, sf):
-    d = fc.current_forecast(comp_table(spark, sf), E, "ref_month", "level", "ect", HORIZONS, 36)
+    d = fc.current_forecast(comp_table(spark, sf), E, "ref_month", "level", "ect", HORIZONS, 36).where("train_from is not null")
     return out(d, "x", "slope", "forecast", "drift_only", keep=("entity", "h", "as_of", "train_from", "train_to"))
 
 
@@ -209,7 +209,7 @@ def _(spark, sf):
 
 
 @query("log_likelihood_table", "H20", with_(NM, GRID, COMP, target_cte("tg", "comp", "ect", "(3)")) + f"""
-, f AS (SELECT entity, count(*) AS n, regr_syy(y, x) AS s0, regr_syy(y, x) - regr_slope(y, x) ** 2 * regr_sxx(y, x) AS s1 FROM tg WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+, f AS (SELECT entity, count(*) AS n, regr_syy(y, x) AS s0, regr_syy(y, x) - regr_slope(y, x) ** 2 * regr_sxx(y, x) AS s1 FROM tg WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1 HAVING count(*) > 2),
  l AS (SELECT entity, n, 'constant' AS model, 2 AS k, -n / 2.0 * (ln(2 * pi() * s0 / n) + 1) AS ll, s0, s0 AS s FROM f UNION ALL SELECT entity, n, 'gap', 3, -n / 2.0 * (ln(2 * pi() * s1 / n) + 1), s0, s1 FROM f)
 SELECT entity, n, model, k, {rnd('ll', 'loglik')}, {rnd('2 * k - 2 * ll', 'aic')}, {rnd('k * ln(n) - 2 * ll', 'bic')}, {rnd('n * ln(s0 / s)', 'lr')} FROM l""")
 def _(spark, sf):
@@ -219,7 +219,7 @@ def _(spark, sf):
 def likelihoods(spark, sf):
     t = fc.targets(comp_table(spark, sf), E, "ref_month", "level", ["ect"], [3])
     both = settled(t.dropna(subset=["y", "ect"]))
-    null, alt = rg.ols(both, E, "y", []), rg.ols(both, E, "y", ["ect"])
+    null, alt = rg.ols(both, E, "y", []).where("n > 2"), rg.ols(both, E, "y", ["ect"])
     rows = [d.select("entity", "n", F.lit(name).alias("model"), "k", "ssr") for name, d in (("constant", null), ("gap", alt))]
     return br.likelihood_table(rows[0].unionByName(rows[1]), E, "constant")
 
@@ -258,11 +258,11 @@ def _(spark, sf):
    regr_syy(b.y, b.x) FILTER (b.i < a.i) - regr_sxy(b.y, b.x) FILTER (b.i < a.i) ** 2 / regr_sxx(b.y, b.x) FILTER (b.i < a.i)
    + regr_syy(b.y, b.x) FILTER (b.i >= a.i) - regr_sxy(b.y, b.x) FILTER (b.i >= a.i) ** 2 / regr_sxx(b.y, b.x) FILTER (b.i >= a.i) AS ssr1
    FROM d a JOIN d b ON b.entity = a.entity WHERE a.i >= CAST(floor(a.n * 0.15::DOUBLE) AS INT) AND a.i < CAST(floor(a.n * 0.85::DOUBLE) AS INT) GROUP BY 1, 2, 3, 4),
- f AS (SELECT c.*, (ssr0 - ssr1) / 2 / (ssr1 / (n - 4)) AS F FROM c JOIN s0 USING (entity))
+ f AS (SELECT c.*, (ssr0 - ssr1) / 2 / (ssr1 / (n - 4)) AS F FROM c JOIN s0 USING (entity) WHERE n >= 12)
 SELECT entity, n, {rnd('max(F)', 'stat')}, arg_max(ref_month, F) AS at FROM f GROUP BY 1, 2""")
 def _(spark, sf):
     t = fc.targets(comp_table(spark, sf), E, "ref_month", "level", ["ect"], [3])
-    return br.sup_wald(t, E, "ref_month", "y", "ect").select("entity", "n", r6("stat").alias("stat"), "at")
+    return br.sup_wald(t, E, "ref_month", "y", "ect").where("n >= 12").select("entity", "n", r6("stat").alias("stat"), "at")
 
 
 @query("sup_wald_mean_break", "H13", with_(NM, GRID, COMP) + f"""
@@ -270,11 +270,11 @@ def _(spark, sf):
  s0 AS (SELECT entity, var_pop(y) * count(*) AS ssr0 FROM d GROUP BY 1),
  c AS (SELECT a.entity, a.i AS j, a.ref_month, a.n, var_pop(b.y) FILTER (b.i < a.i) * count(*) FILTER (b.i < a.i) + var_pop(b.y) FILTER (b.i >= a.i) * count(*) FILTER (b.i >= a.i) AS ssr1
    FROM d a JOIN d b ON b.entity = a.entity WHERE a.i >= CAST(floor(a.n * 0.15::DOUBLE) AS INT) AND a.i < CAST(floor(a.n * 0.85::DOUBLE) AS INT) GROUP BY 1, 2, 3, 4),
- f AS (SELECT c.*, (ssr0 - ssr1) / 1 / (ssr1 / (n - 2)) AS F FROM c JOIN s0 USING (entity))
+ f AS (SELECT c.*, (ssr0 - ssr1) / 1 / (ssr1 / (n - 2)) AS F FROM c JOIN s0 USING (entity) WHERE n >= 12)
 SELECT entity, n, {rnd('max(F)', 'stat')}, arg_max(ref_month, F) AS at FROM f GROUP BY 1, 2""")
 def _(spark, sf):
     d = br.sup_wald(comp_table(spark, sf), E, "ref_month", "gap_a", None)
-    return d.select("entity", "n", r6("stat").alias("stat"), "at")
+    return d.where("n >= 12").select("entity", "n", r6("stat").alias("stat"), "at")
 
 
 @query("break_bootstrap", "H14")

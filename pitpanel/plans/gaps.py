@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitpanel.functions.arrays import percentile
+from pitpanel.functions.arrays import with_percentiles
 from pitpanel.functions.columns import past, r6
 from pitpanel.operators import calendar as cal
 from pitpanel.operators import gaps as gp
@@ -166,8 +166,8 @@ def _(spark, sf):
 
 @query("monthly_gap_view", "F11", with_(*BASE, DRAWS) + f"""
 , fx AS (SELECT qg.*, g10, g90 FROM qg JOIN bd ON bd.entity = qg.entity AND bd.quarter = qg.quarter WHERE gap IS NOT NULL)
-SELECT grid.entity, grid.ref_month, fx.quarter, {rnd('ln(1 + fx.gap / 100)', 'gap_log')}, {rnd('grid.p * exp(-ln(1 + fx.gap / 100))', 'fair')},
- {rnd('grid.p * exp(-ln(1 + g90 / 100))', 'fair_strong')}, {rnd('grid.p * exp(-ln(1 + g10 / 100))', 'fair_weak')}
+SELECT grid.entity, grid.ref_month, fx.quarter, {rnd('ln(CASE WHEN 1 + fx.gap / 100 > 0 THEN 1 + fx.gap / 100 END)', 'gap_log')}, {rnd('grid.p / CASE WHEN 1 + fx.gap / 100 > 0 THEN 1 + fx.gap / 100 END', 'fair')},
+ {rnd('grid.p / CASE WHEN 1 + g90 / 100 > 0 THEN 1 + g90 / 100 END', 'fair_strong')}, {rnd('grid.p / CASE WHEN 1 + g10 / 100 > 0 THEN 1 + g10 / 100 END', 'fair_weak')}
 FROM grid ASOF LEFT JOIN fx ON fx.entity = grid.entity AND fx.available <= grid.ref_month""")
 def _(spark, sf):
     panel = panel_once(spark, sf)
@@ -351,4 +351,4 @@ def _(spark, sf):
         "weights": F.array(F.lit(0.5), F.lit(0.25), 1.0 / (1.0 + F.col("n2"))),
         "picks": F.transform("scheme", lambda u: F.floor(u * 3).cast("int"))})
     q = q.withColumn("joint", gp.combine_draws(q, "draws_a", "draws_b", "weights", "picks"))
-    return q.select("entity", "quarter", *[r6(percentile(F.col("joint"), p)).alias(n) for n, p in (("lo", 0.1), ("mid", 0.5), ("hi", 0.9))])
+    return out(with_percentiles(q, "joint", {"lo": 0.1, "mid": 0.5, "hi": 0.9}), "lo", "mid", "hi")

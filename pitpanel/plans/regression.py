@@ -34,7 +34,7 @@ def out(d, *cols, keep=("entity",)):
 
 @query("ols_one_regressor", "G1", with_(*BASE) + f"""
 , f AS (SELECT entity, count(*) AS n, regr_slope(move, d_v) AS b, regr_intercept(move, d_v) AS a, regr_r2(move, d_v) AS r2,
-   sqrt((regr_syy(move, d_v) - regr_slope(move, d_v) ** 2 * regr_sxx(move, d_v)) / (count(*) - 2) / regr_sxx(move, d_v)) AS se FROM flow GROUP BY 1)
+   sqrt((regr_syy(move, d_v) - regr_slope(move, d_v) ** 2 * regr_sxx(move, d_v)) / (count(*) - 2) / regr_sxx(move, d_v)) AS se FROM flow GROUP BY 1 HAVING count(*) > 2)
 SELECT entity, n, {rnd('a', 'const')}, {rnd('b', 'coef')}, {rnd('se', 'se')}, {rnd('b / se', 't')}, {rnd('r2', 'r2')} FROM f""")
 def _(spark, sf):
     f = rg.ols(flow_table(spark, sf), E, "move", ["d_v"])
@@ -89,7 +89,7 @@ def _(spark, sf):
 
 
 @query("contributions", "G5", with_(*BASE) + f"""
-, f AS (SELECT entity, regr_slope(move, d_v) AS b, regr_intercept(move, d_v) AS a FROM flow GROUP BY 1)
+, f AS (SELECT entity, regr_slope(move, d_v) AS b, regr_intercept(move, d_v) AS a FROM flow GROUP BY 1 HAVING count(*) > 2)
 SELECT entity, ref_month, {rnd('move', 'move')}, {rnd('b * d_v', 'from_d_v')}, {rnd('a', 'drift')}, {rnd('move - a - b * d_v', 'residual')} FROM flow JOIN f USING (entity)""")
 def _(spark, sf):
     t = flow_once(spark, sf)
@@ -106,8 +106,8 @@ def _(spark, sf):
 
 @query("window_attribution", "G6", with_(*BASE) + f"""
 , b AS (SELECT flow.*, m AS months, row_number() OVER (PARTITION BY entity, m ORDER BY ref_month DESC) AS back FROM flow CROSS JOIN (VALUES (3), (12)) w(m)),
- f AS (SELECT entity, months, 'full' AS fit, regr_slope(move, d_v) AS b, regr_intercept(move, d_v) AS a FROM b GROUP BY 1, 2
-   UNION ALL SELECT entity, months, 'outside', regr_slope(move, d_v), regr_intercept(move, d_v) FROM b WHERE back > months GROUP BY 1, 2)
+ f AS (SELECT entity, months, 'full' AS fit, regr_slope(move, d_v) AS b, regr_intercept(move, d_v) AS a FROM b GROUP BY 1, 2 HAVING count(*) > 2
+   UNION ALL SELECT entity, months, 'outside', regr_slope(move, d_v), regr_intercept(move, d_v) FROM b WHERE back > months GROUP BY 1, 2 HAVING count(*) > 2)
 SELECT b.entity, b.months, fit, min(ref_month) AS start, max(ref_month) AS "end", {rnd('sum(move)', 'actual')}, {rnd('sum(a)', 'drift')}, {rnd('sum(f.b * d_v)', 'from_d_v')},
  {rnd('sum(move) - sum(a) - sum(f.b * d_v)', 'residual')} FROM b JOIN f ON f.entity = b.entity AND f.months = b.months WHERE back <= b.months GROUP BY 1, 2, 3""")
 def _(spark, sf):

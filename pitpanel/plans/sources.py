@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pitpanel.functions.columns import cents, r6
-from pitpanel.plans.calendar import E
+from pitpanel.plans.calendar import E, grid
 from pitpanel.plans.inputs import UNIT, long_panel, monthly_panel, regressor_panel, releases, table
 from pitpanel.plans.quality import DIRTY, dirty
 from pitpanel.plans.registry import query
@@ -191,11 +191,12 @@ def _(spark, sf):
     return sh.index_rows(rows, "c2", "A) General Index", "c8", "c9", "c3", ["2024 = 100"])
 
 
-@query("sheet_fiscal_fill_down", "A12", with_(NM) + """
-, q AS (SELECT entity, CAST(date_trunc('quarter', ref_month) AS DATE) AS quarter, sum(v) AS v FROM nm GROUP BY 1, 2)
-SELECT 'tab' || entity AS tab, quarter, round(v, 4) + 0.0 AS value FROM q WHERE quarter >= DATE '1995-04-01'""")
+@query("sheet_fiscal_fill_down", "A12", with_(NM, GRID) + """
+, q AS (SELECT entity, CAST(date_trunc('quarter', ref_month) AS DATE) AS quarter, sum(v) AS v FROM grid GROUP BY 1, 2),
+ f AS (SELECT entity, min(quarter) AS f FROM q WHERE month(quarter) = 4 GROUP BY 1)
+SELECT 'tab' || q.entity AS tab, quarter, round(v, 4) + 0.0 AS value FROM q JOIN f ON f.entity = q.entity WHERE quarter >= f""")
 def _(spark, sf):
-    q = monthly_panel(spark, sf).groupBy("entity", F.trunc("ref_month", "QUARTER").alias("quarter")).agg(F.sum("v").alias("v"))
+    q = grid(spark, sf).groupBy("entity", F.trunc("ref_month", "QUARTER").alias("quarter")).agg(F.sum("v").alias("v"))
     fy = F.year("quarter") - (F.month("quarter") < 4).cast("int")
     k = F.pmod(F.quarter("quarter") + 2, F.lit(4)) + 1
     label = F.concat_ws("-", fy.cast("string"), F.lpad(((fy + 1) % 100).cast("string"), 2, "0"))

@@ -64,7 +64,7 @@ def hac_slope(name: str, src: str, y: str, x: str, lags: int) -> str:
     """CTEs ending in ``name``(entity, n, slope, const, r2, se): one-regressor OLS, Bartlett HAC."""
     weights = " + ".join(["s * s"] + [f"2 * {1 - j / (lags + 1)}::DOUBLE * s * coalesce(lag(s, {j}) OVER o, 0)" for j in range(1, lags + 1)])
     return f"""{name}_f AS (SELECT entity, count(*) AS n, regr_slope({y}, {x}) AS b, regr_intercept({y}, {x}) AS a, regr_r2({y}, {x}) AS r2, avg({x}) AS mx, regr_sxx({y}, {x}) AS sxx
-   FROM {src} WHERE {y} IS NOT NULL AND {x} IS NOT NULL GROUP BY 1),
+   FROM {src} WHERE {y} IS NOT NULL AND {x} IS NOT NULL GROUP BY 1 HAVING count(*) > 2),
  {name}_s AS (SELECT t.entity, t.ref_month, ({x} - mx) * ({y} - a - b * {x}) AS s FROM {src} t JOIN {name}_f f ON f.entity = t.entity WHERE {y} IS NOT NULL AND {x} IS NOT NULL),
  {name}_w AS (SELECT entity, {weights} AS q FROM {name}_s WINDOW o AS (PARTITION BY entity ORDER BY ref_month)),
  {name} AS (SELECT f.entity, n, b AS slope, a AS const, r2, sqrt(m.q) / sxx AS se FROM {name}_f f JOIN (SELECT entity, sum(q) AS q FROM {name}_w GROUP BY 1) m ON m.entity = f.entity)"""
