@@ -17,6 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     s = build_session("pitpanel-tests")
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.sql.shuffle.partitions", "2")       # tiny tables: the time goes into starting tasks
     return s
 
 
