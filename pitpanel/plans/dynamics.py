@@ -117,7 +117,19 @@ def _(spark, sf):
     return out(co.fisher(p_values(spark, sf).join(brands, "id"), ["p_brand"], "p"), "stat", "share_rejecting", keep=("p_brand", "n"))
 
 
-@query("residual_panel_tests", "I5")
+# each entity's residual of lp on lv, its unit-root sums with one lag removed, then group and panel
+PANEL_UR = """qp AS (SELECT * FROM (SELECT entity, CAST(date_trunc('quarter', ref_month) AS DATE) AS quarter, ln(avg(p)) AS lp, ln(sum(v)) AS lv FROM grid GROUP BY entity, date_trunc('quarter', ref_month))
+   WHERE lp IS NOT NULL AND lv IS NOT NULL),
+ rs AS (SELECT entity, quarter, lp - regr_intercept(lp, lv) OVER e - regr_slope(lp, lv) OVER e * lv AS r FROM qp WINDOW e AS (PARTITION BY entity)),
+ d1 AS (SELECT *, r - lag(r) OVER o AS c, lag(r) OVER o AS l FROM rs WINDOW o AS (PARTITION BY entity ORDER BY quarter)),
+ d2 AS (SELECT *, lag(c) OVER (PARTITION BY entity ORDER BY quarter) AS k FROM d1),
+ ss AS (SELECT entity, count(*) AS n, sum(l * l) - sum(l * k) ** 2 / sum(k * k) AS zz, sum(l * c) - sum(l * k) * sum(k * c) / sum(k * k) AS zy, sum(c * c) - sum(k * c) ** 2 / sum(k * k) AS yy
+   FROM d2 WHERE c IS NOT NULL AND l IS NOT NULL AND k IS NOT NULL GROUP BY 1 HAVING count(*) > 2)"""
+
+
+@query("residual_panel_tests", "I5", with_(NM, GRID, PANEL_UR) + f"""
+SELECT count(*) AS entities, {rnd('avg(zy / zz / sqrt((yy - zy * zy / zz) / (n - 2) / zz))', 'group_stat')},
+ {rnd('sum(zy) / sum(zz) / sqrt((sum(yy) - sum(zy) ** 2 / sum(zz)) / (sum(n) - 1 - count(*)) / sum(zz))', 'panel_stat')} FROM ss""")
 def _(spark, sf):
     return out(co.residual_panel_tests(quarters_once(spark, sf), [], "entity", "quarter", "lp", ["lv"]), "group_stat", "panel_stat", keep=("entities",))
 
@@ -167,7 +179,26 @@ def given(d):
     return d.withColumns({"m0": mean, "m1": mean, "s0": 0.6 * sd, "s1": 1.5 * sd, "p00": F.lit(0.95), "p11": F.lit(0.85)})
 
 
-@query("filtered_state_probability", "J1")
+def fold_sql(p00: str, p11: str) -> str:
+    """The filter as a recursive query over each series' rows; p00 and p11 may use z, the driver."""
+    prior = "(f.f * n.p11 + (1 - f.f) * (1 - n.p00))"
+    dens = lambda k: f"exp(-0.5 * ((ret - m) / ({k} * s)) ** 2) / ({k} * s * 2.5066282746310002::DOUBLE)"
+    return with_(NM, GRID).replace("WITH ", "WITH RECURSIVE ", 1) + f""", lg AS (SELECT *, 100 * (ln(p) - ln(lag(p) OVER o)) AS ret, lag(v) OVER o AS vl FROM grid WINDOW o AS (PARTITION BY entity ORDER BY ref_month)),
+ zz AS (SELECT *, coalesce((vl - avg(vl) OVER b) / nullif(stddev_samp(vl) OVER b, 0), 0) AS z FROM lg WINDOW b AS (PARTITION BY entity ORDER BY ref_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ st AS (SELECT entity, ref_month, ret, z, avg(ret) OVER w AS m, stddev_samp(ret) OVER w AS s, row_number() OVER (PARTITION BY entity ORDER BY ref_month) AS rn FROM zz WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY entity)),
+ dn AS (SELECT entity, ref_month, rn, {p00} AS p00, {p11} AS p11, {dens('0.6')} AS d0, {dens('1.5')} AS d1 FROM st),
+ fl AS (SELECT entity, rn, ref_month, prior, prior * d1 + (1 - prior) * d0 AS dens, prior * d1 / (prior * d1 + (1 - prior) * d0) AS f
+   FROM (SELECT *, (1 - p00) / (2 - p00 - p11) * p11 + (1 - (1 - p00) / (2 - p00 - p11)) * (1 - p00) AS prior FROM dn WHERE rn = 1)
+  UNION ALL SELECT n.entity, n.rn, n.ref_month, {prior}, {prior} * n.d1 + (1 - {prior}) * n.d0, {prior} * n.d1 / ({prior} * n.d1 + (1 - {prior}) * n.d0)
+   FROM fl f JOIN dn n ON n.entity = f.entity AND n.rn = f.rn + 1)"""
+
+
+CONSTANT = fold_sql("0.95::DOUBLE", "0.85::DOUBLE")
+MOVING = fold_sql("1 / (1 + exp(-(2.9 - 0.4 * z)))", "1 / (1 + exp(-(1.7 + 0.3 * z)))")
+
+
+@query("filtered_state_probability", "J1", CONSTANT + f"""
+SELECT entity, ref_month, {rnd('f', 'p_filtered')}, {rnd('prior', 'p_predicted')} FROM fl""")
 def _(spark, sf):
     return out(rm.filtered(given(returns(spark, sf)), E, "ref_month", "ret"), "p_filtered", "p_predicted", keep=("entity", "ref_month"))
 
@@ -179,7 +210,12 @@ def _(spark, sf):
     return out(rm.realtime(d, par, E, "ref_month", "ret"), "p_filtered", keep=("entity", "ref_month", "origin"))
 
 
-@query("smoothed_state_probability", "J4")
+SMOOTH = """, nx AS (SELECT entity, rn, ref_month, f, lead(prior) OVER (PARTITION BY entity ORDER BY rn) AS nxt FROM fl),
+ sm AS (SELECT entity, rn, ref_month, f AS sp FROM nx WHERE nxt IS NULL
+  UNION ALL SELECT n.entity, n.rn, n.ref_month, n.f * (0.85::DOUBLE * s.sp / n.nxt + (1 - 0.85::DOUBLE) * (1 - s.sp) / (1 - n.nxt)) FROM sm s JOIN nx n ON n.entity = s.entity AND n.rn = s.rn - 1)"""
+
+
+@query("smoothed_state_probability", "J4", CONSTANT + SMOOTH + f"SELECT entity, ref_month, {rnd('sp', 'p_smoothed')} FROM sm")
 def _(spark, sf):
     d = given(returns(spark, sf))
     f = rm.filtered(d, E, "ref_month", "ret").withColumns({"p00": F.lit(0.95), "p11": F.lit(0.85)})
@@ -198,7 +234,8 @@ def driven(spark, sf):
     return d.withColumns({"p00": logit(2.9, -0.4), "p11": logit(1.7, 0.3)})
 
 
-@query("predictive_density", "J5")
+@query("predictive_density", "J5", MOVING + f"""
+SELECT entity, ref_month, {rnd('prior', 'p_predicted')}, {rnd('ln(dens)', 'log_score')} FROM fl""")
 def _(spark, sf):
     f = rm.filtered(driven(spark, sf), E, "ref_month", "ret")
     return out(f.withColumn("log_score", F.log("density")), "p_predicted", "log_score", keep=("entity", "ref_month"))

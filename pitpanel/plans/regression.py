@@ -181,10 +181,21 @@ def _(spark, sf):
     return out(fl.premium_regression(premium(spark, sf), E, "ref_month", "level", "prem", 3, 6), "slope", "se", "t_vs_0", "t_vs_1", "r2", keep=("entity", "n"))
 
 
-@query("spread_predictive_test", "G14")
+def removed(name: str, src: str, cols: str, control: str, keep: str = "") -> str:
+    """CTE with each column's residual on a constant and the control (same names)."""
+    res = ", ".join(f"{c} - regr_intercept({c}, {control}) OVER e - regr_slope({c}, {control}) OVER e * {control} AS {c}" for c in cols.split())
+    return f"{name} AS (SELECT entity, ref_month, {res}{keep} FROM {src} WINDOW e AS (PARTITION BY entity))"
+
+
+SPREAD = """sp AS (SELECT * FROM (SELECT entity, ref_month, v / n AS prem, (lead(level) OVER o - level) * 100 AS nxt, (lead(ln(v)) OVER o - ln(v)) * 100 AS drv FROM comp
+  WINDOW o AS (PARTITION BY entity ORDER BY ref_month)) WHERE prem IS NOT NULL AND nxt IS NOT NULL AND drv IS NOT NULL)"""
+
+
+@query("spread_predictive_test", "G14", with_(NM, GRID, COMP, SPREAD, hac_slope("a", "sp", "nxt", "prem", 6), removed("rs", "sp", "nxt prem", "drv"), hac_slope("b", "rs", "nxt", "prem", 6)) + f"""
+SELECT a.entity, a.n, {rnd('a.slope', 'coef')}, {rnd('a.slope / a.se', 't')}, {rnd('b.slope', 'coef_given_driver')}, {rnd('b.slope / b.se', 't_given_driver')} FROM a JOIN b ON b.entity = a.entity WHERE a.n >= 12""")
 def _(spark, sf):
     d = premium(spark, sf).withColumn("lv", F.log("v"))
-    return out(fl.spread_tests(d, E, "ref_month", "level", "prem", "lv", 6), "coef", "t", "coef_given_driver", "t_given_driver", keep=("entity", "n"))
+    return out(fl.spread_tests(d, E, "ref_month", "level", "prem", "lv", 6).where("n >= 12"), "coef", "t", "coef_given_driver", "t_given_driver", keep=("entity", "n"))
 
 
 @query("implied_forward", "G15", with_(NM, GRID, COMP) + f"""
@@ -208,9 +219,19 @@ def _(spark, sf):
     return out(fl.elasticity(rgrid(spark, sf), E, "ref_month", "qty", "v", 4), "slope", "se", "r2", keep=("entity", "form", "n"))
 
 
-@query("error_correction", "G17")
+ECM = [NM, GRID, COMP] + [x for h in (1, 3) for x in (
+    f"""e{h} AS (SELECT * FROM (SELECT c.entity, c.ref_month, c.ect, d.level - c.level AS y, ln(c.v) - lag(ln(c.v)) OVER (PARTITION BY c.entity ORDER BY c.ref_month) AS dv FROM comp c
+  LEFT JOIN comp d ON d.entity = c.entity AND d.ref_month = CAST(c.ref_month + INTERVAL {h} MONTH AS DATE)) WHERE ect IS NOT NULL AND y IS NOT NULL AND dv IS NOT NULL)""",
+    removed(f"r{h}", f"e{h}", "y ect", "dv"), hac_slope(f"s{h}", f"r{h}", "y", "ect", h),
+    f"t{h} AS (SELECT entity, regr_syy(y, y) AS syy FROM e{h} GROUP BY 1)", f"u{h} AS (SELECT entity, regr_syy(y, ect) AS syy FROM r{h} GROUP BY 1)")]
+ECM_ROW = "SELECT s{h}.entity, {h} AS h, n, " + ", ".join([rnd("slope", "speed"), rnd("slope / se", "speed_t"),
+    rnd("CASE WHEN slope < 0 AND slope > -1 THEN ln(0.5::DOUBLE) / ln(1 + slope) END", "half_life"), rnd("1 - u{h}.syy * (1 - r2) / t{h}.syy", "r2")]) + \
+    " FROM s{h} JOIN t{h} ON t{h}.entity = s{h}.entity JOIN u{h} ON u{h}.entity = s{h}.entity WHERE n >= 12"
+
+
+@query("error_correction", "G17", with_(*ECM) + " UNION ALL ".join(ECM_ROW.replace("{h}", str(h)) for h in (1, 3)))
 def _(spark, sf):
-    d = fl.error_correction(comp_once(spark, sf).withColumn("lv", F.log("v")), E, "ref_month", "level", "ect", ["lv"], [1, 3], 3)
+    d = fl.error_correction(comp_once(spark, sf).withColumn("lv", F.log("v")), E, "ref_month", "level", "ect", ["lv"], [1, 3], 3).where("n >= 12")
     return out(d, "speed", "speed_t", "half_life", "r2", keep=("entity", "h", "n"))
 
 
