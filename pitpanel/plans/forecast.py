@@ -67,6 +67,27 @@ def _(spark, sf):
     return out(d, *CARD, keep=("entity", "h", "n_oos", "first", "last"))
 
 
+# The whole chain on what was public: lag one month, carry two, partial 12-month norm, log gaps,
+# composite, 3-month forecasts, scores.
+PUBLIC = """pub AS (SELECT entity, CAST(ref_month + INTERVAL 1 MONTH AS DATE) AS ref_month, last_value(v IGNORE NULLS) OVER c AS v, last_value(p IGNORE NULLS) OVER c AS p FROM grid
+   WINDOW c AS (PARTITION BY entity ORDER BY ref_month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+ pcomp AS (SELECT entity, ref_month, ln(p) AS level, CASE WHEN count(v) OVER o >= 6 AND count(p) OVER o >= 6 THEN 0.5 * ln(v / avg(v) OVER o) + 0.5 * ln(p / avg(p) OVER o) END AS ect FROM pub
+   WINDOW o AS (PARTITION BY entity ORDER BY ref_month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
+
+
+@query("public_score_card", "B8 B9 B31 F12 H1 H2", with_(NM, GRID, PUBLIC, target_cte("tg", "pcomp", "ect", "(3)"), forecast_cte("fc", "tg", MIN_TRAIN)) +
+       f"SELECT entity, h, {SCORES} FROM fc GROUP BY 1, 2 HAVING count(y) >= 12")
+def _(spark, sf):
+    g = grid(spark, sf)
+    known = g.select("entity", F.add_months("ref_month", 1).alias("ref_month"), *[cal.carry_forward(g, E, "ref_month", c, 2).alias(c) for c in ("v", "p")])
+    gap = lambda c: F.log(F.col(c) / cal.trailing_partial(E, "ref_month", c, 12, 6))
+    d = known.withColumns({"level": F.log("p"), "gap_a": gap("v"), "gap_b": gap("p")})
+    d = gp.composite(d, "gap_a", "gap_b", 0.5, 0.5, "p")
+    f = fc.forecasts(d, E, "ref_month", "level", "ect", [3], MIN_TRAIN)
+    s = fc.score_card(f, ["entity", "h"], "ref_month").where("n_oos >= 12")
+    return out(s, *CARD, keep=("entity", "h", "n_oos", "first", "last"))
+
+
 ADJ = "ad AS (SELECT *, (y - f_drift) ** 2 - ((y - f_model) ** 2 - (f_drift - f_model) ** 2) AS adj, (y - f_drift) ** 2 - (y - f_model) ** 2 AS loss FROM fc)"
 
 
