@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """The table written once as Parquet in the shared checkpoint folder and read back.
 
@@ -41,6 +49,27 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, total: int, n: str) -> D
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(few, key, "left"))
 
 
+RID = "__row_of_file"
+SENT_ROWS = 400_000      # row names (16 bytes) are broadcast up to this many, beyond that both sides are shuffled
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a name for every row that is the same on every read: its file's hash and its place there.
+
+    A table that does not come from files is written to the shared folder first."""
+    name = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias(RID)
+    try:
+        return docs.select("*", name)
+    except AnalysisException:
+        return settle(docs, "docs").select("*", name)
+
+
+def by_names(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """``docs`` (of ``named_rows``) joined with a settled list of row names; the name goes."""
+    side = F.broadcast(names) if names.count() <= SENT_ROWS else names
+    return docs.join(side, RID, how).drop(RID)
+
+
 def crc(column: str) -> Column:
     """crc32 of a column as text; NULL stays NULL."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -131,8 +131,8 @@ def screened(batch: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, snapshot: Column, doc_id: str = "doc_id", text: str = "text", digest_bytes: int = 32,
-               bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Of every row: doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
+               bucket_keys: int = BUCKET_KEYS, rid: Column | None = None) -> DataFrame:
+    """Of every row: rid (given, or a number), doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
 
     ``snapshot`` gives the number of the immutable snapshot a row is in; NULL means the new batch.
     NULL text counts as empty; empty texts equal each other. Of equal texts the row with the largest
@@ -140,7 +140,9 @@ def duplicates(docs: DataFrame, snapshot: Column, doc_id: str = "doc_id", text:
     which. No rows give no rows; other columns are ignored. ``digest_bytes`` shortens the digest for
     tests: results do not depend on it."""
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), snapshot.cast("int").alias("snapshot"), F.col(text).cast("string").alias("text"))
-    rows = settle(digest_rows(ids.withColumn("rid", F.monotonically_increasing_id()), "text", ["rid", "doc_id", "snapshot"], length=digest_bytes), "digests")
+    named = docs.select(*[c.alias(n) for n, c in (("doc_id", F.col(doc_id).cast("long")), ("snapshot", snapshot.cast("int")), ("text", F.col(text).cast("string")))],
+                        (F.monotonically_increasing_id() if rid is None else rid).alias("rid"))
+    rows = settle(digest_rows(named, "text", ["rid", "doc_id", "snapshot"], length=digest_bytes), "digests")
     total = rows.count()
     wide = max(1, -(-total // bucket_keys))
     bucket = F.pmod(F.xxhash64("digest"), F.lit(wide))

@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import exactdedup, simhash
-from pitpanel.llm.common import table
+from pitpanel.llm import exactdedup, html, langid, licenses, mixing, packing, simhash
+from pitpanel.llm.common import table, tokenizer_file
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_source_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.select(table(spark, sf, "documents"))
+
+
 def op3_simhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf, "documents"))
+    return simhash.near_duplicates(table(spark, sf, "documents")).drop("rid")
+
+
+def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html.extract(table(spark, sf, "pages"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.sequences(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,8 +33,17 @@ def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exactdedup.duplicates(docs, exactdedup.by_age()).drop("rid")
 
 
-ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(table(spark, sf, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
 
-QUERIES: dict[str, Plan] = {f.__name__: f for f in (op3_simhash_neardup, op8_exact_dedup)}
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (
+    op1_source_mixture, op3_simhash_neardup, op4_html_text, op7_best_fit_packing, op8_exact_dedup, op9_language_id,
+    op10_license_scan,
+)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_source_mixture": mixing.oracle()}

@@ -40,15 +40,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(grams), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; only the two columns are read."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, rid: Column | None = None) -> DataFrame:
+    """(doc_id, rid, fp) of every row; only the columns named are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, words) for t in texts], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t, words) for t in texts], pa.int64())], names=["doc_id", "rid", "fp"])
 
-    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, fp long")
+    row = (F.monotonically_increasing_id() if rid is None else rid).alias("rid")
+    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row, F.col(text).cast("string").alias("text"))
+    return cols.mapInArrow(run, f"doc_id long, rid {cols.schema['rid'].dataType.simpleString()}, fp long")
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -103,19 +104,22 @@ def links(fps: DataFrame, limit: int = POSTING) -> DataFrame:
     return _pairs(short, ["k", "bytes"], 2).unionByName(_pairs(short6, ["k", "bytes"], 2)).unionByName(ends)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, limit: int = POSTING) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, limit: int = POSTING,
+                    rid: Column | None = None) -> DataFrame:
+    """(rid, doc_id, fingerprint, component_id, kept) of every row; one row of each component is kept, the
+    first of those with its smallest doc_id. ``rid`` names the rows; without it they are numbered.
 
     NULL and empty texts, and texts without a word, have fingerprint zero and link like any other.
     Repeated rows stay repeated. A NULL doc_id is kept; it counts for component_id only where the
     component has no other. No rows give no rows. Other columns are ignored."""
-    rows = settle(fingerprints(docs, doc_id, text, words), "fingerprints")
-    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-classes")
+    rows = settle(fingerprints(docs, doc_id, text, words, rid), "fingerprints")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "rid"))
+    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("first"), F.count("*").alias("n")), "fingerprint-classes")
     roots = components(links(classes.select("fp"), limit))
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = settle(classes, "rooted")
-    ends = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"), F.count("*").alias("m"))
+    ends = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"), F.count("*").alias("m"))
     ends = settle(ends, "roots")
-    named = settle(attach(classes, ends, "root", classes.count(), "m").select("fp", "n", "component_id"), "named")
+    named = settle(attach(classes.select("fp", "n", "root"), ends, "root", classes.count(), "m").select("fp", "n", "component_id", F.col("first.rid").alias("keep")), "named")
     out = attach(rows, named, "fp", rows.count(), "n")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("rid") == F.col("keep")).alias("kept"))
