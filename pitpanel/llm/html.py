@@ -39,11 +39,16 @@ LABELLED = [
     (12, 0.0, 90, 0.0, 33, 0.0, 1, 1, 0, 0), (3, 0.0, 40, 0.0, 18, 0.0, 1, 1, 1, 0), (45, 0.3, 12, 1.0, 30, 0.0, 1, 1, 0, 0), (4, 0.0, 0, 0.0, 90, 0.0, 0, 1, 1, 0),
     (10, 0.0, 14, 0.0, 70, 0.0, 1, 0, 1, 1), (1, 0.0, 30, 0.0, 25, 0.0, 1, 0, 0, 1), (2, 0.0, 9, 0.0, 0, 0.0, 1, 0, 0, 1), (80, 0.0, 10, 0.0, 60, 0.0, 1, 0, 0, 1),
     (55, 0.05, 80, 0.0, 12, 0.0, 1, 0, 0, 1), (7, 1.0, 60, 0.0, 40, 0.0, 1, 0, 0, 1), (200, 0.02, 50, 0.0, 3, 1.0, 1, 0, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1),
-    (75, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 1), (40, 0.1, 60, 0.0, 90, 0.0, 0, 0, 0, 1), (110, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (26, 0.0, 70, 0.0, 45, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 3, 0.0, 2, 0.0, 1, 0, 0, 1), (4, 0.0, 2, 0.0, 5, 0.0, 1, 0, 0, 1), (3, 0.0, 4, 0.0, 4, 0.0, 1, 0, 1, 1), (5, 0.0, 7, 0.0, 1, 0.0, 1, 0, 0, 1),
+    (1, 1.0, 2, 0.5, 3, 1.0, 1, 0, 0, 1), (3, 1.0, 3, 1.0, 4, 1.0, 1, 0, 0, 1), (6, 0.5, 5, 1.0, 6, 0.6, 1, 0, 0, 1), (2, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1),
+    (15, 0.0, 1, 0.0, 18, 0.1, 0, 0, 0, 1), (18, 0.1, 15, 0.0, 3, 0.0, 0, 0, 0, 1), (12, 0.0, 20, 0.0, 14, 0.0, 0, 0, 0, 1), (13, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (16, 0.0, 2, 0.0, 12, 0.2, 0, 0, 0, 1), (75, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 1), (40, 0.1, 60, 0.0, 90, 0.0, 0, 0, 0, 1), (110, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (26, 0.0, 70, 0.0, 45, 0.0, 0, 0, 0, 1),
     (18, 0.0, 35, 0.0, 50, 0.0, 0, 0, 0, 1), (30, 0.0, 4, 1.0, 22, 0.0, 0, 0, 0, 1), (13, 0.0, 44, 0.0, 31, 0.0, 0, 0, 0, 1), (9, 0.0, 5, 1.0, 60, 0.0, 0, 0, 1, 1),
     (6, 0.0, 70, 0.0, 85, 0.0, 0, 0, 1, 1), (4, 0.0, 50, 0.0, 64, 0.0, 0, 0, 1, 1), (8, 0.0, 0, 0.0, 95, 0.0, 0, 0, 1, 1),
     (5, 1.0, 4, 1.0, 6, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0), (25, 0.9, 3, 1.0, 20, 0.8, 0, 0, 0, 0), (12, 0.6, 10, 1.0, 11, 0.7, 0, 0, 0, 0),
     (40, 0.7, 12, 0.5, 9, 0.9, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 0), (5, 0.0, 6, 1.0, 0, 0.0, 0, 0, 0, 0),
+    (8, 0.0, 9, 0.0, 7, 0.0, 0, 0, 0, 0), (9, 0.0, 4, 1.0, 8, 0.5, 0, 0, 0, 0), (7, 0.0, 6, 0.0, 9, 0.0, 0, 0, 0, 0), (9, 0.0, 12, 0.0, 2, 0.0, 0, 0, 0, 0),
+    (4, 0.0, 5, 0.0, 3, 0.0, 0, 0, 0, 0), (2, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0), (5, 0.0, 7, 0.0, 2, 0.0, 0, 0, 0, 0), (1, 0.0, 3, 0.0, 3, 0.0, 0, 0, 0, 0),
     (2, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0), (6, 0.0, 4, 0.5, 5, 1.0, 0, 0, 1, 0), (3, 0.0, 5, 1.0, 4, 1.0, 0, 0, 1, 0), (7, 0.4, 8, 0.0, 2, 1.0, 0, 0, 0, 0),
 ]
 
