@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import exactdedup, html, langid, licenses, mixing, packing, simhash
+from pitpanel.llm import exactdedup, html, langid, langmodel, licenses, mixing, packing, simhash
 from pitpanel.llm.common import table, tokenizer_file
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_source_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.select(table(spark, sf, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return langmodel.score(table(spark, sf, "documents"))
+
+
 def op3_simhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents")).drop("rid")
 
@@ -42,7 +46,7 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
-    op1_source_mixture, op3_simhash_neardup, op4_html_text, op7_best_fit_packing, op8_exact_dedup, op9_language_id,
+    op1_source_mixture, op2_lm_score, op3_simhash_neardup, op4_html_text, op7_best_fit_packing, op8_exact_dedup, op9_language_id,
     op10_license_scan,
 )}
 
