@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import exactdedup, html, langid, langmodel, licenses, mixing, packing, simhash
+from pitpanel.llm import embeddings, exactdedup, html, langid, langmodel, licenses, mixing, packing, simhash, toolcalls
 from pitpanel.llm.common import table, tokenizer_file
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html.extract(table(spark, sf, "pages"))
 
 
+def op5_embedding_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
+def op6_tool_call_chats(spark: SparkSession, sf: str) -> DataFrame:
+    return toolcalls.chats(table(spark, sf, "conversations"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.sequences(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -46,8 +54,9 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
-    op1_source_mixture, op2_lm_score, op3_simhash_neardup, op4_html_text, op7_best_fit_packing, op8_exact_dedup, op9_language_id,
+    op1_source_mixture, op2_lm_score, op3_simhash_neardup, op4_html_text, op5_embedding_neardup, op6_tool_call_chats,
+    op7_best_fit_packing, op8_exact_dedup, op9_language_id,
     op10_license_scan,
 )}
 
-SQL: dict[str, str] = {"op1_source_mixture": mixing.oracle()}
+SQL: dict[str, str] = {"op1_source_mixture": mixing.oracle(), "op6_tool_call_chats": toolcalls.ORACLE}
