@@ -115,16 +115,23 @@ def local_forest(schema: pa.Schema):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+FINISH = 100_000      # links that one task may join: 16 bytes each and a bounded table of their nodes
+
+
+def components(edges: DataFrame, rounds: int = 60, finish: int = FINISH) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b, both long): root is the smallest node reachable.
 
-    Alternating large-star and small-star steps. Each step first shrinks a task's edges to a forest,
+    Every task first shrinks its links to a forest. Where ``finish`` links or fewer are left, one task joins
+    them; where more, alternating large-star and small-star steps do. Each step first shrinks a task's edges to a forest,
     so a star around one node is at most one edge per member and task, and takes the smallest
     neighbour by partial aggregation. State lives in the checkpoint folder between rounds; nothing is
     collected but two checksums. Self-links and repeated links are allowed; no edges give no rows."""
     checkpoint_dir(edges.sparkSession)
     shrink = local_forest(pa.schema([("u", pa.int64()), ("v", pa.int64())]))
     state = edges.select("a", "b").where("a <> b").mapInArrow(shrink, "u long, v long").distinct().checkpoint()
+    if 0 < state.count() <= finish:
+        state = state.coalesce(1).mapInArrow(shrink, "u long, v long").checkpoint()
+        rounds = 0
     before = None
     for _ in range(rounds):
         both = state.select("u", "v").union(state.select("v", "u"))
@@ -145,5 +152,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
     else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
+        if rounds:
+            raise RuntimeError(f"components not settled after {rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(state.select("v", "v").distinct())
