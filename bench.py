@@ -16,6 +16,7 @@ HEADLINE = [
     "point_in_time_table", "series_as_known", "merge_two_vintages", "snapshot_diff", "rule_validation", "accounting_repair",
     "public_score_card", "forecast_score_card", "sup_wald_break", "hac_one_regressor", "monte_carlo_band", "leave_year_out_calibration",
     "one_sided_trend", "cluster_bootstrap", "panel_bootstrap_test", "filtered_state_probability", "auc_from_ranks", "rank_agreement",
+    "variant_score_table", "state_refit_realtime", "behavioural_anchor", "joint_corridor",
 ]
 
 

@@ -84,14 +84,16 @@ def quarterly_with_availability(df: DataFrame, keys: Keys, month: str, flow: str
     return q.withColumn("available", F.add_months("quarter", lag))
 
 
-def known_each_month(rel: DataFrame, keys: Keys, until: Column) -> DataFrame:
+def known_each_month(rel: DataFrame, keys: Keys) -> DataFrame:
     """Every series as it stood at every month-end: (keys, ref_month, info_month, value).
 
-    A release stands from the end of its month until the month before the next release."""
+    A release stands from the end of its month until the month before the next release, the last one
+    until the last release month of the whole table."""
     m = rel.groupBy(*keys, "ref_month", F.trunc("realtime_start", "MM").alias("_from")).agg(
         F.max_by("value", "realtime_start").alias("value"))
     w = Window.partitionBy(*keys, "ref_month").orderBy("_from")
-    m = m.withColumn("_to", F.coalesce(F.add_months(F.lead("_from").over(w), -1), until)).where("_from <= _to")
+    until = rel.agg(F.trunc(F.max("realtime_start"), "MM").alias("_until"))                  # one row
+    m = m.crossJoin(F.broadcast(until)).withColumn("_to", F.coalesce(F.add_months(F.lead("_from").over(w), -1), F.col("_until"))).where("_from <= _to")
     return m.select(*keys, "ref_month", F.explode(F.sequence("_from", "_to", F.expr(MONTH))).alias("info_month"), "value")
 
 

@@ -196,13 +196,15 @@ def apply_calibration(df: DataFrame) -> DataFrame:
     return df.withColumns({"lo_cal": c - F.col("scale") * (F.col("mid") - F.col("lo")), "hi_cal": c + F.col("scale") * (F.col("hi") - F.col("mid"))})
 
 
-def leave_group_out(df: DataFrame, keys: Keys, group: str, groups: list, level: float, with_shift: bool) -> DataFrame:
-    """Each group calibrated on all other groups. ``groups`` are the group values (years).
-
-    Every row is a calibration row of the other groups: an explode over the short group list."""
-    held = F.filter(F.array(*[F.lit(g) for g in groups]), lambda g: g != F.col(group))
-    fits = conformal_fit(df.withColumn("_held", F.explode(held)), [*keys, "_held"], level, with_shift)
-    return apply_calibration(df.join(fits.withColumnRenamed("_held", group), [*keys, group]))
+def leave_group_out(df: DataFrame, keys: Keys, group: str, level: float, with_shift: bool) -> DataFrame:
+    """Each group (a year) calibrated on all other groups of the data; NULL where there is no other.
+
+    Every row is a calibration row of the other groups: an explode over the list of years, one row
+    that the calendar bounds."""
+    groups = df.agg(F.collect_set(group).alias("_all"))
+    held = df.crossJoin(F.broadcast(groups)).withColumn("_held", F.explode(F.filter("_all", lambda g: g != F.col(group)))).drop("_all")
+    fits = conformal_fit(held, [*keys, "_held"], level, with_shift)
+    return apply_calibration(df.join(fits.withColumnRenamed("_held", group), [*keys, group], "left"))
 
 
 def published_calibration(df: DataFrame, months: DataFrame, published: DataFrame, keys: Keys, group: str, level: float,

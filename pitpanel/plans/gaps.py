@@ -71,7 +71,7 @@ QB = """qb AS (SELECT entity, quarter, CAST(quarter + INTERVAL 6 MONTH AS DATE)
  qp AS (SELECT qs.*, m12 AS price_paid, m24 AS price_norm, bill_pct * (1 - m24 / m12) AS price_adjustment FROM qs
    ASOF LEFT JOIN pm ON pm.entity = qs.entity AND pm.ref_month <= CAST(qs.quarter + INTERVAL 2 MONTH AS DATE)),
  qc AS (SELECT *, -0.3564 * relative_cycle AS cyclical, balance_pct + coalesce(price_adjustment, 0) - coalesce(-0.3564 * relative_cycle, 0) AS underlying FROM qp),
- np0 AS (SELECT entity, make_date(CAST(year(ref_month) AS INT) + 1, 7, 1) AS av, -2 - avg(p) / 1000 AS norm, 0.3 + avg(p) / 1000 AS norm_se FROM nm WHERE year(ref_month) >= 1996 GROUP BY entity, year(ref_month)),
+ np0 AS (SELECT entity, make_date(CAST(year(ref_month) AS INT) + 1, 7, 1) AS av, -2 - avg(p) / 1000 AS norm, 0.3 + avg(p) / 1000 AS norm_se FROM nm WHERE p IS NOT NULL GROUP BY entity, year(ref_month)),
  np1 AS (SELECT entity, min_by(norm, av) AS f, min_by(norm_se, av) AS fs FROM np0 GROUP BY 1),
  qn AS (SELECT qc.*, coalesce(np0.norm, np1.f) AS norm_path, coalesce(np0.norm_se, np1.fs) AS norm_se, CASE WHEN np0.norm IS NULL THEN 'backcast' ELSE 'published' END AS norm_source,
    stock_share * growth / (1 + growth) * 100 AS norm_stock, -2.0::DOUBLE AS norm_fixed, -2.5::DOUBLE AS norm_static
@@ -92,7 +92,7 @@ def adjusted(panel):
 
 
 def norm_path(panel):
-    y = panel.where((F.year("ref_month") >= 1996) & F.col("p").isNotNull()).groupBy("entity", F.year("ref_month").alias("year")).agg(F.avg("p").alias("m"))
+    y = panel.where(F.col("p").isNotNull()).groupBy("entity", F.year("ref_month").alias("year")).agg(F.avg("p").alias("m"))
     return y.select("entity", F.make_date(F.col("year") + 1, F.lit(7), F.lit(1)).alias("available_norm"), (-2 - F.col("m") / 1000).alias("norm"),
                     (0.3 + F.col("m") / 1000).alias("norm_se"))
 
@@ -259,14 +259,11 @@ def _(spark, sf):
     return out(gp.apply_calibration(b.join(gp.conformal_fit(known(b), E, 0.8, True), E)), "lo_cal", "hi_cal", keep=("entity", "ref_month"))
 
 
-YEARS = list(range(1995, 2003))
-
-
 @query("leave_year_out_calibration", "F26", with_(NM, GRID, COMP, CORR, "ho AS (SELECT cd.*, g.yr AS held FROM cd JOIN (SELECT DISTINCT yr FROM cd) g ON g.yr <> cd.yr)",
                                                   fit_sql("ft", "ho", "entity, held")) + f"""
-SELECT cd.entity, ref_month, {rnd('mid + shift - scale * (mid - lo)', 'lo_cal')}, {rnd('mid + shift + scale * (hi - mid)', 'hi_cal')} FROM cd JOIN ft ON ft.entity = cd.entity AND ft.held = cd.yr""")
+SELECT cd.entity, ref_month, {rnd('mid + shift - scale * (mid - lo)', 'lo_cal')}, {rnd('mid + shift + scale * (hi - mid)', 'hi_cal')} FROM cd LEFT JOIN ft ON ft.entity = cd.entity AND ft.held = cd.yr""")
 def _(spark, sf):
-    d = gp.leave_group_out(known(corridor_base(spark, sf)), E, "year", YEARS, 0.8, True)
+    d = gp.leave_group_out(known(corridor_base(spark, sf)), E, "year", 0.8, True)
     return out(d, "lo_cal", "hi_cal", keep=("entity", "ref_month"))
 
 

@@ -43,22 +43,24 @@ def monthly_panel(spark: SparkSession, sf: str, keep: Column | None = None) -> D
 def regressor_panel(spark: SparkSession, sf: str) -> DataFrame:
     """monthly_panel plus line-item measures of the same orders: qty, disc, tax.
 
-    Lines are summed per order first, so the wide join is one row per order."""
+    Lines are summed per order, then orders are read once: one join by order, one sum per customer
+    and month for all measures, one customer join."""
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.sum(cents("l_quantity")).alias("qty"), F.sum(cents("l_discount")).alias("disc"),
         F.sum(cents("l_tax")).alias("tax"), F.count("*").alias("lines"))
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    per_customer = (o.join(li, o.o_orderkey == li.l_orderkey)
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    per_customer = (o.join(li, o.o_orderkey == li.l_orderkey, "left")
                     .groupBy("o_custkey", month_of("o_orderdate").alias("ref_month"))
-                    .agg(*[F.sum(c).alias(c) for c in ("qty", "disc", "tax", "lines")]))
+                    .agg(F.sum(cents("o_totalprice")).alias("amount"), F.count("*").alias("n"),
+                         *[F.sum(c).alias(c) for c in ("qty", "disc", "tax", "lines")]))
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    lines = F.sum("lines").cast("double")
-    x = (per_customer.join(c, per_customer.o_custkey == c.c_custkey)
-         .groupBy(F.col("c_nationkey").alias("entity"), "ref_month")
-         .agg((F.sum("qty").cast("double") / 997.0).alias("qty"),
-              (F.sum("disc").cast("double") / lines).alias("disc"),
-              (F.sum("tax").cast("double") / lines).alias("tax")))
-    return monthly_panel(spark, sf).join(x, ["entity", "ref_month"], "left")
+    total, lines = F.sum("amount").cast("double"), F.sum("lines").cast("double")
+    return (per_customer.join(c, per_customer.o_custkey == c.c_custkey)
+            .groupBy(F.col("c_nationkey").alias("entity"), "ref_month")
+            .agg((total / UNIT).alias("v"), F.sum("n").alias("n"), (total / F.sum("n") / PRICE_UNIT).alias("p"),
+                 (F.sum("qty").cast("double") / 997.0).alias("qty"),
+                 (F.sum("disc").cast("double") / lines).alias("disc"),
+                 (F.sum("tax").cast("double") / lines).alias("tax")))
 
 
 def long_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,12 +90,11 @@ def two_sources(spark: SparkSession, sf: str) -> DataFrame:
 def releases(spark: SparkSession, sf: str) -> DataFrame:
     """Bitemporal releases: entity, ref_month, realtime_start, value (running total by ship day).
 
-    Lines that shipped before their order date are not releases. Daily totals per customer
-    come first; the running window holds at most one row per day."""
+    Lines that shipped before their order date are not releases. Lines meet their order in one
+    shuffle by order key and are summed per customer and day before the next; the running window
+    holds at most one row per day."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = (table(spark, sf, "lineitem")
-          .groupBy("l_orderkey", F.to_date("l_shipdate").alias("realtime_start"))
-          .agg(F.sum(cents("l_extendedprice")).alias("amount")))
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("realtime_start"), cents("l_extendedprice").alias("amount"))
     daily = (li.join(o, (li.l_orderkey == o.o_orderkey) & (F.col("realtime_start") >= F.to_date("o_orderdate")))
              .groupBy("o_custkey", month_of("o_orderdate").alias("ref_month"), "realtime_start")
              .agg(F.sum("amount").alias("amount")))

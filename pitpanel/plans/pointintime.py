@@ -124,14 +124,13 @@ def _(spark, sf):
                     F.when(F.col("backcast"), "backcast").otherwise("published").alias("label"))
 
 
-UNTIL = "2001-12-01"
 KNOWN = """kn AS (SELECT entity, ref_month, t.info_month, max_by(value, realtime_start) AS value FROM rel
-  JOIN (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS info_month) t
+  JOIN (SELECT CAST(unnest(generate_series((SELECT date_trunc('month', min(realtime_start)) FROM rel), (SELECT date_trunc('month', max(realtime_start)) FROM rel), INTERVAL 1 MONTH)) AS DATE) AS info_month) t
   ON realtime_start <= last_day(t.info_month) GROUP BY 1, 2, 3)"""
 
 
 def known(rel):
-    return pit.known_each_month(rel, E, F.lit(UNTIL).cast("date"))
+    return pit.known_each_month(rel, E)
 
 
 @query("series_as_known", "C5", with_(REL, KNOWN) + f"SELECT entity, ref_month, info_month, {rnd('value', 'value')} FROM kn")

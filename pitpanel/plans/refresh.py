@@ -32,18 +32,18 @@ def run_stream(spark, sf):
     gate = partition_gate(["event_type", "day"], {"range": F.max("value") < 260, "rows": F.count("*") >= 60})
     schema = table(spark, sf, "events").schema
     refresh_stream(spark, f"{sf}/events*.parquet", schema, lambda b: b.withColumn("day", F.to_date("ts")), gate, ["event_type", "day"],
-                   f"{root}/accepted", f"{root}/quarantine", f"{root}/checkpoint")
-    return root
+                   f"{root}/staging", f"{root}/judged", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/judged")
 
 
 @query("streaming_refresh_accepted", "D13", with_(GATED) + f"""
 SELECT event_id, e.event_type, g.day, {rnd('value', 'value')} FROM events e JOIN g ON g.event_type = e.event_type AND g.day = CAST(e.ts AS DATE) WHERE failed IS NULL""")
 def _(spark, sf):
-    return spark.read.parquet(f"{run_stream(spark, sf)}/accepted").select("event_id", "event_type", "day", r6("value").alias("value"))
+    return run_stream(spark, sf).where("failed IS NULL").select("event_id", "event_type", "day", r6("value").alias("value"))
 
 
 @query("streaming_refresh_quarantine", "D13", with_(GATED) + """
 SELECT g.event_type, g.day, failed, count(*) AS n FROM events e JOIN g ON g.event_type = e.event_type AND g.day = CAST(e.ts AS DATE) WHERE failed IS NOT NULL GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    d = spark.read.parquet(f"{run_stream(spark, sf)}/quarantine")
+    d = run_stream(spark, sf).where("failed IS NOT NULL")
     return d.groupBy("event_type", "day", "failed").agg(F.count("*").alias("n"))

@@ -24,10 +24,12 @@ def build_session(app: str = "pitpanel", cpus: int = 8, memory: str = "12g") ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only where it is unset."""
+    """The shared checkpoint folder the cluster names; a folder of its own only for a local session."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pitpanel-ckpt-"))
     return sc.getCheckpointDir()
 

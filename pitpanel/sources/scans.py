@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,24 +12,18 @@ from pitpanel.operators.calendar import Keys
 from pitpanel.operators.quality import parse_date
 
 
-def from_path(pattern: str) -> Column:
-    """A name taken from the file path by a one-group pattern."""
-    return F.regexp_extract(F.input_file_name(), pattern, 1)
-
-
-def scan_observations(spark: SparkSession, path: str, columns: str = "date string, value string") -> DataFrame:
-    """All (date, value) files below ``path`` in one scan; the series is the partition folder.
+def scan_observations(spark: SparkSession, path: str, columns: str = "date string, value string, series_id string") -> DataFrame:
+    """All (date, value) files below ``path`` in one scan; the series is the partition column, so a filter on it prunes folders.
 
     Cells are read as text: a broken cell becomes NULL, it does not fail the read."""
-    d = spark.read.schema(columns).option("header", True).option("recursiveFileLookup", True).csv(path)
-    return d.select(from_path(r"series_id=([^/]+)/").alias("series_id"), parse_date(F.col("date")).alias("ref_month"),
+    d = spark.read.schema(columns).option("header", True).csv(path)
+    return d.select("series_id", parse_date(F.col("date")).alias("ref_month"),
                     F.col("value").try_cast("double").alias("value"))
 
 
 def scan_country_years(spark: SparkSession, path: str) -> DataFrame:
     """Long (country, year, value) files of several indicators, one scan, kept long."""
-    d = spark.read.schema("country string, year int, value double").option("header", True).option("recursiveFileLookup", True).csv(path)
-    return d.withColumn("indicator", from_path(r"indicator=([^/]+)/"))
+    return spark.read.schema("country string, year int, value double, indicator string").option("header", True).csv(path)
 
 
 def scan_wide(spark: SparkSession, path: str, keys: str, measures: Sequence[str]) -> DataFrame:
@@ -61,13 +56,20 @@ def flatten_pages(pages: DataFrame, fields: Sequence[str]) -> DataFrame:
     return d.select(*[F.col("m").getItem(f).alias(f) for f in fields])
 
 
+def agreed(value: str, where: Column, rel_tol: float = 1e-9) -> Column:
+    """The one value of repeated rows; rows that differ are an error that names the place."""
+    spread, size = F.max(value) - F.min(value), F.greatest(F.max(F.abs(F.col(value))), F.lit(1.0))
+    refuse = F.raise_error(F.concat(F.lit("conflicting values at "), F.first(where))).cast("double")
+    return F.when(spread <= rel_tol * size, F.max(value)).otherwise(refuse)
+
+
 def dimension_series(rows: DataFrame, filters: dict[str, str], period: str, value: str, scale: float, unit: str = "MM") -> DataFrame:
     """Rows of one dimension combination as (ref_month, value): scaled, stamped, NULLs dropped."""
     d = rows
     for k, v in filters.items():
         d = d.where(F.col(k) == v)
     stamped = d.select(F.trunc(F.to_date(period), unit).alias("ref_month"), (F.col(value).try_cast("double") * scale).alias("value"))
-    return stamped.where("value is not null").groupBy("ref_month").agg(F.max("value").alias("value"))
+    return stamped.where("value is not null").groupBy("ref_month").agg(agreed("value", F.col("ref_month").cast("string")).alias("value"))
 
 
 def catalogue_series(rows: DataFrame, catalogue: DataFrame, dims: Sequence[str], period: str, value: str) -> DataFrame:
@@ -81,7 +83,8 @@ def catalogue_series(rows: DataFrame, catalogue: DataFrame, dims: Sequence[str],
     day = F.to_date(period)
     stamp = F.when(F.col("unit") == "Q", F.trunc(day, "QUARTER")).otherwise(F.trunc(day, "MM"))
     d = j.select("series_id", stamp.alias("ref_month"), (F.col(value).try_cast("double") * F.col("scale")).alias("value"))
-    return d.where("value is not null").groupBy("series_id", "ref_month").agg(F.max("value").alias("value"))
+    name = F.concat_ws(" ", "series_id", F.col("ref_month").cast("string"))
+    return d.where("value is not null").groupBy("series_id", "ref_month").agg(agreed("value", name).alias("value"))
 
 
 def crosswalk(df: DataFrame, codes: DataFrame, name: str, scale: float) -> tuple[DataFrame, DataFrame]:
@@ -92,18 +95,19 @@ def crosswalk(df: DataFrame, codes: DataFrame, name: str, scale: float) -> tuple
     return j, codes.join(j.select("code").distinct(), "code", "left_anti")
 
 
-def file_inventory(spark: SparkSession, path: str, text_suffixes: Sequence[str] = (".csv", ".txt", ".json"), exclude: str | None = None) -> DataFrame:
-    """SHA-256 of every file; text files are hashed with LF line ends, so a checkout's line-end
+def file_inventory(spark: SparkSession, path: str, text_suffixes: Sequence[str] = (".csv", ".txt", ".json", ".md"), exclude: str | None = None) -> DataFrame:
+    """SHA-256 of every file by its path below the root (the folders before any wildcard); text files are hashed with LF line ends, so a checkout's line-end
     setting does not matter. ``exclude`` is a regular expression on the path."""
+    root = re.sub(r"^\w+:/*", "/", re.split(r"[*?\[{]", path)[0].rsplit("/", 1)[0] if re.search(r"[*?\[{]", path) else path.rstrip("/"))
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     if exclude:
         d = d.where(~F.col("path").rlike(exclude))
     is_text = F.lit(False)
     for s in text_suffixes:
-        is_text = is_text | F.col("path").endswith(s)
+        is_text = is_text | F.lower("path").endswith(s)
     unix = F.regexp_replace(F.col("content").cast("string"), "\r\n", "\n").cast("binary")
     body = F.when(is_text, unix).otherwise(F.col("content"))
-    return d.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2(body, 256).alias("sha256"))
+    return d.select(F.regexp_replace("path", "^.*?" + re.escape(f"{root}/"), "").alias("file"), "length", F.sha2(body, 256).alias("sha256"))
 
 
 def verify_inventory(before: DataFrame, after: DataFrame, key: Keys, digest: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,24 +37,38 @@ def partition_gate(group: Keys, checks: dict[str, Column]) -> Gate:
     return verdicts
 
 
+def judge(rows: DataFrame, gate: Gate, group: Keys) -> DataFrame:
+    """Every row with its group's first failed check; a NULL in the group key is a group like others."""
+    verdict = gate(rows).select(*[F.col(g).alias(f"_g_{g}") for g in group], "failed")
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    return rows.join(verdict, same).drop(*[f"_g_{g}" for g in group])
+
+
 def refresh_stream(spark: SparkSession, source: str, schema: StructType, prepare: Callable[[DataFrame], DataFrame], gate: Gate, group: Keys,
-                   target: str, quarantine: str, checkpoint: str, files_per_batch: int = 100) -> None:
-    """Read what has landed since the last run, gate each batch, append the accepted groups to
-    ``target`` and the others, with their reason, to ``quarantine``; then stop.
+                   staging: str, target: str, checkpoint: str, files_per_batch: int = 100, buckets: int = 64) -> None:
+    """Stage what has landed since the last run, then judge whole groups and write them to ``target``; then stop.
 
-    Each batch overwrites its own ``batch_id`` partition, so a batch replayed after a failure
-    leaves no duplicates."""
+    Batches only land: how files fall into batches does not matter. Groups live in ``buckets``; the
+    buckets that new batches touched are judged again over all their staged rows and replaced, with
+    ``failed`` NULL for accepted rows. A batch replayed after a failure overwrites its own staging
+    folder, and buckets staged but not judged are judged by the next run."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    marks = f"{checkpoint}-judged"
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare(batch).persist()
-        try:
-            judged = rows.join(gate(rows), list(group))
-            ok, bad = judged.where("failed is null").drop("failed"), judged.where("failed is not null")
-            ok.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-            bad.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
-        finally:
-            rows.unpersist()
-
-    query = (stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+        bucket = F.pmod(F.xxhash64(*group), F.lit(buckets))
+        prepare(batch).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{staging}/batch_id={batch_id}")
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    try:
+        done = spark.read.parquet(marks).agg(F.max("through")).first()[0]
+    except AnalysisException:              # nothing judged so far
+        done = -1
+    staged = spark.read.parquet(staging)
+    new = staged.where(F.col("batch_id") > done)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]            # ``buckets`` numbers at most
+    if touched:
+        through = new.agg(F.max("batch_id").alias("through"))
+        judged = judge(staged.where(F.col("bucket").isin(touched)).drop("batch_id"), gate, group)
+        judged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+        through.write.mode("append").parquet(marks)

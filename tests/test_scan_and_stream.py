@@ -27,19 +27,11 @@ def test_auc_holm_bh_against_brute_force(spark):
     assert br.auc(df, "s", "e").first()["auc"] == pytest.approx(want)
     p = np.round(rng.random(300) ** 3, 3) + 1e-4
     d = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "id int, p double")
-    o = np.argsort(p, kind="stable")
-    h, b = np.empty(300), np.empty(300)
-    run = 0.0
-    for i, k in enumerate(o):
-        run = max(run, min(1.0, (300 - i) * p[k]))
-        h[k] = run
-    run = 1.0
-    for i in range(299, -1, -1):
-        run = min(run, p[o[i]] * 300 / (i + 1))
-        b[o[i]] = run
-    # equal p-values share the adjusted value of their group
-    for q in np.unique(p):
-        h[p == q], b[p == q] = h[p == q].max(), b[p == q].min()
+    # from the definitions: over equal or smaller (Holm), equal or larger (Benjamini-Hochberg) p-values
+    rank_low = np.array([(p < x).sum() for x in p])
+    rank_high = np.array([(p <= x).sum() for x in p])
+    h = np.array([max(min(1.0, (300 - rank_low[k]) * p[k]) for k in np.flatnonzero(p <= x)) for x in p])
+    b = np.array([min(1.0, min(p[k] * 300 / rank_high[k] for k in np.flatnonzero(p >= x))) for x in p])
     gh = {r["id"]: r["p_holm"] for r in br.holm(d, "p").collect()}
     gb = {r["id"]: r["p_bh"] for r in br.benjamini_hochberg(d, "p").collect()}
     np.testing.assert_allclose([gh[i] for i in range(300)], h)
@@ -53,17 +45,26 @@ def test_array_percentile_is_linear(spark):
         assert df.select(percentile(F.col("x"), p).alias("v")).first()["v"] == pytest.approx(np.quantile([1, 3, 4, 10], p))
 
 
-def test_stream_gates_each_batch_and_continues(spark, tmp_path):
-    src, out = tmp_path / "in", tmp_path / "out"
-    schema = StructType([StructField("g", StringType()), StructField("v", LongType())])
-    gate = partition_gate(["g"], {"size": F.count("*") >= 2, "range": F.max("v") < 100})
+SCHEMA = StructType([StructField("g", StringType()), StructField("v", LongType())])
 
-    def land(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-        refresh_stream(spark, str(src), schema, lambda b: b, gate, ["g"], str(out / "ok"), str(out / "bad"), str(out / "ckpt"))
 
-    land([("a", 1), ("a", 2), ("b", 3), ("c", 500), ("c", 1)])
-    ok, bad = spark.read.parquet(str(out / "ok")), spark.read.parquet(str(out / "bad"))
-    assert {r.g for r in ok.collect()} == {"a"} and {(r.g, r.failed) for r in bad.collect()} == {("b", "size"), ("c", "range")}
-    land([("b", 3), ("b", 4)])                                   # only the new file is read
-    assert sorted((r.g, r.v) for r in spark.read.parquet(str(out / "ok")).collect()) == [("a", 1), ("a", 2), ("b", 3), ("b", 4)]
+def refresh(spark, root, rows, files, files_per_batch, checks):
+    """Land rows in so many files, refresh, and return (g, v, failed) of all rows judged so far."""
+    spark.createDataFrame(rows, SCHEMA).repartition(files).write.mode("append").parquet(str(root / "in"))
+    refresh_stream(spark, str(root / "in"), SCHEMA, lambda b: b, partition_gate(["g"], checks), ["g"], str(root / "staged"), str(root / "judged"), str(root / "ckpt"), files_per_batch)
+    return sorted(((r.g, r.v, r.failed) for r in spark.read.parquet(str(root / "judged")).collect()), key=str)
+
+
+def test_stream_judges_whole_groups_and_continues(spark, tmp_path):
+    checks = {"size": F.count("*") >= 2, "range": F.max("v") < 100}
+    got = refresh(spark, tmp_path, [("a", 1), ("a", 2), ("b", 3), ("c", 500), ("c", 1), (None, 7), (None, 8)], 1, 100, checks)
+    first = [("a", 1, None), ("a", 2, None), ("b", 3, "size"), ("c", 1, "range"), ("c", 500, "range"), (None, 7, None), (None, 8, None)]
+    assert got == sorted(first, key=str)
+    got = refresh(spark, tmp_path, [("b", 4), ("a", 900)], 1, 100, checks)          # both groups are judged anew, as a whole
+    assert got == sorted([("a", 1, "range"), ("a", 2, "range"), ("a", 900, "range"), ("b", 3, None), ("b", 4, None), *first[3:]], key=str)
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 100])
+def test_verdict_does_not_depend_on_batches(spark, tmp_path, files_per_batch):
+    got = refresh(spark, tmp_path, [("a", i) for i in range(80)], 4, files_per_batch, {"size": F.count("*") >= 60})
+    assert len(got) == 80 and {f for _, _, f in got} == {None}
