@@ -19,18 +19,18 @@ SCHEMAS = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
 
-def levels(calls: DataFrame, rounds: int = 40) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """``calls`` (call_id, parent_id, ...) with ``level``: 0 without a known parent, else the parent's and one; NULL in a cycle."""
     checkpoint_dir(calls.sparkSession)
     ids = calls.select("call_id", "parent_id").where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("parent_id").alias("parent_id"))
     known = ids.select(F.col("call_id").alias("parent_id"), F.lit(True).alias("known"))
-    state = ids.join(known, "parent_id", "left").select("call_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("level")).checkpoint()
-    for _ in range(rounds):
+    state = ids.join(known, "parent_id", "left").select("call_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level")).checkpoint()
+    for _ in range(state.count().bit_length() + 1):          # what is not settled then is in a cycle
         if state.where("up IS NOT NULL").isEmpty():
             break
         above = state.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("more"))
         state = state.join(above, "up", "left").select("call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")).checkpoint()
-    state = state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+    state = state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).cast("int").alias("level"))
     return calls.join(state, "call_id", "left").withColumn("level", F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level")))
 
 
