@@ -145,27 +145,37 @@ class Trainer:
     """Noise-contrastive steps with AdaGrad on batches of (two before, one before, word)."""
 
     def __init__(self, params: list[np.ndarray], noise: np.ndarray, seed: int):
-        self.p = [x.astype(np.float64).copy() for x in params]
-        self.g = [np.full(x.shape, 1e-6) for x in self.p]
-        self.log_noise, self.cum = np.log(NOISE * noise), np.cumsum(noise)
+        self.p = [x.astype(np.float32) for x in params]             # single precision: steps are small against the noise
+        self.g = [np.full(x.shape, 1e-6, np.float32) for x in self.p]
+        self.log_noise, self.cum = np.log(NOISE * noise).astype(np.float32), np.cumsum(noise)
         self.rng, self.seen = np.random.default_rng(seed), 0
 
     def step(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> None:
         r, q, b, c1, c2 = self.p
         drawn = np.minimum(np.searchsorted(self.cum, self.rng.random(SAMPLES)), K - 1)
-        r1, r2, qw, qn = r[w1], r[w2], q[w], q[drawn]
-        h = r1 * c1 + r2 * c2
-        good = 1 / (1 + np.exp(-((h * qw).sum(1) + b[w] - self.log_noise[w]))) - 1
-        bad = (NOISE / SAMPLES) / (1 + np.exp(-(h @ qn.T + b[drawn] - self.log_noise[drawn])))
-        dh = good[:, None] * qw + bad @ qn
-        dq = _add(w, good[:, None] * h, K)
+        r1, r2, qw, qn = r.take(w1, 0), r.take(w2, 0), q.take(w, 0), q[drawn]
+        h = r1 * c1
+        h += r2 * c2
+        good = np.einsum("ij,ij->i", h, qw)
+        good += (b - self.log_noise)[w]
+        good = 1 / (1 + np.exp(-good)) - 1
+        bad = h @ np.ascontiguousarray(qn.T)
+        bad += (b - self.log_noise)[drawn]
+        np.negative(bad, bad)
+        np.exp(bad, bad)
+        bad += 1
+        np.divide(np.float32(NOISE / SAMPLES), bad, bad)
+        qw *= good[:, None]
+        dh = bad @ qn
+        dh += qw
+        dq = _add(w, h * good[:, None], K)
         np.add.at(dq, drawn, bad.T @ h)
         db = np.bincount(w, good, K) + np.bincount(drawn, bad.sum(0), K)
         dr = _add(w1, dh * c1, K + 1) + _add(w2, dh * c2, K + 1)
-        for x, s, d in zip(self.p, self.g, (dr, dq, db, (dh * r1).sum(0), (dh * r2).sum(0))):
-            d = d / len(w)
+        for x, s, d in zip(self.p, self.g, (dr, dq, db, np.einsum("ij,ij->j", dh, r1), np.einsum("ij,ij->j", dh, r2))):
+            d = (d / len(w)).astype(np.float32)
             s += d * d
-            x -= RATE * d / np.sqrt(s)
+            x -= np.float32(RATE) * d / np.sqrt(s)
         self.seen += len(w)
 
 
@@ -199,7 +209,7 @@ def train_round(train: DataFrame, vocabulary, params: np.ndarray, number: int) -
                 before = s[-2:]
             use(BATCH)
         use(1)
-        flat = np.concatenate([x.ravel() for x in model.p]) * model.seen
+        flat = np.concatenate([x.ravel() for x in model.p]).astype(np.float64) * model.seen
         yield pa.RecordBatch.from_arrays([pa.array([[*flat, float(model.seen)]], pa.list_(pa.float64()))], names=["x"])
 
     sums = (train.select("text").mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("at", "x"))
