@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import crc, text_batches
+from pitpanel.llm.common import crc, settle, text_batches
 
 DIMS = 1 << 13
 SAMPLE = 400        # training documents per language that the centroids are fitted on
 CLUSTERS = 4
+LANGUAGES = 10_000  # languages whose counts are broadcast, at most; with more they are joined by shuffle
 UNKNOWN = "und"
 SLACK = 0.12        # a centroid's limit: this share of the 1 % smallest training cosine
 
@@ -109,9 +110,10 @@ def _sample(train: DataFrame, size: int) -> DataFrame:
             for start in range(0, len(part), 50):
                 yield pa.RecordBatch.from_pandas(part.iloc[start:start + 50], preserve_index=False)
 
-    n = train.groupBy("lang").count()
+    n = settle(train.groupBy("lang").count(), "languages")
     # a hash threshold per language first, so a task sends its share and not ``size`` documents
     share = n.select("lang", F.least(F.lit(1.0), F.lit(1.5 * size) / F.col("count")).alias("p"))
+    share = F.broadcast(share) if n.count() <= LANGUAGES else share
     near = train.join(share, "lang").where("(h + 0.5) / 4294967296 < p").select("lang", "h", "text")
     return near.mapInArrow(lowest, "lang string, h long, text string")
 
