@@ -8,7 +8,9 @@ bins it leaves underfull are packed again in coarser groups, so waste does not a
 from __future__ import annotations
 
 import random
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,29 +25,74 @@ from pitpanel.llm.common import settle, text_batches
 CAPACITY = 4096
 GROUP = 4096          # pieces a group is planned for
 END = 1               # the id after a document's last token
-CACHE = 400_000       # words whose ids a task remembers
+CACHE = 600_000       # words whose ids a task remembers
 SEARCH_BINS = 24      # underfull bins that one local search looks at
 
 
-class Words:
-    """Token ids of a text, word by word: the vocabulary never joins what ASCII white space parts."""
+def byte_symbols() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def letter_coder(tokenizer):
+    """The same vocabulary as a tiktoken encoding of single runs of letters, each ended by a line feed.
+
+    The vocabulary marks a word's end in its last symbol; here the line feed, which no run of letters
+    holds, stands for the mark. A merge's rank is its id."""
+    import tiktoken
+
+    byte, ranks = {c: b for b, c in byte_symbols().items()}, {}
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        body = token.removesuffix("</w>")
+        if body and all(c in byte for c in body):
+            ranks[bytes(byte[c] for c in body) + (b"\n" if body != token else b"")] = i
+    return tiktoken.Encoding("letters", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+
+
+class Words(dict):
+    """Token ids by word, as little-endian unsigned 32-bit bytes, coded when first met.
+
+    The vocabulary never joins what ASCII white space parts, so a text's ids are those of its words. A run
+    of Latin letters and the ASCII punctuation after it are parted by the tokenizer too: the letters are
+    coded lower-cased by ``letter_coder``. All other words go through the whole tokenizer."""
+
+    LETTERS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters, self.parts = letter_coder(self.tokenizer).encode_ordinary, {}
+
+    def part(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            ids = self.parts[text] = array("I", self.letters(text + "\n")).tobytes()
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+            self.parts.clear()
+        found, ids = self.LETTERS.match(word), None
+        if found:
+            core, tail = found[1], found[2]
+            text = core.decode("utf-8", "replace")
+            # Latin letters up to U+017F, composed, and not the dotted capital I: their lower case is plain
+            if core.isascii() or (max(text) < "\u0180" and "\u0130" not in text and text.isalpha()):
+                ids = self.part(text.lower())
+                if tail:
+                    ids += self[tail]
+        if ids is None:
+            ids = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(dict.fromkeys(words))
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded))
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
