@@ -3,8 +3,10 @@
 Documents become vectors of hashed byte trigrams over whole lower-cased texts (letters only, words
 parted by one space), weighted by (1 + ln tf) * idf and normalised. Document frequencies count all
 training documents. The centroids come from at most ``sample`` training documents per language (the
-stated bound of the fit), clustered by spherical k-means. A document whose distance from its nearest
-centroid is over that centroid's own limit is rejected.
+stated bound of the fit), clustered by spherical k-means. A document is rejected if its cosine to its
+nearest centroid is under the limit of that centroid's language for texts of its length (in distinct
+trigrams). Limits come from passages of many lengths out of training documents that were held out of
+the centroids they are compared with (two folds).
 """
 
 from __future__ import annotations
@@ -25,7 +27,12 @@ SAMPLE = 400        # training documents per language that the centroids are fit
 CLUSTERS = 4
 LANGUAGES = 10_000  # languages whose counts are broadcast, at most; with more they are joined by shuffle
 UNKNOWN = "und"
-SLACK = 0.12        # a centroid's limit: this share of the 1 % smallest training cosine
+PASSAGES = 2        # passages of each length out of a training document that limits are set from
+STEPS = 26          # length classes: half octaves of distinct trigrams
+FEWEST = 30         # passages that a length class needs for a limit of its own; with fewer it has that of the next shorter
+TAIL = 0.002        # a limit: the lower of this quantile of the held-out cosines and their geometric mean less SPREAD deviations (of logarithms)
+SPREAD = 4.5        # at many documents; (1 + FEW / root of the documents) times as wide at few
+FEW = 8
 
 _KEEP = bytearray(b" " * 256)
 for _b in range(256):
@@ -54,7 +61,7 @@ def has_letter(text: bytes) -> bool:
 
 @dataclass
 class Model:
-    """langs[i] is the language of row i of ``centroids`` (unit rows); ``limits`` its smallest accepted cosine."""
+    """langs[i] is the language of row i of ``centroids`` (unit rows); ``limits`` its smallest accepted cosine by length class."""
 
     langs: list[str]
     idf: np.ndarray
@@ -68,6 +75,52 @@ class Model:
         v[at] = (1 + np.log(c[at])) * self.idf[at]
         return v / (np.linalg.norm(v) or 1.0)
 
+    def rejects(self, x: np.ndarray, best: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Whether the texts of the rows of ``x``, nearest to the centroids ``best`` with cosine ``score``, are too far from them."""
+        return score < self.limits[best, length_class(np.count_nonzero(x, axis=1))]
+
+
+def length_class(distinct: np.ndarray) -> np.ndarray:
+    return np.minimum(2 * np.log2(np.maximum(distinct, 1)), STEPS - 1).astype(int)
+
+
+def passages(text: bytes, rng: np.random.Generator) -> list[bytes]:
+    """The whole text, and runs of words from random places, of half-octave lengths up to the text's."""
+    words = text.decode("utf-8", "replace").lower().encode().translate(KEEP).split()
+    ends = np.cumsum([len(w) + 1 for w in words])
+    out = [text]
+    for j in range(4, 2 * STEPS):
+        n = int(2 ** (j / 2))
+        if not len(ends) or n > ends[-1]:
+            break
+        for _ in range(PASSAGES):
+            first = int(np.searchsorted(ends, rng.integers(ends[-1] - n + 1), "right"))
+            out.append(b" ".join(words[first:int(np.searchsorted(ends, (ends[first - 1] if first else 0) + n)) + 1]))
+    return out
+
+
+def limits(model: Model, texts: list[bytes], x: np.ndarray, clusters: int) -> np.ndarray:
+    """The smallest accepted cosine of every length class, from ``texts`` of one language with their vectors ``x``."""
+    rng, cosines, classes = np.random.default_rng(7), [], []
+    for fold in (0, 1):
+        if not len(x[1 - fold::2]):
+            break
+        c = cluster(x[1 - fold::2], clusters)
+        for t in texts[fold::2]:
+            held = np.stack([model.vector(p) for p in passages(t, rng)])
+            cosines.append((held @ c.T).max(1))
+            classes.append(length_class(np.count_nonzero(held, axis=1)))
+    low, least, spread = np.zeros(STEPS), 0.0, SPREAD * (1 + FEW / max(len(texts), 1) ** 0.5)
+    if cosines:
+        cosine, of = np.concatenate(cosines), np.concatenate(classes)
+        for k in range(STEPS):
+            got = cosine[of == k]
+            if len(got) >= FEWEST:
+                log = np.log(np.maximum(got, 0.01))                          # a share of the cosine, so short texts have limits too
+                least = min(max(0.01, float(np.quantile(got, TAIL))), float(np.exp(log.mean() - spread * log.std())))
+            low[k] = least
+    return low
+
 
 def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     """Document frequency of every dimension over all training documents, and their number."""
@@ -124,23 +177,20 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, text:
     train = train.withColumn("h", F.crc32(F.concat_ws(":", F.xxhash64("text").cast("string"), F.lit("langid")).cast("binary")))
     df, n = _frequencies(train)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-    base = Model([], idf, np.zeros((0, DIMS)), np.zeros(0))
+    base = Model([], idf, np.zeros((0, DIMS)), np.zeros((0, STEPS)))
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [t.encode() for t in pdf.nsmallest(sample, "h").text]
-        x = [base.vector(t) for t in texts if has_letter(t)]
-        if not x:
-            return pd.DataFrame({"lang": [], "centroid": [], "limit": []})
-        x = np.stack(x)
-        c = cluster(x, clusters)
-        near = x @ c.T
-        own = near.argmax(1)
-        low = [float(np.quantile(near[own == j, j], 0.01)) * SLACK if (own == j).any() else 0.0 for j in range(len(c))]
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]] * len(c), "centroid": [v.tolist() for v in c], "limit": low})
-
-    rows = _sample(train, sample).groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, limit double").collect()  # languages x clusters
+        texts = [t.encode() for t in pdf.sort_values(["h", "text"]).text.drop_duplicates().head(sample)]      # copies in both folds would not be held out
+        texts = [t for t in texts if has_letter(t)]
+        if not texts:
+            return pd.DataFrame({"lang": [], "centroid": [], "low": []})
+        x = np.stack([base.vector(t) for t in texts])
+        c, low = cluster(x, clusters), limits(base, texts, x, clusters)
+        return pd.DataFrame({"lang": [pdf.lang.iloc[0]] * len(c), "centroid": [v.tolist() for v in c], "low": [low.tolist()] * len(c)})
+
+    rows = _sample(train, sample).groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, low array<double>").collect()  # languages x clusters
     rows = sorted(rows, key=lambda r: (r.lang, r.centroid))
-    return Model([r.lang for r in rows], idf, np.array([r.centroid for r in rows], np.float32).reshape(-1, DIMS), np.array([r.limit for r in rows]))
+    return Model([r.lang for r in rows], idf, np.array([r.centroid for r in rows], np.float32).reshape(-1, DIMS), np.array([r.low for r in rows], float).reshape(-1, STEPS))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
@@ -158,11 +208,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             near = x @ m.centroids.T if m.langs else np.zeros((len(texts), 1))
             best = near.argmax(1)
             score = np.clip(near[np.arange(len(best)), best].astype(float), 0.0, 1.0)
+            far = m.rejects(x, best, score) if m.langs else np.ones(len(best), bool)
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(i) for i in range(len(keep))),
                 pa.array([m.langs[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
                 pa.array([float(s) if k else 0.0 for s, k in zip(score, known)], pa.float64()),
-                pa.array([not k or bool(s < m.limits[b]) for s, b, k in zip(score, best, known)], pa.bool_()),
+                pa.array([not k or bool(f) for f, k in zip(far, known)], pa.bool_()),
             ], names=[*keep, "lang_pred", "score", "rejected"])
 
     cols = docs.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -197,8 +248,9 @@ def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
             for t in texts:
                 ok = bool(m.langs) and has_letter(t)
                 if ok:
-                    near = m.centroids @ m.vector(t)
-                    ok = bool(near.max() >= m.limits[int(near.argmax())])
+                    x = m.vector(t)[None]
+                    near = x @ m.centroids.T
+                    ok = not m.rejects(x, near.argmax(1), np.clip(near.max(1).astype(float), 0.0, 1.0))[0]
                 keep.append(ok)
             part = batch.filter(pa.array(keep, pa.bool_()))
             if part.num_rows:

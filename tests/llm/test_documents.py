@@ -149,6 +149,22 @@ def test_language_rejects_what_is_far_and_handles_odd_rows(spark, docs):
     assert langid.accepted(odd(spark)).columns == odd(spark).columns
 
 
+@pytest.mark.parametrize("out", ["de", "fr"])
+def test_language_left_out_of_the_fit_is_rejected(spark, out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()).where(f"lang <> '{out}'"))
+    got = langid.predict(docs.withColumn("held_out", langid.held_out()), model, ["lang", "held_out"]).toPandas()
+    strange, clean = got[got.lang == out], got[(got.lang != out) & got.held_out]
+    assert strange.rejected.mean() > 0.8 and clean.rejected.mean() < 0.01
+
+
+def test_letters_at_random_are_rejected(spark, docs):
+    rng = np.random.default_rng(3)
+    noise = [(i, " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(60))) for i in range(20)]
+    got = langid.predict(spark.createDataFrame(noise, "doc_id long, text string"), langid.fit(docs), ["doc_id"]).collect()
+    assert all(r.rejected for r in got)
+
+
 # -- packing ------------------------------------------------------------------------------------
 
 def check_packing(table, got, capacity=4096):
