@@ -7,7 +7,7 @@ bins it leaves underfull are packed again in coarser groups, so waste does not a
 
 from __future__ import annotations
 
-import random
+import heapq
 import re
 import zlib
 from array import array
@@ -26,7 +26,6 @@ CAPACITY = 4096
 GROUP = 4096          # pieces a group is planned for
 END = 1               # the id after a document's last token
 CACHE = 600_000       # words whose ids a task remembers
-SEARCH_BINS = 24      # underfull bins that one local search looks at
 
 
 def byte_symbols() -> dict[int, str]:
@@ -140,53 +139,113 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 200, seed: int = 7) -> list[list[int]]:
+class Loose:
+    """Underfull bins by what they can give: which bins have a piece, or two pieces together, of a length, the emptiest first."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.capacity, self.fill, self.version = capacity, [sum(lengths[i] for i in b) for b in bins], [0] * len(bins)
+        self.held: list[dict[int, list[int]]] = [{} for _ in bins]
+        for held, b in zip(self.held, bins):
+            for i in b:
+                held.setdefault(lengths[i], []).append(i)
+        self.live = set(range(len(bins)))
+        self.index()
+
+    def index(self) -> None:
+        self.heaps: list[list[list[tuple[int, int, int]]]] = [[[] for _ in range(self.capacity + 1)] for _ in range(2)]
+        self.some = [0, 0]                           # bit n is set if some bin may give one piece, or two, of length n
+        for b in self.live:
+            self.enter(b)
+
+    def enter(self, b: int) -> None:
+        held, one, two = self.held[b], 0, 0
+        for n in held:
+            one |= 1 << n
+        for n, ids in held.items():
+            two |= (one if len(ids) > 1 else one & ~(1 << n)) << n
+        two &= (1 << self.capacity + 1) - 1
+        for heaps, bits in zip(self.heaps, (one, two)):
+            while bits:
+                n = (bits & -bits).bit_length() - 1
+                heapq.heappush(heaps[n], (self.fill[b], b, self.version[b]))
+                bits &= bits - 1
+        self.some = [self.some[0] | one, self.some[1] | two]
+
+    def emptiest(self, kind: int, n: int, big: int) -> int | None:
+        """The emptiest bin besides ``big``, and no fuller than it, that gives ``n``."""
+        heap, own = self.heaps[kind][n], None
+        while heap and (self.version[heap[0][1]] != heap[0][2] or heap[0][1] == big):
+            top = heapq.heappop(heap)
+            own = top if self.version[top[1]] == top[2] else own
+        found = heap[0] if heap else None
+        if own:
+            heapq.heappush(heap, own)
+        if not heap:
+            self.some[kind] &= ~(1 << n)
+        return found[1] if found and found[0] <= self.fill[big] else None
+
+    def best(self, big: int) -> tuple[int, int, int, int, int] | None:
+        """(gain, kind, length taken, length given, bin) of the change after which ``big`` is fullest."""
+        room, found = self.capacity - self.fill[big], None
+        for given in (0, *self.held[big]):
+            for kind in (0, 1):
+                least = found[0] if found else 0                                     # a change must gain more than that
+                gains = (self.some[kind] >> given + least + 1) & ((1 << room - least) - 1)
+                while gains:
+                    top = gains.bit_length()
+                    small = self.emptiest(kind, given + least + top, big)
+                    if small is not None:
+                        found = least + top, kind, given + least + top, given, small
+                        break
+                    gains ^= 1 << top - 1
+                if found and found[0] == room:
+                    return found
+        return found
+
+    def take(self, b: int, n: int) -> int:
+        i = self.held[b][n].pop()
+        if not self.held[b][n]:
+            del self.held[b][n]
+        return i
+
+    def change(self, big: int, gain: int, kind: int, taken: int, given: int, small: int) -> None:
+        first = taken if kind == 0 else next(n for n in self.held[small] if len(self.held[small].get(taken - n, ())) > (taken - n == n))
+        out = [(given, self.take(big, given))] if given else []
+        into = [(n, self.take(small, n)) for n in ([first] if kind == 0 else [first, taken - first])]
+        for b, got, more in ((big, into, gain), (small, out, -gain)):
+            for n, i in got:
+                self.held[b].setdefault(n, []).append(i)
+            self.fill[b] += more
+            self.version[b] += 1
+            if 0 < self.fill[b] < self.capacity:
+                self.enter(b)
+            else:
+                self.live.discard(b)
+
+    def settled(self) -> bool:
+        """No bin can be emptied any more."""
+        return len(self.live) < 2 or sum(self.fill[b] for b in self.live) > (len(self.live) - 1) * self.capacity
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Moves, one-for-one and two-for-one exchanges between underfull bins while squared fill grows.
 
-    Each step changes two bins and takes the change after which the fuller of them is fullest, which is
-    the one that adds most to the sum of squared fills; a bin that is emptied goes."""
-    rng = random.Random(seed)
-    full, loose = [], []
-    for b in bins:
-        (full if sum(lengths[i] for i in b) == capacity else loose).append(list(b))
-    fill = [sum(lengths[i] for i in b) for b in loose]
-    for _ in range(rounds):
-        live = [k for k in range(len(loose)) if loose[k] and fill[k] < capacity]
-        if sum(fill[k] for k in live) > (len(live) - 1) * capacity or len(live) < 2:
-            break                                    # no bin can be emptied any more
-        live = sorted(live, key=lambda k: fill[k])[:SEARCH_BINS]
-        rng.shuffle(live)
+    Each step fills a bin from another that is no fuller by the change after which it is fullest, so the
+    sum of squared fills grows; a bin that is emptied goes. All underfull bins are looked at, and the
+    search ends when none of them has a change or no bin can be emptied any more."""
+    full = [list(b) for b in bins if sum(lengths[i] for i in b) == capacity]
+    loose = Loose([b for b in bins if sum(lengths[i] for i in b) < capacity], lengths, capacity)
+    better = True
+    while better and not loose.settled():
         better = False
-        for x, to in enumerate(live):
-            for frm in live[x + 1:]:
-                if fill[to] < fill[frm]:
-                    big, small = frm, to
-                else:
-                    big, small = to, frm
-                room = capacity - fill[big]
-                best, change = 0, None
-                give = sorted((lengths[i], i) for i in loose[big])
-                take = sorted((lengths[i], i) for i in loose[small])
-                for n, i in take:                                      # move
-                    if best < n <= room:
-                        best, change = n, ([], [i])
-                sizes = np.array([g[0] for g in give])
-                pairs = [(take[p][0] + take[q][0], [take[p][1], take[q][1]]) for p in range(min(len(take), 40)) for q in range(p)]
-                for n, ids in [(n, [i]) for n, i in take] + pairs:      # one or two for one
-                    if not len(sizes) or n <= best:
-                        continue
-                    k = int(np.searchsorted(sizes, n - room))           # the smallest that leaves room enough
-                    if k < len(sizes) and best < n - sizes[k] <= room:
-                        best, change = int(n - sizes[k]), ([give[k][1]], ids)
-                if change:
-                    out, into = change
-                    loose[big] = [i for i in loose[big] if i not in out] + into
-                    loose[small] = [i for i in loose[small] if i not in into] + out
-                    fill[big], fill[small] = fill[big] + best, fill[small] - best
-                    better = True
-        if not better:
-            break
-    return full + [b for b in loose if b]
+        for big in sorted(loose.live, key=lambda b: (-loose.fill[b], b)):
+            while big in loose.live and (found := loose.best(big)):
+                loose.change(big, *found)
+                better = True
+            if loose.settled():
+                break
+        loose.index()                                # without what has changed since
+    return full + [[i for ids in held.values() for i in ids] for held in loose.held if held]
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:

@@ -213,6 +213,14 @@ def test_local_search_empties_a_bin_that_best_fit_leaves():
     assert len(best) == 5
 
 
+def test_local_search_looks_at_all_underfull_bins():
+    lengths = [2058] * 600 + [1044] * 600 + [1034] * 600 + [1004] * 1200                 # 900 sequences of 4096 hold them
+    start = packing.best_fit(lengths, 4096)
+    done = packing.local_search(start, lengths, 4096)
+    assert sorted(i for b in done for i in b) == list(range(3000)) and all(sum(lengths[i] for i in b) <= 4096 for b in done)
+    assert len(start) == 1100 and len(done) < 1000
+
+
 # -- licences -----------------------------------------------------------------------------------
 
 def plain_license(text):
