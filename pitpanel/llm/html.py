@@ -28,6 +28,12 @@ FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 FURNITURE_NAMES = re.compile(r"^(ads?|adverts?|advertisement|banner|sponsor(ed)?|promo(tion)?|nav(bar|igation)?|menu|side ?bar|foot(er)?|head(er)?|masthead|breadcrumbs?|"
                              r"comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|social|related|"
                              r"recommended|widget|toolbar|copyright|legal|pagination|pager|skip)$")
+#: Furniture also around or on an article: what others wrote, or other pages' articles. Other names and forms do not reach into an article.
+STRONG_NAMES = re.compile(r"^(ads?|adverts?|advertisement|sponsor(ed)?|promo(tion)?|comments?|commentlist|respond|replies|disqus|related|recommended)$")
+STRONG_TAGS = FURNITURE_TAGS - {"form"}
+#: A name with one of these words tells of the page's layout ("no-sidebar", "has-header"); "legal" alone is a name, as a part it is not.
+LAYOUT_WORDS = frozenset("no not non without with has have is".split())
+WHOLE_ONLY = frozenset(("legal",))
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 ARTICLE = frozenset(("article", "main"))
 
@@ -53,28 +59,39 @@ LABELLED = [
 ]
 
 
+def named(value: str, whole: bool = False) -> int:
+    """What a class or id says of a container: 0 nothing, 1 furniture, 2 furniture also around an article; ``whole``: its names as they are, without parts."""
+    found = 0
+    for w in value.lower().split():
+        parts = [p for p in re.split(r"[-_0-9]+", w) if p]
+        if LAYOUT_WORDS.isdisjoint(parts):
+            for p in (w.rstrip("-_0123456789"), *(() if whole else (p for p in parts if p not in WHOLE_ONLY))):
+                found = max(found, 2 if STRONG_NAMES.match(p) else 1 if FURNITURE_NAMES.match(p) else 0)
+    return found
+
+
 class Blocks(HTMLParser):
     """Flat blocks of a page, in order: (text, words, link words, in the article, furniture, heading)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []       # tag, furniture
+        self.open: list[tuple[str, int, int]] = []   # tag, furniture (2 also around an article), weak furniture around the tag
         self.found: list[tuple[str, int, int, int, int, int]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.links = self.skips = self.articles = self.furniture = self.headings = 0
+        self.links = self.skips = self.articles = self.strong = self.weak = self.headings = 0
 
     def cut(self) -> None:
         words = "".join(self.parts).split()
         if words:
-            self.found.append((" ".join(words), len(words), min(self.linked, len(words)), int(self.articles > 0), int(self.furniture > 0), int(self.headings > 0)))
+            self.found.append((" ".join(words), len(words), min(self.linked, len(words)), int(self.articles > 0), int(self.strong + self.weak > 0), int(self.headings > 0)))
         self.parts, self.linked = [], 0
 
-    def count(self, tag: str, furniture: bool, by: int) -> None:
+    def count(self, tag: str, furniture: int, by: int) -> None:
         self.links += by * (tag == "a")
         self.skips += by * (tag in SKIPPED)
         self.articles += by * (tag in ARTICLE)
-        self.furniture += by * furniture
+        self.strong += by * (furniture == 2)
         self.headings += by * (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")
 
     def drop(self, tag: str, until: frozenset[str] = frozenset()) -> None:
@@ -82,7 +99,8 @@ class Blocks(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 while len(self.open) > k:
-                    self.count(*self.open.pop(), -1)
+                    closed, furniture, self.weak = self.open.pop()
+                    self.count(closed, furniture, -1)
                 return
             if self.open[k][0] in until:
                 return
@@ -97,14 +115,16 @@ class Blocks(HTMLParser):
                 self.drop(tag, frozenset(("ul", "ol", "table", "dl", "menu")))
         if tag in VOID:
             return
-        furniture = tag in FURNITURE_TAGS
-        if not furniture and tag not in ("html", "body", "article", "main"):
+        furniture = 2 if tag in STRONG_TAGS else int(tag in FURNITURE_TAGS)
+        if not furniture and tag not in ("html", "body", "main"):
             for name, value in attrs:
                 if name in ("class", "id") and value:
-                    furniture |= any(FURNITURE_NAMES.match(part) for w in value.lower().split() for part in (w, *re.split(r"[-_0-9]+", w)))
-                elif name == "role" and value:
-                    furniture |= value.lower() in FURNITURE_ROLES
-        self.open.append((tag, furniture))
+                    level = named(value, tag == "article")
+                    furniture = max(furniture, level if tag != "article" or level == 2 else 0)
+                elif name == "role" and value and tag != "article":
+                    furniture = max(furniture, 2 * (value.lower() in FURNITURE_ROLES - {"form"}), int(value.lower() == "form"))
+        self.open.append((tag, furniture, self.weak))
+        self.weak = (0 if tag in ARTICLE else self.weak) + (furniture == 1)
         self.count(tag, furniture, 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

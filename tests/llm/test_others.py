@@ -54,6 +54,26 @@ def test_page_without_an_article_element():
     assert not any(x in got for x in ("Home", "Buy", "I like", "cookies", "Your mail", "Related", "all of us", "hidden"))
 
 
+@pytest.mark.parametrize("wrapper", ['div class="no-sidebar"', 'div class="page with-sidebar"', 'div id="has-header"', 'div class="legal-text"', 'div class="sidebar"', "form"])
+def test_a_container_does_not_override_the_article_inside(wrapper):
+    page = PAGE.replace("<article>", f"<{wrapper}><article>").replace("</article>", f"</article></{wrapper.split()[0]}>")
+    assert html.main_text(page, html.train()) == html.main_text(PAGE, html.train()) != ""
+
+
+def test_layout_names_are_no_furniture_without_an_article():
+    text = "A paragraph of the page with quite enough words in it to be taken as text by the tree that is grown here."
+    for name in ("no-sidebar", "with-sidebar", "has-header", "legal-text"):
+        assert html.main_text(f'<body><div class="{name}"><p>{text}</p></div></body>', html.train()) == text
+    assert html.main_text(f'<body><div class="left-sidebar"><p>{text}</p></div></body>', html.train()) == ""
+
+
+def test_comment_articles_are_furniture():
+    page = '<article class="post has-comments"><p>The story itself.</p></article><article class="comment even" id="comment-7"><p>I like it.</p></article>'
+    assert html.main_text(page, html.train()) == "The story itself."
+    page = '<article><p>The story itself.</p></article><div id="comments"><article><p>I like it.</p></article></div>'
+    assert html.main_text(page, html.train()) == "The story itself."
+
+
 def test_tree_learns_its_table():
     table = np.array(html.LABELLED, float)
     assert (html.classify(html.train(), table[:, :-1]) == table[:, -1].astype(bool)).all()
