@@ -1,7 +1,10 @@
 import re
+import shutil
 import subprocess
 import sys
 
+import pytest
+
 from conftest import ROOT
 from pitpanel import plans
 
@@ -19,3 +22,15 @@ def test_listing_needs_no_session():
 
 def test_names_are_plain():
     assert all(re.fullmatch(r"[a-z][a-z0-9_]+", n) for n in plans.registry())
+
+
+@pytest.mark.parametrize("gone", [["pitpanel/llm", "tests/llm"], ["pitpanel/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_the_training_data_operators(tmp_path, gone):
+    tree = tmp_path / "tree"
+    without = lambda d, names: {n for n in names if n in (".git", "__pycache__", ".pytest_cache") or str((ROOT / d / n).relative_to(ROOT)) in gone}
+    shutil.copytree(ROOT, tree, ignore=without)
+    for empty in gone[:1] if gone[0].endswith("llm") else []:
+        (tree / empty / "__pycache__").mkdir(parents=True)             # what a deleted package may leave behind
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'public_score_card' in q; print(sorted(n for n in q if n == 'pipeline' or n.startswith('op1')))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tree, check=True, capture_output=True, timeout=120, text=True).stdout
+    assert "pipeline" not in out and ("op1_" in out) == (gone == ["corpus_pipeline.py"])
