@@ -10,7 +10,7 @@ from pitpanel.operators import cointegration as co
 from pitpanel.operators import forecast as fc
 from pitpanel.operators import nonlinear as nl
 from pitpanel.operators import regimes as rm
-from pitpanel.operators.features import two_factor_state
+from pitpanel.operators.features import balanced_panel, two_factor_state
 from pitpanel.operators.regression import mean_test
 from pitpanel.plans.anchor import quarter_panel
 from pitpanel.plans.calendar import E, grid
@@ -18,7 +18,7 @@ from pitpanel.plans.forecast import MIN_TRAIN, comp_table, p_values
 from pitpanel.plans.gaps import panel_once
 from pitpanel.plans.inputs import daily_events, table
 from pitpanel.plans.registry import query
-from pitpanel.plans.sql import COMP, DAILY, GRID, NM, mean_test_cte, rnd, with_
+from pitpanel.plans.sql import COMP, DAILY, GRID, NM, mean_test_cte, ols_cte, rnd, with_
 from pitpanel.session import settled
 
 QUANTILES = [round(0.15 + 0.05 * i, 2) for i in range(15)]
@@ -117,38 +117,84 @@ def _(spark, sf):
     return out(co.fisher(p_values(spark, sf).join(brands, "id"), ["p_brand"], "p"), "stat", "share_rejecting", keep=("p_brand", "n"))
 
 
-# each entity's residual of lp on lv, its unit-root sums with one lag removed, then group and panel
-PANEL_UR = """qp AS (SELECT * FROM (SELECT entity, CAST(date_trunc('quarter', ref_month) AS DATE) AS quarter, ln(avg(p)) AS lp, ln(sum(v)) AS lv FROM grid GROUP BY entity, date_trunc('quarter', ref_month))
+# quarters that every entity has; then, by (rep, entity), the residual's unit-root sums with one lag removed and the
+# error-correction sums with all other terms removed; rep 0 is the data
+BALANCED = """qp AS (SELECT * FROM (SELECT entity, CAST(date_trunc('quarter', ref_month) AS DATE) AS quarter, ln(avg(p)) AS lp, ln(sum(v)) AS lv FROM grid GROUP BY entity, date_trunc('quarter', ref_month))
    WHERE lp IS NOT NULL AND lv IS NOT NULL),
- rs AS (SELECT entity, quarter, lp - regr_intercept(lp, lv) OVER e - regr_slope(lp, lv) OVER e * lv AS r FROM qp WINDOW e AS (PARTITION BY entity)),
- d1 AS (SELECT *, r - lag(r) OVER o AS c, lag(r) OVER o AS l FROM rs WINDOW o AS (PARTITION BY entity ORDER BY quarter)),
- d2 AS (SELECT *, lag(c) OVER (PARTITION BY entity ORDER BY quarter) AS k FROM d1),
- ss AS (SELECT entity, count(*) AS n, sum(l * l) - sum(l * k) ** 2 / sum(k * k) AS zz, sum(l * c) - sum(l * k) * sum(k * c) / sum(k * k) AS zy, sum(c * c) - sum(k * c) ** 2 / sum(k * k) AS yy
-   FROM d2 WHERE c IS NOT NULL AND l IS NOT NULL AND k IS NOT NULL GROUP BY 1 HAVING count(*) > 2)"""
+ cm AS (SELECT quarter FROM qp GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT entity) FROM qp)),
+ bp AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY quarter) - 1 AS i FROM qp WHERE quarter IN (SELECT quarter FROM cm) AND (SELECT count(*) FROM cm) >= 10)"""
+PARTS = ",\n ".join([
+    ols_cte("lr", "sim", "rep, entity", "y", ["1.0", "x"], "t"),
+    """d1 AS (SELECT rep, entity, t, e - lag(e) OVER o AS c, lag(e) OVER o AS l FROM lr WINDOW o AS (PARTITION BY rep, entity ORDER BY t)),
+ d2 AS (SELECT * FROM (SELECT *, lag(c) OVER (PARTITION BY rep, entity ORDER BY t) AS k FROM d1) WHERE k IS NOT NULL)""",
+    ols_cte("ur", "d2", "rep, entity", "c", ["k", "l"]),
+    """up AS (SELECT rep, entity, any_value(n) AS n, any_value(zz) AS zz, any_value(zy) AS zy, any_value(ssr) + any_value(zy) ** 2 / any_value(zz) AS yy FROM ur GROUP BY 1, 2),
+ us AS (SELECT rep, count(*) AS entities, avg(zy / sqrt(zz * (yy - zy * zy / zz) / (n - 2))) AS group_stat,
+   sum(zy) / sum(zz) / sqrt((sum(yy) - sum(zy) ** 2 / sum(zz)) / (sum(n) - 1 - count(*)) / sum(zz)) AS panel_stat FROM up GROUP BY 1),
+ e1 AS (SELECT rep, entity, t, y - lag(y) OVER o AS dy, x - lag(x) OVER o AS dx, lag(y) OVER o AS ly, lag(x) OVER o AS lx FROM sim WINDOW o AS (PARTITION BY rep, entity ORDER BY t)),
+ e2 AS (SELECT * FROM (SELECT *, lag(dy) OVER o AS ldy, lag(dx) OVER o AS ldx FROM e1 WINDOW o AS (PARTITION BY rep, entity ORDER BY t)) WHERE ldy IS NOT NULL)""",
+    ols_cte("ec", "e2", "rep, entity", "dy", ["1.0", "lx", "ldy", "dx", "ldx", "ly"]),
+    """ep AS (SELECT rep, entity, any_value(n) AS n, any_value(zz) AS zz, any_value(zy) AS zy, any_value(ssr) / (any_value(n) - 6) AS s2 FROM ec GROUP BY 1, 2),
+ es AS (SELECT rep, CASE WHEN min(n) - 6 >= 6 THEN avg(zy / sqrt(zz * s2)) END AS ec_group_stat, CASE WHEN min(n) - 6 >= 6 THEN sum(zy) / sum(zz) / sqrt(avg(s2) / sum(zz)) END AS ec_panel_stat FROM ep GROUP BY 1)""",
+])
+REAL = "sim AS (SELECT 0 AS rep, entity, i AS t, lp AS y, lv AS x FROM bp)"
+REPS = 999
+# the changes' own model, periods drawn once for all entities, paths rebuilt along them
+NULL_PATHS = ",\n ".join([
+    """n1 AS (SELECT entity, i, lp - lag(lp) OVER o AS dy, lv - lag(lv) OVER o AS dx FROM bp WINDOW o AS (PARTITION BY entity ORDER BY i)),
+ n2 AS (SELECT * FROM (SELECT *, lag(dy) OVER o AS ldy, lag(dx) OVER o AS ldx FROM n1 WINDOW o AS (PARTITION BY entity ORDER BY i)) WHERE ldy IS NOT NULL)""",
+    ols_cte("nf", "n2", "entity", "dy", ["1.0", "ldy", "dx", "ldx"], "i, dx"),
+    f"""ns AS (SELECT entity, i - 2 AS src, dx, e - avg(e) OVER (PARTITION BY entity) AS shock, b0, b1, b2, b3 FROM nf),
+ dr AS MATERIALIZED (SELECT rep, s, CAST(floor((CAST(('0x' || substr(md5('13|period|' || rep || '|' || s), 1, 8)) AS UBIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE * k) AS BIGINT) AS src
+   FROM range(1, {REPS} + 1) r(rep), (SELECT max(i) - 1 AS k FROM bp), LATERAL range(0, k) q(s)),
+ pt AS (SELECT rep, n1.entity, -1 AS s, n1.dy, n1.dx, bp.lp + n1.dy AS y, bp.lv + n1.dx AS x FROM n1 JOIN bp ON bp.entity = n1.entity AND bp.i = 0, range(1, {REPS} + 1) r(rep) WHERE n1.i = 1
+  UNION ALL SELECT p.rep, p.entity, p.s + 1, b0 + b1 * p.dy + b2 * n.dx + b3 * p.dx + n.shock, n.dx, p.y + b0 + b1 * p.dy + b2 * n.dx + b3 * p.dx + n.shock, p.x + n.dx
+   FROM pt p JOIN dr ON dr.rep = p.rep AND dr.s = p.s + 1 JOIN ns n ON n.entity = p.entity AND n.src = dr.src),
+ sim AS MATERIALIZED (SELECT 0 AS rep, entity, i AS t, lp AS y, lv AS x FROM bp UNION ALL SELECT rep, entity, s + 2, y, x FROM pt
+  UNION ALL SELECT rep, entity, 0, lp, lv FROM bp, range(1, {REPS} + 1) r(rep) WHERE i = 0)""",
+])
+
+
+def common_quarters(spark, sf):
+    return balanced_panel(quarters_once(spark, sf), "entity", "quarter", ["lp", "lv"])
+
+
+@query("residual_panel_tests", "I5", with_(NM, GRID, BALANCED, REAL, PARTS) + f"""
+SELECT count(*) AS entities, {rnd('any_value(group_stat)', 'group_stat')}, {rnd('any_value(panel_stat)', 'panel_stat')} FROM us, (SELECT DISTINCT entity FROM bp)""")
+def _(spark, sf):
+    return out(co.residual_panel_tests(common_quarters(spark, sf), [], "entity", "quarter", "lp", ["lv"]), "group_stat", "panel_stat", keep=("entities",))
 
 
-@query("residual_panel_tests", "I5", with_(NM, GRID, PANEL_UR) + f"""
-SELECT count(*) AS entities, {rnd('avg(zy / zz / sqrt((yy - zy * zy / zz) / (n - 2) / zz))', 'group_stat')},
- {rnd('sum(zy) / sum(zz) / sqrt((sum(yy) - sum(zy) ** 2 / sum(zz)) / (sum(n) - 1 - count(*)) / sum(zz))', 'panel_stat')} FROM ss""")
+@query("error_correction_panel_tests", "I6", with_(NM, GRID, BALANCED, REAL, PARTS) + f"""
+SELECT {rnd('max(ec_group_stat)', 'ec_group_stat')}, {rnd('max(ec_panel_stat)', 'ec_panel_stat')} FROM es""")
 def _(spark, sf):
-    return out(co.residual_panel_tests(quarters_once(spark, sf), [], "entity", "quarter", "lp", ["lv"]), "group_stat", "panel_stat", keep=("entities",))
+    return out(co.error_correction_panel_tests(common_quarters(spark, sf), [], "entity", "quarter", "lp", ["lv"]), "ec_group_stat", "ec_panel_stat", keep=())
 
 
-@query("error_correction_panel_tests", "I6")
+@query("panel_bootstrap_test", "I7", with_(NM, GRID, BALANCED, NULL_PATHS, PARTS).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, st AS (SELECT * FROM us JOIN es USING (rep)), ok AS (SELECT * FROM st WHERE rep = 0 AND group_stat IS NOT NULL AND panel_stat IS NOT NULL AND ec_group_stat IS NOT NULL AND ec_panel_stat IS NOT NULL),
+ pv AS (SELECT """ + ", ".join(f"(1 + count(*) FILTER (b.{x} <= ok.{x})) / {REPS + 1}.0::DOUBLE AS p_{x}" for x in co.STATISTICS) + f""" FROM ok JOIN st b ON b.rep > 0 GROUP BY ok.rep)
+SELECT (SELECT count(DISTINCT entity) FROM qp) AS entities, (SELECT count(*) FROM cm) AS periods, ok.rep IS NOT NULL AS testable, """ + ", ".join(f"{rnd(x, x)}, {rnd(f'p_{x}', f'p_{x}')}" for x in co.STATISTICS) + """
+FROM (SELECT 1) LEFT JOIN ok ON true LEFT JOIN pv ON true""")
 def _(spark, sf):
-    return out(co.error_correction_panel_tests(quarters_once(spark, sf), [], "entity", "quarter", "lp", ["lv"]), "ec_group_stat", "ec_panel_stat", keep=())
+    d = co.panel_test(quarters_once(spark, sf), "entity", "quarter", "lp", ["lv"], REPS, 13)
+    return out(d, *co.STATISTICS, *[f"p_{s}" for s in co.STATISTICS], keep=("entities", "periods", "testable"))
 
 
-@query("panel_bootstrap_test", "I7")
-def _(spark, sf):
-    d = co.panel_test(quarters_once(spark, sf), "entity", "quarter", "lp", ["lv"], 99, 13)
-    return out(d, *co.STATISTICS, *[f"p_{s}" for s in co.STATISTICS], keep=("entities",))
+CANDIDATES = ["lv", "disc", "tax", "lq", "ln"]
+
+
+def quarter_measures(panel):
+    """Log price with the candidates that may explain it: log volume, discount, tax, log quantity, log orders."""
+    return panel.groupBy("entity", F.trunc("ref_month", "QUARTER").alias("quarter")).agg(
+        F.log(F.avg("p")).alias("lp"), F.log(F.sum("v")).alias("lv"), (F.avg("disc") * 10).alias("disc"), (F.avg("tax") * 10).alias("tax"),
+        F.log(F.sum("qty")).alias("lq"), F.log(F.sum("n").cast("double")).alias("ln"))
 
 
 @query("specification_family_tests", "I9")
 def _(spark, sf):
-    d = co.family_tests(quarters_once(spark, sf), "entity", "quarter", "lp", ["lv", "disc"], "lv", 49, 13, "group_stat")
-    return out(d, "group_stat", "p", "p_holm", "p_bh", keep=("spec", "entities"))
+    d = co.family_tests(settled(quarter_measures(panel_once(spark, sf))), "entity", "quarter", "lp", CANDIDATES, "lv", REPS, 13, "group_stat")
+    return out(d, "group_stat", "p", "p_holm", "p_bh", keep=("spec", "entities", "periods", "testable"))
 
 
 KPSS = [NM, GRID, COMP, "kd AS (SELECT entity, ref_month, ect - avg(ect) OVER (PARTITION BY entity) AS e FROM comp WHERE ect IS NOT NULL)",

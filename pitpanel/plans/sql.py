@@ -97,3 +97,29 @@ def mean_test_cte(name: str, src: str, x: str, by: str = "entity, h", lags: str
  {name}_l AS (SELECT {cols}, sum(CASE WHEN a.rn = b.rn THEN 1.0 ELSE 2 * (1 - (a.rn - b.rn) / CAST({lag} + 1 AS DOUBLE)) END * a.e * b.e) AS q
    FROM {name}_d a JOIN {name}_d b ON {on} AND b.rn <= a.rn AND a.rn - b.rn <= {lag} GROUP BY {cols}),
  {name} AS (SELECT {cols}, count(*) AS n, avg(raw) AS mean, avg(raw) / sqrt(any_value(q) / count(*) / count(*)) AS t FROM {name}_d a JOIN {name}_l b ON {on} GROUP BY {cols})"""
+
+
+def ols_cte(name: str, src: str, by: str, y: str, xs: list[str], keep: str = "") -> str:
+    """CTEs ending in ``name``: the rows of ``src`` (none of whose ``xs`` and ``y`` is NULL) with ``by``, ``keep``, the number of rows n, the
+    coefficients b0.. of ``xs``, the residual e, the sum of squares zz and the cross sum zy of the last
+    regressor after the others are taken out, and ssr. The columns are made orthogonal one after the other."""
+    p, extra = len(xs), f", {keep}" if keep else ""
+    names = [f"q{i}" for i in range(p)] + ["qy"]
+    parts = [f"{name}_0 AS (SELECT {by}{extra}, " + ", ".join(f"CAST({c} AS DOUBLE) AS {n}" for c, n in zip([*xs, y], names)) + f" FROM {src})"]
+    known = ""
+    for i in range(p):
+        rest = names[i + 1:]
+        ratios = ", ".join(f"sum(q{i} * {n}) OVER w / sum(q{i} * q{i}) OVER w AS r{i}_{n}" for n in rest)
+        parts.append(f"{name}_r{i} AS (SELECT *, {ratios} FROM {name}_{i} WINDOW w AS (PARTITION BY {by}))")
+        known += "".join(f", r{i}_{n}" for n in rest)
+        kept = ", ".join([f"q{j}" for j in range(i + 1)] + [f"{n} - r{i}_{n} * q{i} AS {n}" for n in rest])
+        parts.append(f"{name}_{i + 1} AS (SELECT {by}{extra}{known}, {kept} FROM {name}_r{i})")
+    last = f"{name}_{p}"
+    for i in reversed(range(p)):
+        step = f"{name}_b{i}"
+        parts.append(f"{step} AS (SELECT *, r{i}_qy" + "".join(f" - r{i}_q{j} * b{j}" for j in range(i + 1, p)) + f" AS b{i} FROM {last})")
+        last = step
+    z = f"q{p - 1}"
+    parts.append(f"{name} AS (SELECT {by}{extra}, " + ", ".join(f"b{i}" for i in range(p)) + f", qy AS e, count(*) OVER w AS n, sum({z} * {z}) OVER w AS zz, sum({z} * {z}) OVER w * b{p - 1} AS zy, "
+                 f"sum(qy * qy) OVER w AS ssr FROM {last} WINDOW w AS (PARTITION BY {by}))")
+    return ",\n ".join(parts)
