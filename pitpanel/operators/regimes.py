@@ -12,112 +12,153 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.functions.columns import ordered, whole
-from pitpanel.operators.asof import asof
+from pitpanel.functions.columns import ordered
 from pitpanel.operators.calendar import Keys
 
 PARAMS = ("m0", "m1", "s0", "s1", "p00", "p11")
 
 
+def _stack(columns: list[pd.Series], fill: float = 0.0) -> tuple[list[np.ndarray], np.ndarray]:
+    """Ragged series as (rows, longest) arrays, one per column, and the rows' lengths."""
+    sizes = np.array([len(v) for v in columns[0]])
+    out = []
+    for c in columns:
+        a = np.full((len(sizes), sizes.max(initial=0)), fill)
+        for i, v in enumerate(c):
+            a[i, :len(v)] = v
+        out.append(a)
+    return out, sizes
+
+
+def _cut(a: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return [a[i, :k] for i, k in enumerate(sizes)]
+
+
 def _density(x: Column, mean: Column, sd: Column) -> Column:
     z = (x - mean) / sd
     return F.exp(-0.5 * z * z) / (sd * 2.5066282746310002)
 
 
-def _fold(rows: str) -> Column:
-    """Array of (t, prior, density, filtered) from an array of (t, r, m0, m1, s0, s1, p00, p11).
+def filter_pass(d0: np.ndarray, d1: np.ndarray, p00: np.ndarray, p11: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prior, predictive density and filtered probability of state 1 for stacks of series, from the states' densities.
 
     The start is the long-run share of state 1 under the first row's transitions."""
-    f = F.col(rows)[0]
-    start = F.struct(((1 - f["p00"]) / (2 - f["p00"] - f["p11"])).alias("p"),
-                     F.expr("cast(array() as array<struct<t:date,prior:double,density:double,filtered:double>>)").alias("out"))
+    prior, total, state = (np.empty_like(d0) for _ in range(3))
+    f = (1 - p00[:, 0]) / (2 - p00[:, 0] - p11[:, 0]) if d0.shape[1] else None
+    for t in range(d0.shape[1]):
+        prior[:, t] = f * p11[:, t] + (1 - f) * (1 - p00[:, t])
+        total[:, t] = prior[:, t] * d1[:, t] + (1 - prior[:, t]) * d0[:, t]
+        f = state[:, t] = prior[:, t] * d1[:, t] / total[:, t]
+    return prior, total, state
 
-    def step(acc: Column, r: Column) -> Column:
-        prior = acc["p"] * r["p11"] + (1 - acc["p"]) * (1 - r["p00"])
-        d0, d1 = _density(r["r"], r["m0"], r["s0"]), _density(r["r"], r["m1"], r["s1"])
-        total = prior * d1 + (1 - prior) * d0
-        row = F.struct(r["t"].alias("t"), prior.alias("prior"), total.alias("density"), (prior * d1 / total).alias("filtered"))
-        return F.transform(F.array(row), lambda x: F.struct(x["filtered"].alias("p"), F.concat(acc["out"], F.array(x)).alias("out")))[0]
 
-    return F.aggregate(rows, start, step)["out"]
+def _array_of(df: DataFrame, keys: Keys, row: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_r"))
 
 
 def filtered(df: DataFrame, keys: Keys, time: str, ret: str) -> DataFrame:
     """Filtered and one-step-ahead probability of state 1 and the predictive density.
 
-    Parameters are columns of the row, so transitions may change from row to row."""
-    row = F.struct(F.col(time).alias("t"), F.col(ret).alias("r"), *PARAMS)
-    g = df.where(F.col(ret).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    g = g.select(*keys, F.inline(_fold("_rows")))
-    return g.withColumnRenamed("t", time).withColumnRenamed("filtered", "p_filtered").withColumnRenamed("prior", "p_predicted")
+    Parameters are columns of the row, so transitions may change from row to row. A batch's series move on
+    together, one observation at a time, and every state is written once."""
+
+    @F.pandas_udf("prior array<double>, density array<double>, filtered array<double>")
+    def run(d0: pd.Series, d1: pd.Series, p00: pd.Series, p11: pd.Series) -> pd.DataFrame:
+        stacks, sizes = _stack([d0, d1, p00, p11], 0.5)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = filter_pass(*stacks)
+        return pd.DataFrame({n: pd.Series(_cut(a, sizes), dtype=object) for n, a in zip(("prior", "density", "filtered"), out)})
+
+    c = {n: F.col(n).cast("double") for n in PARAMS}
+    r = F.col(ret).cast("double")
+    row = F.struct(F.col(time).alias("t"), _density(r, c["m0"], c["s0"]).alias("d0"), _density(r, c["m1"], c["s1"]).alias("d1"), c["p00"].alias("p00"), c["p11"].alias("p11"))
+    g = _array_of(df.where(F.col(ret).isNotNull()), keys, row).select(*keys, F.col("_r.t").alias("_t"), run("_r.d0", "_r.d1", "_r.p00", "_r.p11").alias("_o"))
+    z = F.explode(F.arrays_zip("_t", "_o.prior", "_o.density", "_o.filtered"))
+    return g.select(*keys, z.alias("_z")).select(*keys, F.col("_z._t").alias(time), F.col("_z.prior").alias("p_predicted"), F.col("_z.density").alias("density"), F.col("_z.filtered").alias("p_filtered"))
 
 
 def smoothed(f: DataFrame, keys: Keys, time: str) -> DataFrame:
-    """Ex-post probability of state 1 from filtered and predicted ones (p00, p11 per row).
-
-    The backward recursion runs over the stored values of each series."""
-    row = F.struct(F.col(time).alias("t"), F.col("p_filtered").alias("f"), F.lead("p_predicted").over(ordered(keys, time)).alias("nx"),
-                   F.col("p00").alias("p00"), F.col("p11").alias("p11"))
-    g = f.withColumn("_r", row).groupBy(*keys).agg(F.sort_array(F.collect_list("_r"), asc=False).alias("_rows"))
-    last = F.struct(F.col("_rows")[0]["f"].alias("s"), F.array(F.struct(F.col("_rows")[0]["t"].alias("t"), F.col("_rows")[0]["f"].alias("p"))).alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        s = r["f"] * (r["p11"] * acc["s"] / r["nx"] + (1 - r["p11"]) * (1 - acc["s"]) / (1 - r["nx"]))
-        return F.transform(F.array(s), lambda v: F.struct(v.alias("s"), F.concat(acc["out"], F.array(F.struct(r["t"].alias("t"), v.alias("p")))).alias("out")))[0]
-
-    rest = F.slice("_rows", 2, F.size("_rows"))
-    out = g.select(*keys, F.inline(F.aggregate(rest, last, step)["out"]))
-    return out.withColumnRenamed("t", time).withColumnRenamed("p", "p_smoothed")
-
-
-def fit_states(r: np.ndarray, rounds: int = 200, tol: float = 1e-8) -> tuple[float, ...]:
-    """Two-state Gaussian parameters by expectation-maximisation from a low/high-variance start."""
-    n = len(r)
-    mean, sd = r.mean(), r.std() or 1.0
-    m, s = np.array([mean, mean]), np.array([0.6 * sd, 1.6 * sd])
-    p = np.array([[0.9, 0.1], [0.2, 0.8]])
-    old = -np.inf
+    """Ex-post probability of state 1 from filtered and predicted ones (p00, p11 per row)."""
+
+    @F.pandas_udf("array<double>")
+    def run(state: pd.Series, ahead: pd.Series, p11: pd.Series) -> pd.Series:
+        (s, nx, stay), sizes = _stack([state, ahead, p11], 0.5)
+        for t in range(s.shape[1] - 2, -1, -1):
+            inner = sizes > t + 1
+            later = s[:, t + 1]
+            back = s[:, t] * (stay[:, t] * later / nx[:, t + 1] + (1 - stay[:, t]) * (1 - later) / (1 - nx[:, t + 1]))
+            s[:, t] = np.where(inner, back, s[:, t])
+        return pd.Series(_cut(s, sizes), dtype=object)
+
+    row = F.struct(F.col(time).alias("t"), F.col("p_filtered").alias("f"), F.col("p_predicted").alias("n"), F.col("p11").cast("double").alias("p"))
+    g = _array_of(f, keys, row).select(*keys, F.col("_r.t").alias("_t"), run("_r.f", "_r.n", "_r.p").alias("_s"))
+    return g.select(*keys, F.explode(F.arrays_zip("_t", "_s")).alias("_z")).select(*keys, F.col("_z._t").alias(time), F.col("_z._s").alias("p_smoothed"))
+
+
+# spread of calm and stress in units of the series' own, and the chance to stay in each
+STARTS = np.array([(0.6, 1.6, 0.9, 0.8), (0.4, 1.2, 0.95, 0.95), (0.8, 2.5, 0.97, 0.7), (0.9, 1.1, 0.5, 0.5)])
+
+
+def fit_batch(series: list[np.ndarray], rounds: int = 200, tol: float = 1e-8) -> np.ndarray:
+    """Two-state Gaussian parameters of many series at once by expectation-maximisation: a row of PARAMS and the
+    log likelihood per series and start, in that order. A row that has settled leaves the batch."""
+    (r,), sizes = _stack([pd.Series(series, dtype=object)])
+    there = np.arange(r.shape[1]) < sizes[:, None]
+    n = len(STARTS)
+    r, there, start = np.repeat(r, n, 0), np.repeat(there, n, 0), np.tile(STARTS, (len(series), 1))
+    size = there.sum(1)
+    mean = (r * there).sum(1) / size
+    sd = np.sqrt((((r - mean[:, None]) * there) ** 2).sum(1) / size)
+    sd[sd == 0] = 1.0
+    par = np.column_stack([mean, mean, start[:, 0] * sd, start[:, 1] * sd, start[:, 2:], np.full(len(r), -np.inf)])
+    live = np.arange(len(r))
     for _ in range(rounds):
-        dens = np.exp(-0.5 * ((r[:, None] - m) / s) ** 2) / (s * np.sqrt(2 * np.pi)) + 1e-300
-        prior = np.array([p[1, 0], p[0, 1]]) / (p[1, 0] + p[0, 1])
-        f, pred, ll = np.empty((n, 2)), np.empty((n, 2)), 0.0
-        for t in range(n):
-            pred[t] = prior if t == 0 else f[t - 1] @ p
-            joint = pred[t] * dens[t]
-            ll += np.log(joint.sum())
-            f[t] = joint / joint.sum()
-        g = f.copy()
-        pair = np.zeros((2, 2))
-        for t in range(n - 2, -1, -1):
-            back = g[t + 1] / np.maximum(pred[t + 1], 1e-300)
-            pair += f[t][:, None] * p * back[None, :]
-            g[t] = f[t] * (p @ back)
-        p = pair / pair.sum(axis=1, keepdims=True)
-        w = g.sum(axis=0)
-        m = (g * r[:, None]).sum(axis=0) / w
-        s = np.sqrt(np.maximum((g * (r[:, None] - m) ** 2).sum(axis=0) / w, (0.05 * sd) ** 2))
-        if ll - old < tol:
+        x, on, (m0, m1, s0, s1, p00, p11, old) = r[live], there[live], (c[:, None] for c in par[live].T)
+        dens = lambda m, s: np.where(on, np.exp(-0.5 * ((x - m) / s) ** 2) / (s * np.sqrt(2 * np.pi)) + 1e-300, 1.0)
+        wide = np.ones_like(x)
+        prior, total, f = filter_pass(dens(m0, s0), dens(m1, s1), p00 * wide, p11 * wide)
+        like = np.where(on, np.log(total), 0.0).sum(1)
+        g, stay, sizes_on = f.copy(), np.zeros((len(live), 4)), on.sum(1)
+        for t in range(x.shape[1] - 2, -1, -1):
+            inner = on[:, t + 1]
+            up, down = g[:, t + 1] / np.maximum(prior[:, t + 1], 1e-300), (1 - g[:, t + 1]) / np.maximum(1 - prior[:, t + 1], 1e-300)
+            pair = np.column_stack([(1 - f[:, t]) * p00[:, 0] * down, (1 - f[:, t]) * (1 - p00[:, 0]) * up, f[:, t] * (1 - p11[:, 0]) * down, f[:, t] * p11[:, 0] * up])
+            stay += np.where(inner[:, None], pair, 0.0)
+            g[:, t] = np.where(inner, pair[:, 2] + pair[:, 3], f[:, t])
+        w1 = (g * on).sum(1)
+        w0 = sizes_on - w1
+        new0, new1 = ((1 - g) * on * x).sum(1) / np.maximum(w0, 1e-12), (g * on * x).sum(1) / np.maximum(w1, 1e-12)
+        v0 = ((1 - g) * on * (x - new0[:, None]) ** 2).sum(1) / np.maximum(w0, 1e-12)
+        v1 = (g * on * (x - new1[:, None]) ** 2).sum(1) / np.maximum(w1, 1e-12)
+        least = 0.05 * sd[live]
+        ratio = lambda a, b: np.clip(a / np.maximum(a + b, 1e-300), 1e-6, 1 - 1e-6)
+        par[live] = np.column_stack([new0, new1, np.maximum(np.sqrt(v0), least), np.maximum(np.sqrt(v1), least), ratio(stay[:, 0], stay[:, 1]), ratio(stay[:, 3], stay[:, 2]), like])
+        live = live[like - old[:, 0] >= tol]
+        if not len(live):
             break
-        old = ll
-    hi = int(np.argmax(s))
-    lo = 1 - hi
-    return float(m[lo]), float(m[hi]), float(s[lo]), float(s[hi]), float(p[lo, lo]), float(p[hi, hi])
+    swap = par[:, 2] > par[:, 3]                                     # state 1 is the wide one
+    par[swap] = par[swap][:, [1, 0, 3, 2, 5, 4, 6]]
+    return par
 
 
 def refits(df: DataFrame, keys: Keys, time: str, ret: str, at_least: int, every: int) -> DataFrame:
     """Parameters estimated on the data up to every refit origin: keys, origin, m0..p11.
 
-    One (series, origin) is one group of at most a series' length; the groups spread over the cluster."""
-    seen = df.where(F.col(ret).isNotNull()).withColumn("_i", F.row_number().over(ordered(keys, time)))
-    origins = seen.where((F.col("_i") >= at_least) & ((F.col("_i") - at_least) % every == 0)).select(*keys, F.col(time).alias("origin"))
-    rows = seen.select(*keys, time, F.col(ret).cast("double").alias("_r")).join(origins, list(keys)).where(F.col(time) <= F.col("origin"))
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in (*keys, "origin")] + [f"{p} double" for p in PARAMS])
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        par = fit_states(pdf.sort_values(time)["_r"].to_numpy())
-        return pd.DataFrame([(*key, *par)], columns=[*keys, "origin", *PARAMS])
-
-    return rows.groupBy(*keys, "origin").applyInPandas(one, schema)
+    A series is one array; an origin is a prefix of it, cut where it is fitted, so no history is shuffled a
+    second time. All prefixes of a batch are fitted together from several starts; the likeliest is kept."""
+
+    @F.pandas_udf(",".join(f"{p} array<double>" for p in (*PARAMS, "likelihood")))
+    def fit(prefix: pd.Series) -> pd.DataFrame:
+        par = fit_batch([np.asarray(v, float) for v in prefix]) if len(prefix) else np.zeros((0, 7))
+        return pd.DataFrame([list(p.T) for p in par.reshape(-1, len(STARTS), 7)], columns=[*PARAMS, "likelihood"])
+
+    seen = df.where(F.col(ret).isNotNull())
+    g = _array_of(seen, keys, F.struct(F.col(time).alias("t"), F.col(ret).cast("double").alias("v"))).where(F.size("_r") >= at_least)
+    g = g.select(*keys, "_r", F.explode(F.sequence(F.lit(at_least), F.size("_r"), F.lit(every))).alias("_n"))
+    g = g.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys, "_n")          # few bytes, much work
+    d = g.select(*keys, F.element_at("_r.t", F.col("_n")).alias("origin"), fit(F.slice("_r.v", F.lit(1), F.col("_n"))).alias("_f"))
+    best = (F.array_position("_f.likelihood", F.array_max("_f.likelihood")) - 1).cast("int")
+    return d.select(*keys, "origin", *[F.get(F.col(f"_f.{p}"), best).alias(p) for p in PARAMS])
 
 
 def realtime(df: DataFrame, params: DataFrame, keys: Keys, time: str, ret: str) -> DataFrame:

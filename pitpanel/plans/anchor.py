@@ -10,6 +10,7 @@ from pitpanel.operators import trend as tr
 from pitpanel.plans.calendar import E
 from pitpanel.plans.gaps import gapped, panel_once
 from pitpanel.plans.registry import query
+from pitpanel.plans.sql import GRID, NM, REGS, rnd, trend_cte, with_
 from pitpanel.session import settled
 
 XS = ["lv", "disc"]
@@ -19,25 +20,44 @@ def out(d, *cols, keep=("entity", "ref_month")):
     return d.select(*keep, *[r6(c).alias(c) for c in cols])
 
 
-@query("one_sided_trend", "F1")
+def recursive(*parts):
+    return with_(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("one_sided_trend", "F1", recursive(NM, GRID, trend_cte("tr", "grid", "ref_month", "p", 129600)) + f"""
+SELECT g.entity, g.ref_month, {rnd('p', 'p')}, {rnd('CASE WHEN rn >= 36 THEN trend END', 'trend')} FROM grid g LEFT JOIN tr ON tr.entity = g.entity AND tr.ref_month = g.ref_month""")
 def _(spark, sf):
     d = tr.one_sided_trend(panel_once(spark, sf).select("entity", "ref_month", "p"), E, "ref_month", "p", 129600.0, 36)
     return out(d, "p", "trend")
 
 
-@query("two_sided_trend", "F2")
+@query("two_sided_trend", "F2", recursive(NM, GRID, trend_cte("tr", "grid", "ref_month", "p", 129600, True)) + f"""
+SELECT g.entity, g.ref_month, {rnd('p', 'p')}, {rnd('trend', 'trend_expost')} FROM grid g LEFT JOIN tr ON tr.entity = g.entity AND tr.ref_month = g.ref_month""")
 def _(spark, sf):
     d = tr.two_sided_trend(panel_once(spark, sf).select("entity", "ref_month", "p"), E, "ref_month", "p", 129600.0)
     return out(d, "p", "trend_expost")
 
 
-@query("trend_gap", "F3")
+@query("trend_gap", "F3", recursive(NM, GRID, trend_cte("tr", "grid", "ref_month", "v", 129600)) + f"""
+, j AS (SELECT g.*, CASE WHEN rn >= 36 THEN trend END AS trend FROM grid g LEFT JOIN tr ON tr.entity = g.entity AND tr.ref_month = g.ref_month)
+SELECT entity, ref_month, {rnd('trend', 'trend')}, {rnd('ln(trend) - ln(v)', 'gap_log')}, {rnd('(trend / v - 1) * 100', 'misalignment_pct')}, {rnd('p * exp(ln(v) - ln(trend))', 'fair')} FROM j""")
 def _(spark, sf):
     d = tr.trend_gap(panel_once(spark, sf).select("entity", "ref_month", "v", "p"), E, "ref_month", "v", "p", 129600.0, 36)
     return out(d, "trend", "gap_log", "misalignment_pct", "fair")
 
 
-@query("cyclical_gaps", "E5")
+CYCLE = [REGS, "rg AS (SELECT g.entity, g.ref_month, g.v, g.p, r.qty FROM grid g LEFT JOIN regs r ON r.entity = g.entity AND r.ref_month = g.ref_month)",
+         "cq AS (SELECT entity, CAST(date_trunc('quarter', ref_month) AS DATE) AS quarter, sum(v) AS own, sum(qty) AS pa, avg(p) AS pb FROM rg GROUP BY 1, 2)",
+         "cl AS (SELECT *, CASE WHEN count(own) OVER o = 4 THEN ln(sum(own) OVER o) END AS lo, ln(pa) AS la, ln(pb) AS lb FROM cq WINDOW o AS (PARTITION BY entity ORDER BY quarter ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))",
+         *[trend_cte(n, "cl", "quarter", c, 1600) for n, c in (("tw", "lo"), ("ta", "la"), ("tb", "lb"))]]
+
+
+@query("cyclical_gaps", "E5", recursive(NM, GRID, *CYCLE) + f"""
+, g AS (SELECT cl.entity, cl.quarter, (lo - t.trend) * 100 AS own_gap, (la - a.trend) * 100 AS ga, (lb - b.trend) * 100 AS gb FROM cl
+   LEFT JOIN tw t ON t.entity = cl.entity AND t.quarter = cl.quarter AND t.rn >= 10 LEFT JOIN ta a ON a.entity = cl.entity AND a.quarter = cl.quarter AND a.rn >= 10
+   LEFT JOIN tb b ON b.entity = cl.entity AND b.quarter = cl.quarter AND b.rn >= 10),
+ m AS (SELECT *, CASE WHEN ga IS NOT NULL AND gb IS NOT NULL THEN (ga + gb) / 2 ELSE coalesce(ga, gb) END AS x FROM g)
+SELECT entity, quarter, {rnd('own_gap', 'own_gap')}, {rnd('CASE WHEN count(x) OVER o = 4 THEN avg(x) OVER o END', 'partner_gap')} FROM m WINDOW o AS (PARTITION BY entity ORDER BY quarter ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 def _(spark, sf):
     q = panel_once(spark, sf).groupBy("entity", F.trunc("ref_month", "QUARTER").alias("quarter")).agg(
         F.sum("v").alias("own"), F.sum("qty").alias("pa"), F.avg("p").alias("pb"))

@@ -123,3 +123,28 @@ def ols_cte(name: str, src: str, by: str, y: str, xs: list[str], keep: str = "")
     parts.append(f"{name} AS (SELECT {by}{extra}, " + ", ".join(f"b{i}" for i in range(p)) + f", qy AS e, count(*) OVER w AS n, sum({z} * {z}) OVER w AS zz, sum({z} * {z}) OVER w * b{p - 1} AS zy, "
                  f"sum(qy * qy) OVER w AS ssr FROM {last} WINDOW w AS (PARTITION BY {by}))")
     return ",\n ".join(parts)
+
+
+def trend_cte(name: str, src: str, time: str, value: str, smooth: float, two_sided: bool = False) -> str:
+    """CTEs (of a WITH RECURSIVE) ending in ``name``(entity, time, rn, trend): level and slope filtered row by row, and smoothed back.
+
+    The covariance (a, b; b, c) does not depend on the data: one recursion over positions, then one over the rows."""
+    q = f"(1 / {smooth}::DOUBLE)"
+    ahead = f"a + 2 * b + c + {q} AS a1, b + c + {q} AS b1, c + {q} AS c1"
+    parts = f"""{name}_n AS (SELECT entity, {time}, CAST({value} AS DOUBLE) AS y, row_number() OVER (PARTITION BY entity ORDER BY {time}) AS rn FROM {src} WHERE {value} IS NOT NULL),
+ {name}_g AS (SELECT 2::BIGINT AS rn, 1::DOUBLE AS a, 1::DOUBLE AS b, 2::DOUBLE AS c, 0::DOUBLE AS g, 0::DOUBLE AS h
+  UNION ALL SELECT rn + 1, a1 - a1 * a1 / (a1 + 1), b1 - a1 * b1 / (a1 + 1), c1 - b1 * b1 / (a1 + 1), a1 / (a1 + 1), b1 / (a1 + 1)
+   FROM (SELECT rn, {ahead} FROM {name}_g) WHERE rn < (SELECT max(rn) FROM {name}_n)),
+ {name}_f AS (SELECT t.entity, t.{time}, t.rn, t.y AS m, t.y - u.y AS d FROM {name}_n t JOIN {name}_n u ON u.entity = t.entity AND u.rn = 1 WHERE t.rn = 2
+  UNION ALL SELECT f.entity, t.{time}, t.rn, f.m + f.d + k.g * (t.y - f.m - f.d), f.d + k.h * (t.y - f.m - f.d)
+   FROM {name}_f f JOIN {name}_n t ON t.entity = f.entity AND t.rn = f.rn + 1 JOIN {name}_g k ON k.rn = t.rn)"""
+    if not two_sided:
+        return parts + f""",
+ {name} AS (SELECT entity, {time}, rn, m AS trend FROM {name}_f UNION ALL SELECT entity, {time}, rn, y FROM {name}_n WHERE rn = 1)"""
+    return parts + f""",
+ {name}_j AS (SELECT rn, ((a + b) * c1 - b * b1) / det AS j00, (b * a1 - (a + b) * b1) / det AS j01, ((b + c) * c1 - c * b1) / det AS j10, (c * a1 - (b + c) * b1) / det AS j11
+   FROM (SELECT *, a1 * c1 - b1 * b1 AS det FROM (SELECT rn, a, b, c, {ahead} FROM {name}_g))),
+ {name}_s AS (SELECT entity, {time}, rn, m, d FROM {name}_f WHERE (entity, rn) IN (SELECT entity, max(rn) FROM {name}_f GROUP BY 1)
+  UNION ALL SELECT f.entity, f.{time}, f.rn, f.m + j00 * (s.m - f.m - f.d) + j01 * (s.d - f.d), f.d + j10 * (s.m - f.m - f.d) + j11 * (s.d - f.d)
+   FROM {name}_s s JOIN {name}_f f ON f.entity = s.entity AND f.rn = s.rn - 1 JOIN {name}_j j ON j.rn = f.rn),
+ {name} AS (SELECT entity, {time}, rn, m AS trend FROM {name}_s UNION ALL SELECT n.entity, n.{time}, n.rn, coalesce(s.m - s.d, n.y) FROM {name}_n n LEFT JOIN {name}_s s ON s.entity = n.entity AND s.rn = 2 WHERE n.rn = 1)"""
