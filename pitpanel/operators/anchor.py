@@ -7,17 +7,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions.arrays import with_percentiles
-from pitpanel.functions.columns import ordered, whole
+from pitpanel.functions.columns import ordered, past, whole
 from pitpanel.functions.draws import pick
 from pitpanel.operators.asof import asof
 from pitpanel.operators.calendar import Keys
 from pitpanel.operators.features import dynamic_terms
 from pitpanel.operators.gaps import draw_table
-from pitpanel.operators.regression import NUMBERS, attach, ols_clustered, ols_hac, solve_gram
+from pitpanel.operators.regression import NUMBERS, attach, ols_clustered, ols_hac, sandwich, solve_gram
+from pitpanel.session import settled
 
 
 def dynamic_rows(df: DataFrame, keys: Keys, time: str, y: str, xs: Sequence[str], k: int) -> tuple[DataFrame, list[str]]:
@@ -59,15 +60,71 @@ def residuals(df: DataFrame, fit: DataFrame, effects: DataFrame, by: Keys, entit
     return d.select(*by, entity, time, (F.col(y) - long_run(xs) - F.col("alpha")).alias("resid"))
 
 
-def information_sets(panel: DataFrame, available: str, at_least: int, time: str) -> DataFrame:
-    """Every row under each information set it belongs to. A set is named by the date it became
-    complete; sets with fewer than ``at_least`` periods are left out.
+def information_sets(panel: DataFrame, available: str, time: str) -> DataFrame:
+    """A row per date at which something became public: info, its number from 1, periods known by then and the number of dates.
 
-    Only distinct sets are estimated: months in between reuse the last one."""
-    sets = panel.select(F.col(available).alias("info")).distinct()
-    j = panel.join(F.broadcast(sets), F.col(available) <= F.col("info"))               # one row per period of the calendar
-    enough = j.groupBy("info").agg(F.count_distinct(time).alias("_p")).where(F.col("_p") >= at_least).select("info")
-    return j.join(F.broadcast(enough), "info")
+    As many rows as the calendar has dates; months in between reuse the last one."""
+    first = panel.groupBy(time).agg(F.min(available).alias("info")).groupBy("info").agg(F.count("*").alias("_new"))
+    dates = panel.select(F.col(available).alias("info")).distinct().join(first, "info", "left")
+    calendar = Window.orderBy("info")
+    return dates.select("info", F.row_number().over(calendar).alias("_at"), F.sum(F.coalesce("_new", F.lit(0))).over(calendar).alias("periods"), F.count("*").over(Window.partitionBy()).alias("_dates"))
+
+
+def expanding_products(df: DataFrame, entity: str, time: str, available: str, y: str, xs: Sequence[str], k: int, at_least: int) -> tuple[DataFrame, int]:
+    """Each entity's dynamic rows as products at every information set: info, entity, n, w (products around the
+    entity's mean, [xs, terms, y] flat) and mean (of xs, then y); and the number of columns.
+
+    A dynamic row is public when the last of the rows it uses is. Its products are summed once by that date and
+    cumulated along the dates, so a row is read once, whatever the number of later sets; an entity with nothing
+    new at a date carries its products on."""
+    d = df.dropna(subset=[y, *xs]).withColumn("_ready", F.max(available).over(ordered([entity], time).rowsBetween(-(k + 1), k)))
+    d, terms = dynamic_terms(d, [entity], time, xs, k)
+    cols = [*xs, *terms, y]
+    p = len(cols)
+    start = past([entity], time)
+    d = d.dropna(subset=terms)
+    d = d.select(entity, "_ready", *[F.first(F.col(c).cast("double")).over(start).alias(f"_o{i}") for i, c in enumerate(cols)], *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    d = d.withColumns({f"_v{i}": F.col(f"_v{i}") - F.col(f"_o{i}") for i in range(p)})          # from the first row on: no digits are lost in the sums
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
+    g = d.groupBy(entity, "_ready").agg(F.count("*").alias("n"), *[F.first(f"_o{i}").alias(f"_o{i}") for i in range(p)], *[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(p)],
+                                        *[F.sum(F.col(f"_v{i}") * F.col(f"_v{j}")).alias(f"_p{i}_{j}") for i, j in cells])
+    so_far = past([entity], "_ready")
+    sums = ["n", *[f"_s{i}" for i in range(p)], *[f"_p{i}_{j}" for i, j in cells]]
+    g = g.withColumns({c: F.sum(c).over(so_far) for c in sums}).where(F.col("n") >= 2 * k + 3)
+    cell = lambda i, j: F.col(f"_p{i}_{j}") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("n")
+    mean = F.array(*[F.col(f"_o{i}") + F.col(f"_s{i}") / F.col("n") for i in (*range(len(xs)), p - 1)])
+    g = g.select(entity, F.col("_ready").alias("info"), "n", F.array(*[cell(min(i, j), max(i, j)) for i in range(p) for j in range(p)]).alias("w"), mean.alias("mean"))
+    sets = information_sets(df, available, time)
+    g = g.join(sets.select("info", "_at", "_dates"), "info").drop("info")
+    until = F.coalesce(F.lead("_at").over(ordered([entity], "_at")), F.col("_dates") + 1)
+    g = g.withColumn("_until", (until - 1).cast("int")).withColumn("_at", F.explode(F.sequence("_at", "_until")))
+    return g.join(sets.where(F.col("periods") >= at_least).select("_at", "info"), "_at").drop("_at", "_until", "_dates"), p
+
+
+def expanding_pooled_fit(df: DataFrame, entity: str, time: str, available: str, y: str, xs: Sequence[str], k: int, at_least: int) -> tuple[DataFrame, DataFrame]:
+    """``pooled_fit`` at every information set with ``at_least`` known periods, from products alone: fit by info, effects by (info, entity)."""
+    products_, p = expanding_products(df, entity, time, available, y, xs, k, at_least)
+    g = settled(products_)
+    m, q = len(xs), p - 1
+    w = lambda i, j: F.col("w")[i * p + j]
+    total = F.array(*[F.sum(w(min(i, j), max(i, j))) for i in range(p) for j in range(p)])
+    fit = g.groupBy("info").agg(F.sum("n").alias("n"), F.count("*").alias("clusters"), total.alias("_g")).where(F.col("n") > q)
+    fit = settled(fit.withColumn("_s", solve_gram("_g")).select("info", "n", "clusters", "_s.beta", "_s.inv"))
+    d = g.join(fit.select("info", "beta"), "info")
+    score = [w(i, q) - reduce(lambda a, c: a + c, [w(i, j) * F.col("beta")[j] for j in range(q)]) for i in range(q)]
+    d = d.withColumn("_z", F.array(*score))
+    meat = d.groupBy("info").agg(F.array(*[F.sum(F.col("_z")[i] * F.col("_z")[j]) for i in range(q) for j in range(q)]).alias("_meat"))
+    factor = F.col("clusters") / (F.col("clusters") - 1) * (F.col("n") - 1) / (F.col("n") - q)
+    done = fit.join(meat, "info").withColumn("_f", factor).withColumn("_c", sandwich("inv", "_meat"))
+    cov = lambda i, j: F.col("_c")[i * q + j] * F.col("_f")
+    done = done.select("info", "n", "clusters", F.slice("beta", 1, m).alias("b"), F.array(*[F.col("beta")[i] / F.sqrt(cov(i, i)) for i in range(m)]).alias("t"),
+                       F.array(*[cov(i, j) for i in range(m) for j in range(m)]).alias("v"))
+    side = [*range(m), q]
+    weight = lambda i: F.lit(1.0) if i == q else -F.col("beta")[i]
+    square = reduce(lambda a, c: a + c, [weight(i) * weight(j) * w(i, j) for i in side for j in side])
+    alpha = F.col("mean")[m] - reduce(lambda a, c: a + c, [F.col("beta")[i] * F.col("mean")[i] for i in range(m)])
+    effects = d.select("info", entity, alpha.alias("alpha"), (F.sqrt(F.greatest(square, F.lit(0.0)) / (F.col("n") - 1)) / F.sqrt(F.col("n").cast("double"))).alias("alpha_se"), F.col("n").alias("n_obs"))
+    return done, effects
 
 
 def anchor_gaps(months: DataFrame, panel: DataFrame, fit: DataFrame, effects: DataFrame, entity: str, xs: Sequence[str], available: str) -> DataFrame:

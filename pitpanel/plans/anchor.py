@@ -10,7 +10,7 @@ from pitpanel.operators import trend as tr
 from pitpanel.plans.calendar import E
 from pitpanel.plans.gaps import gapped, panel_once
 from pitpanel.plans.registry import query
-from pitpanel.plans.sql import GRID, NM, REGS, rnd, trend_cte, with_
+from pitpanel.plans.sql import GRID, NM, REGS, ols_cte, rnd, trend_cte, with_
 from pitpanel.session import settled
 
 XS = ["lv", "disc"]
@@ -72,6 +72,21 @@ def quarter_panel(panel):
     return q.withColumn("available", F.add_months("quarter", 4))
 
 
+# the pooled dynamic regression under every information set, each set with its own rows; info is one date without sets
+QUARTERS = [NM, GRID, REGS, """rg AS (SELECT g.entity, g.ref_month, g.v, g.p, r.disc FROM grid g LEFT JOIN regs r ON r.entity = g.entity AND r.ref_month = g.ref_month),
+ qa AS (SELECT *, CAST(quarter + INTERVAL 4 MONTH AS DATE) AS available FROM (SELECT entity, CAST(date_trunc('quarter', ref_month) AS DATE) AS quarter, ln(avg(p)) AS lp, ln(sum(v)) AS lv, avg(disc) * 10 AS disc
+   FROM rg GROUP BY entity, date_trunc('quarter', ref_month)))"""]
+EVERY_SET = "si AS (SELECT info, qa.* FROM qa JOIN (SELECT DISTINCT available AS info FROM qa) ON available <= info QUALIFY count(DISTINCT quarter) OVER (PARTITION BY info) >= 12)"
+ONE_SET = "si AS (SELECT 0 AS info, * FROM qa)"
+TERMS = [f"d_{c}_{j}" for c in XS for j in ("m", "0", "p")]
+POOLED = ["""sd AS (SELECT *, lv - lag(lv) OVER o AS d_lv_0, disc - lag(disc) OVER o AS d_disc_0 FROM si WHERE lp IS NOT NULL AND lv IS NOT NULL AND disc IS NOT NULL WINDOW o AS (PARTITION BY info, entity ORDER BY quarter)),
+ sl AS (SELECT *, lag(d_lv_0) OVER o AS d_lv_m, lead(d_lv_0) OVER o AS d_lv_p, lag(d_disc_0) OVER o AS d_disc_m, lead(d_disc_0) OVER o AS d_disc_p FROM sd WINDOW o AS (PARTITION BY info, entity ORDER BY quarter)),
+ sn AS (SELECT * FROM (SELECT * FROM sl WHERE """ + " AND ".join(f"{t} IS NOT NULL" for t in TERMS) + """) QUALIFY count(*) OVER (PARTITION BY info, entity) >= 5),
+ sm AS (SELECT info, entity, quarter, lp, lv, disc, """ + ", ".join(f"{c} - avg({c}) OVER w AS {c}_w" for c in ["lp", *XS, *TERMS]) + " FROM sn WINDOW w AS (PARTITION BY info, entity))",
+          ols_cte("sf", "sm", "info", "lp_w", [f"{c}_w" for c in [*XS, *TERMS]], "entity, lp, lv, disc"),
+          "fe AS (SELECT info, entity, any_value(n) AS n, any_value(b0) AS b0, any_value(b1) AS b1, avg(lp - b0 * lv - b1 * disc) AS alpha, stddev_samp(lp - b0 * lv - b1 * disc) / sqrt(count(*)) AS alpha_se, count(*) AS n_obs FROM sf WHERE n > 8 GROUP BY 1, 2)"]
+
+
 def fit_all(panel):
     return an.pooled_fit(quarter_panel(panel), [], "entity", "quarter", "lp", XS, 1)
 
@@ -83,18 +98,18 @@ def _(spark, sf):
         "n", "clusters", F.element_at(F.array(*[F.lit(x) for x in XS]), F.col("i") + 1).alias("term"), r6("x.b").alias("coef"), r6("x.t").alias("t"))
 
 
-@query("pooled_entity_effects", "F13")
+@query("pooled_entity_effects", "F13", with_(*QUARTERS, ONE_SET, *POOLED) + f"SELECT entity, n_obs, {rnd('alpha', 'alpha')}, {rnd('alpha_se', 'alpha_se')} FROM fe")
 def _(spark, sf):
     return out(fit_all(panel_once(spark, sf))[1], "alpha", "alpha_se", keep=("entity", "n_obs"))
 
 
 def set_fits(panel):
     q = settled(quarter_panel(panel))
-    fit, eff = an.pooled_fit(settled(an.information_sets(q, "available", 12, "quarter")), ["info"], "entity", "quarter", "lp", XS, 1)
+    fit, eff = an.expanding_pooled_fit(q, "entity", "quarter", "available", "lp", XS, 1, 12)
     return q, settled(fit), eff
 
 
-@query("reestimation_history", "F14")
+@query("reestimation_history", "F14", with_(*QUARTERS, EVERY_SET, *POOLED) + f"SELECT DISTINCT info, n, {rnd('b0', 'lv')}, {rnd('b1', 'disc')} FROM fe")
 def _(spark, sf):
     _q, fit, _e = set_fits(panel_once(spark, sf))
     return fit.select("info", "n", *[r6(F.col("b")[i]).alias(x) for i, x in enumerate(XS)])
@@ -109,7 +124,11 @@ def peer_gaps(panel):
     return an.anchor_gaps(month_levels(panel), q, fit, eff, "entity", XS, "available")
 
 
-@query("peer_gaps", "F15")
+@query("peer_gaps", "F15", with_(*QUARTERS, EVERY_SET, *POOLED) + f"""
+, mo AS (SELECT entity, CAST(ref_month + INTERVAL 1 MONTH AS DATE) AS ref_month, ln(p) AS level FROM grid WHERE p IS NOT NULL),
+ st AS (SELECT m.entity, m.ref_month, m.level, f.info, f.alpha + f.b0 * q.lv + f.b1 * q.disc AS star FROM mo m ASOF JOIN fe f ON f.entity = m.entity AND f.info <= m.ref_month
+   ASOF JOIN qa q ON q.entity = m.entity AND q.available <= m.ref_month)
+SELECT entity, ref_month, info, {rnd('star', 'star')}, {rnd('star - level', 'gap_log')}, {rnd('(exp(star - level) - 1) * 100', 'misalignment_pct')} FROM st WHERE star - level IS NOT NULL""")
 def _(spark, sf):
     return out(peer_gaps(panel_once(spark, sf)).where("gap_log is not null"), "star", "gap_log", "misalignment_pct", keep=("entity", "ref_month", "info"))
 
