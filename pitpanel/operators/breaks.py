@@ -15,11 +15,12 @@ def _ssr(y: str, x: str | None, w) -> Column:
     """Residual sum of squares of y on a constant (and x) over a window."""
     if x is None:
         return F.var_pop(y).over(w) * F.count(y).over(w)
-    return F.regr_syy(y, x).over(w) - F.pow(F.regr_sxy(y, x).over(w), 2) / F.regr_sxx(y, x).over(w)
+    explained = F.try_divide(F.pow(F.regr_sxy(y, x).over(w), 2), F.regr_sxx(y, x).over(w))          # none where x does not move
+    return F.regr_syy(y, x).over(w) - F.coalesce(explained, F.lit(0.0))
 
 
 def _candidates(df: DataFrame, keys: Keys, time: str, y: str, x: str | None, trim: float) -> DataFrame:
-    """Every admissible break position with its F statistic.
+    """Every position with its F statistic, NULL where it is not admissible.
 
     The left side is a running aggregate, the right side one in descending order; both grow
     row by row, so a series costs one pass in each direction."""
@@ -31,14 +32,14 @@ def _candidates(df: DataFrame, keys: Keys, time: str, y: str, x: str | None, tri
                        "_right": _ssr(y, x, back.rowsBetween(Window.unboundedPreceding, 0))})
     inside = (F.col("_i") >= F.floor(F.col("n") * F.lit(trim))) & (F.col("_i") < F.floor(F.col("n") * F.lit(1 - trim)))
     split = F.col("_left") + F.col("_right")
-    return d.where(inside & (F.col("n") > 2 * k)).withColumn("_f", (F.col("_all") - split) / k / (split / (F.col("n") - 2 * k)))
+    return d.withColumn("_f", F.when(inside & (F.col("n") > 2 * k), F.try_divide((F.col("_all") - split) / k * (F.col("n") - 2 * k), split)))
 
 
 def sup_wald(df: DataFrame, keys: Keys, time: str, y: str, x: str | None, trim: float = 0.15) -> DataFrame:
-    """Largest break statistic over the trimmed sample and the first row after the break."""
+    """Largest break statistic over the trimmed sample and the first row after the break; NULL where no position is admissible."""
     c = _candidates(df, keys, time, y, x, trim)
     return c.groupBy(*keys).agg(F.max("n").alias("n"), F.max("_f").alias("stat"),
-                                F.max_by(time, F.struct("_f", -F.col("_i"))).alias("at"))
+                                F.max_by(time, F.when(F.col("_f").isNotNull(), F.struct("_f", -F.col("_i")))).alias("at"))
 
 
 def _total(rows: Column, f) -> Column:

@@ -136,13 +136,13 @@ def _(spark, sf):
 @query("parameter_band", "F16")
 def _(spark, sf):
     g = settled(peer_gaps(panel_once(spark, sf)))
-    return out(an.parameter_band(g, XS, 13, 400, [0.1, 0.9]), "gap_log", "gap_p10", "gap_p90")
+    return out(an.parameter_band(g, XS, 13, 2000, [0.1, 0.9]), "gap_log", "gap_p10", "gap_p90")
 
 
 @query("cluster_bootstrap", "F17")
 def _(spark, sf):
     q = settled(quarter_panel(panel_once(spark, sf)))
-    d = an.cluster_bootstrap(q, "entity", "quarter", "lp", XS, 1, 100, 14, 3)
+    d = an.cluster_bootstrap(q, "entity", "quarter", "lp", XS, 1, 300, 14, 3)
     return d.select("entity", "draw", r6(F.col("b")[0]).alias("slope_lv"), r6(F.col("b")[1]).alias("slope_disc"), r6("alpha").alias("alpha"))
 
 

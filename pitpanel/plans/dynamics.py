@@ -14,11 +14,11 @@ from pitpanel.operators.features import balanced_panel, two_factor_state
 from pitpanel.operators.regression import mean_test
 from pitpanel.plans.anchor import quarter_panel
 from pitpanel.plans.calendar import E, grid
-from pitpanel.plans.forecast import MIN_TRAIN, comp_table, p_values
+from pitpanel.plans.forecast import HORIZONS, MIN_TRAIN, comp_table, enough, p_values
 from pitpanel.plans.gaps import panel_once
 from pitpanel.plans.inputs import daily_events, table
 from pitpanel.plans.registry import query
-from pitpanel.plans.sql import COMP, DAILY, GRID, NM, mean_test_cte, ols_cte, rnd, with_
+from pitpanel.plans.sql import COMP, DAILY, GRID, NM, mean_test_cte, ols_cte, rnd, shown, with_
 from pitpanel.session import settled
 
 QUANTILES = [round(0.15 + 0.05 * i, 2) for i in range(15)]
@@ -55,7 +55,7 @@ def _(spark, sf):
 def _(spark, sf):
     c = settled(comp_table(spark, sf))
     f = nl.variant_forecasts(c, E, "ref_month", "level", "ect", [3], MIN_TRAIN, QUANTILES, RATIOS, 36)
-    d = fc.score_card(f, ["entity", "variant", "h"], "ref_month").where("n_oos >= 12")
+    d = fc.score_card(f, ["entity", "variant", "h"], "ref_month")
     return out(d, "rmse_drift", "rmse_model", "rmse_ratio", "oos_r2", keep=("entity", "variant", "h", "n_oos"))
 
 
@@ -300,14 +300,14 @@ MIX = """mx AS (SELECT entity, ref_month, ret, avg(ret) OVER w AS m, stddev_samp
    - ln(exp(-0.5 * ((ret - m) / s) ** 2) / (s * 2.5066282746310002::DOUBLE)) AS d FROM mx)"""
 
 
-@query("mixture_score_difference", "H18", with_(NM, GRID, MIX, mean_test_cte("mt", "sd", "d", "entity", "3")) + f"SELECT entity, n, {rnd('mean', 'mean')}, {rnd('t', 't')} FROM mt WHERE n >= 12")
+@query("mixture_score_difference", "H18", with_(NM, GRID, MIX, mean_test_cte("mt", "sd", "d", "entity", "3")) + f"SELECT entity, n, {shown('mean', 'mean')}, {shown('t', 't')} FROM mt")
 def _(spark, sf):
     d = returns(spark, sf).where("ret is not null")
     m, s = F.avg("ret").over(whole(E)), F.stddev_samp("ret").over(whole(E))
     d = d.withColumns({"m": m, "s": s})
     dens = lambda k: rm._density(F.col("ret"), F.col("m"), k * F.col("s"))
     d = d.withColumn("d", F.log(0.5 * dens(0.6) + 0.5 * dens(1.5)) - F.log(dens(1.0)))
-    return out(mean_test(d, E, "ref_month", "d", 3).where("n >= 12"), "mean", "t", keep=("entity", "n"))
+    return out(enough(mean_test(d, E, "ref_month", "d", 3), "n", "mean", "t"), "mean", "t", keep=("entity", "n"))
 
 
 TRANS = """st AS (SELECT event_type, day, CAST(CASE WHEN value > avg(value) OVER (PARTITION BY event_type) THEN 1 ELSE 0 END AS INT) AS s FROM daily),

@@ -112,10 +112,10 @@ def _(spark, sf):
 
 @query("within_entity_demeaning", "E10", with_(NM) + f"""
 SELECT entity, ref_month, {rnd('ln(v) - avg(ln(v)) OVER w', 'lv_dm')}, {rnd('ln(p) - avg(ln(p)) OVER w', 'lp_dm')} FROM nm
-WINDOW w AS (PARTITION BY entity) QUALIFY count(*) OVER w >= 78""")
+WINDOW w AS (PARTITION BY entity) QUALIFY count(*) OVER w >= 5""")
 def _(spark, sf):
     d = monthly_panel(spark, sf).withColumn("lv", F.log("v")).withColumn("lp", F.log("p"))
-    return out(ft.demean(d, E, ["lv", "lp"], 78), "lv_dm", "lp_dm")
+    return out(ft.demean(d, E, ["lv", "lp"], 5), "lv_dm", "lp_dm")
 
 
 @query("balanced_panel", "E11", with_(NM) + f"""

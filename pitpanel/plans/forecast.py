@@ -16,7 +16,7 @@ from pitpanel.operators import scan
 from pitpanel.plans.calendar import E, grid
 from pitpanel.plans.inputs import table
 from pitpanel.plans.registry import query
-from pitpanel.plans.sql import COMP, GRID, NM, forecast_cte, mean_test_cte, rnd, target_cte, with_
+from pitpanel.plans.sql import COMP, GRID, LEAST, NM, forecast_cte, mean_test_cte, rnd, shown, target_cte, with_
 from pitpanel.session import settled
 
 HORIZONS = [1, 3, 6, 12]
@@ -43,14 +43,19 @@ def fc_table(spark, sf, x="ect", horizons=HORIZONS, window=None):
 BASE = [NM, GRID, COMP, target_cte("tg", "comp", "ect", H_SQL), forecast_cte("fc", "tg", MIN_TRAIN)]
 WITH = with_(*BASE)
 
-SCORES = f"""count(y) AS n_oos, min(ref_month) FILTER (y IS NOT NULL) AS first, max(ref_month) FILTER (y IS NOT NULL) AS last,
- {rnd('sqrt(avg(y * y))', 'rmse_zero')}, {rnd('sqrt(avg((y - f_drift) ** 2))', 'rmse_drift')}, {rnd('sqrt(avg((y - f_model) ** 2))', 'rmse_model')},
- {rnd('sqrt(avg((y - f_model) ** 2)) / sqrt(avg((y - f_drift) ** 2))', 'rmse_ratio')},
- {rnd('1 - sum((y - f_model) ** 2) / sum((y - f_drift) ** 2)', 'oos_r2')}, {rnd('avg(CASE WHEN sign(f_model) = sign(y) THEN 1.0 ELSE 0.0 END) FILTER (y IS NOT NULL)', 'hit_rate')},
- {rnd('avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) FILTER (y IS NOT NULL)', 'naive_hit_rate')},
- {rnd('avg(CASE WHEN sign(f_model - f_drift) = sign(y - f_drift) THEN 1.0 ELSE 0.0 END) FILTER (y IS NOT NULL)', 'hit_rate_excess')},
- {rnd('avg(CASE WHEN f_model < 0 THEN 1.0 ELSE 0.0 END) FILTER (y IS NOT NULL)', 'share_down')},
- {rnd('min(slope)', 'slope_min')}, {rnd('max(slope)', 'slope_max')}, {rnd('max_by(slope, ref_month)', 'slope_last')}"""
+def enough(d, n, *cols):
+    """Statistics of fewer than LEAST observations are NULL; the row stays with its count."""
+    return d.withColumns({c: F.when(F.col(n) >= LEAST, F.col(c)) for c in cols})
+
+
+SCORES = f"""count(y) AS n_oos, CASE WHEN count(y) >= 12 THEN min(ref_month) FILTER (y IS NOT NULL) END AS first, CASE WHEN count(y) >= 12 THEN max(ref_month) FILTER (y IS NOT NULL) END AS last,
+ {shown('sqrt(avg(y * y))', 'rmse_zero', 'count(y)')}, {shown('sqrt(avg((y - f_drift) ** 2))', 'rmse_drift', 'count(y)')}, {shown('sqrt(avg((y - f_model) ** 2))', 'rmse_model', 'count(y)')},
+ {shown('sqrt(avg((y - f_model) ** 2)) / sqrt(avg((y - f_drift) ** 2))', 'rmse_ratio', 'count(y)')},
+ {shown('1 - sum((y - f_model) ** 2) / sum((y - f_drift) ** 2)', 'oos_r2', 'count(y)')}, {shown('avg(CASE WHEN sign(f_model) = sign(y) THEN 1.0 ELSE 0.0 END) FILTER (y IS NOT NULL)', 'hit_rate', 'count(y)')},
+ {shown('avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) FILTER (y IS NOT NULL)', 'naive_hit_rate', 'count(y)')},
+ {shown('avg(CASE WHEN sign(f_model - f_drift) = sign(y - f_drift) THEN 1.0 ELSE 0.0 END) FILTER (y IS NOT NULL)', 'hit_rate_excess', 'count(y)')},
+ {shown('avg(CASE WHEN f_model < 0 THEN 1.0 ELSE 0.0 END) FILTER (y IS NOT NULL)', 'share_down', 'count(y)')},
+ {shown('min(slope)', 'slope_min', 'count(y)')}, {shown('max(slope)', 'slope_max', 'count(y)')}, {shown('max_by(slope, ref_month)', 'slope_last', 'count(y)')}"""
 CARD = ["rmse_zero", "rmse_drift", "rmse_model", "rmse_ratio", "oos_r2", "hit_rate", "naive_hit_rate", "hit_rate_excess", "share_down",
         "slope_min", "slope_max", "slope_last"]
 
@@ -61,9 +66,9 @@ def _(spark, sf):
     return out(fc_table(spark, sf), "x", "y", "f_drift", "f_model", "slope", keep=("entity", "h", "ref_month", "n_train"))
 
 
-@query("forecast_score_card", "H2", WITH + f"SELECT entity, h, {SCORES} FROM fc GROUP BY 1, 2 HAVING count(y) >= 12")
+@query("forecast_score_card", "H2", WITH + f"SELECT entity, h, {SCORES} FROM fc GROUP BY 1, 2")
 def _(spark, sf):
-    d = fc.score_card(fc_table(spark, sf), ["entity", "h"], "ref_month").where("n_oos >= 12")
+    d = fc.score_card(fc_table(spark, sf), ["entity", "h"], "ref_month")
     return out(d, *CARD, keep=("entity", "h", "n_oos", "first", "last"))
 
 
@@ -76,7 +81,7 @@ PUBLIC = """pub AS (SELECT entity, CAST(ref_month + INTERVAL 1 MONTH AS DATE) AS
 
 
 @query("public_score_card", "B8 B9 B31 F12 H1 H2", with_(NM, GRID, PUBLIC, target_cte("tg", "pcomp", "ect", "(3)"), forecast_cte("fc", "tg", MIN_TRAIN)) +
-       f"SELECT entity, h, {SCORES} FROM fc GROUP BY 1, 2 HAVING count(y) >= 12")
+       f"SELECT entity, h, {SCORES} FROM fc GROUP BY 1, 2")
 def _(spark, sf):
     g = grid(spark, sf)
     known = g.select("entity", F.add_months("ref_month", 1).alias("ref_month"), *[cal.carry_forward(g, E, "ref_month", c, 2).alias(c) for c in ("v", "p")])
@@ -84,24 +89,24 @@ def _(spark, sf):
     d = known.withColumns({"level": F.log("p"), "gap_a": gap("v"), "gap_b": gap("p")})
     d = gp.composite(d, "gap_a", "gap_b", 0.5, 0.5, "p")
     f = fc.forecasts(d, E, "ref_month", "level", "ect", [3], MIN_TRAIN)
-    s = fc.score_card(f, ["entity", "h"], "ref_month").where("n_oos >= 12")
+    s = fc.score_card(f, ["entity", "h"], "ref_month")
     return out(s, *CARD, keep=("entity", "h", "n_oos", "first", "last"))
 
 
 ADJ = "ad AS (SELECT *, (y - f_drift) ** 2 - ((y - f_model) ** 2 - (f_drift - f_model) ** 2) AS adj, (y - f_drift) ** 2 - (y - f_model) ** 2 AS loss FROM fc)"
 
 
-@query("clark_west", "H3", with_(*BASE, ADJ, mean_test_cte("mt", "ad", "adj")) + f"SELECT entity, h, n, {rnd('t', 'stat')} FROM mt WHERE n >= 12")
+@query("clark_west", "H3", with_(*BASE, ADJ, mean_test_cte("mt", "ad", "adj")) + f"SELECT entity, h, n, {shown('t', 'stat')} FROM mt")
 def _(spark, sf):
-    d = fc.clark_west(fc_table(spark, sf), ["entity", "h"], "ref_month", 12).where("n >= 12")
-    return out(d, "stat", keep=("entity", "h", "n"))
+    d = fc.clark_west(fc_table(spark, sf), ["entity", "h"], "ref_month", 12)
+    return out(enough(d, "n", "stat"), "stat", keep=("entity", "h", "n"))
 
 
 @query("diebold_mariano", "H4", with_(*BASE, ADJ, mean_test_cte("mt", "ad", "loss")) + f"""
-SELECT entity, h, n, {rnd('t * sqrt((n + 1 - 2 * h + h * (h - 1) / CAST(n AS DOUBLE)) / n)', 'stat')} FROM mt WHERE n >= 12""")
+SELECT entity, h, n, {shown('t * sqrt((n + 1 - 2 * h + h * (h - 1) / CAST(n AS DOUBLE)) / n)', 'stat')} FROM mt""")
 def _(spark, sf):
-    d = fc.diebold_mariano(fc_table(spark, sf), ["entity", "h"], "ref_month", 12).where("n >= 12")
-    return out(d, "stat", keep=("entity", "h", "n"))
+    d = fc.diebold_mariano(fc_table(spark, sf), ["entity", "h"], "ref_month", 12)
+    return out(enough(d, "n", "stat"), "stat", keep=("entity", "h", "n"))
 
 
 @query("forecast_test_pvalues", "H3 H4")
@@ -156,24 +161,24 @@ def _(spark, sf):
     return out(d, "x", "slope", "forecast", "drift_only", keep=("entity", "h", "as_of", "train_from", "train_to"))
 
 
-WINDOWS = [24, 36, 48]
+WINDOWS = [24, 30, 36, 42, 48]
 
 
-@query("rolling_window_sweep", "H16", with_(NM, GRID, COMP, target_cte("tg", "comp", "ect", "(3)")) + f"""
-, pr AS (SELECT o.entity, o.ref_month, o.x, o.y, t.x AS tx, t.y AS ty, row_number() OVER (PARTITION BY o.entity, o.ref_month ORDER BY t.ref_month DESC) AS back, count(*) OVER (PARTITION BY o.entity, o.ref_month) AS k
-   FROM tg o JOIN tg t ON t.entity = o.entity AND t.x IS NOT NULL AND t.y IS NOT NULL AND CAST(t.ref_month + INTERVAL 3 MONTH AS DATE) <= o.ref_month WHERE o.x IS NOT NULL AND o.y IS NOT NULL),
- f AS (SELECT entity, ref_month, w, x, y, avg(ty) AS f0, regr_intercept(ty, tx) FILTER (back <= w) + regr_slope(ty, tx) FILTER (back <= w) * x AS f1 FROM pr CROSS JOIN (VALUES (24), (36), (48)) q(w) WHERE k >= 24 GROUP BY 1, 2, 3, 4, 5),
- s AS (SELECT entity, w, count(*) AS n, sqrt(avg((y - f1) ** 2)) / sqrt(avg((y - f0) ** 2)) AS ratio FROM f GROUP BY 1, 2)
-SELECT entity, w AS "window", n AS n_oos, {rnd('ratio', 'rmse_ratio')}, {rnd('quantile_cont(ratio, 0.5) OVER (PARTITION BY entity)', 'median_ratio')} FROM s WHERE n >= 12""")
+@query("rolling_window_sweep", "H16", with_(NM, GRID, COMP, target_cte("tg", "comp", "ect", H_SQL)) + f"""
+, pr AS (SELECT o.entity, o.h, o.ref_month, o.x, o.y, t.x AS tx, t.y AS ty, row_number() OVER (PARTITION BY o.entity, o.h, o.ref_month ORDER BY t.ref_month DESC) AS back, count(*) OVER (PARTITION BY o.entity, o.h, o.ref_month) AS k
+   FROM tg o JOIN tg t ON t.entity = o.entity AND t.h = o.h AND t.x IS NOT NULL AND t.y IS NOT NULL AND CAST(t.ref_month + INTERVAL 1 MONTH * t.h AS DATE) <= o.ref_month WHERE o.x IS NOT NULL),
+ f AS (SELECT entity, h, ref_month, w, x, y, avg(ty) AS f0, regr_intercept(ty, tx) FILTER (back <= w) + regr_slope(ty, tx) FILTER (back <= w) * x AS f1 FROM pr CROSS JOIN (VALUES {", ".join(f"({w})" for w in WINDOWS)}) q(w) WHERE k >= 24 GROUP BY 1, 2, 3, 4, 5, 6),
+ s AS (SELECT entity, h, w, count(y) AS n, CASE WHEN count(y) >= 12 THEN sqrt(avg((y - f1) ** 2)) / sqrt(avg((y - f0) ** 2)) END AS ratio FROM f GROUP BY 1, 2, 3)
+SELECT entity, h, w AS "window", n AS n_oos, {rnd('ratio', 'rmse_ratio')}, {rnd('quantile_cont(ratio, 0.5) OVER (PARTITION BY entity, h)', 'median_ratio')} FROM s""")
 def _(spark, sf):
     c = settled(comp_table(spark, sf))
     runs = None
     for w in WINDOWS:
-        s = fc.score_card(fc.forecasts(c, E, "ref_month", "level", "ect", [3], MIN_TRAIN, w), E, "ref_month").where("n_oos >= 12")
-        s = s.select("entity", F.lit(w).alias("window"), "n_oos", "rmse_ratio")
+        s = fc.score_card(fc.forecasts(c, E, "ref_month", "level", "ect", HORIZONS, MIN_TRAIN, w), ["entity", "h"], "ref_month")
+        s = s.select("entity", "h", F.lit(w).alias("window"), "n_oos", "rmse_ratio")
         runs = s if runs is None else runs.unionByName(s)
-    runs = runs.withColumn("median_ratio", F.percentile("rmse_ratio", F.lit(0.5)).over(Window.partitionBy("entity")))
-    return out(runs, "rmse_ratio", "median_ratio", keep=("entity", "window", "n_oos"))
+    runs = runs.withColumn("median_ratio", F.percentile("rmse_ratio", F.lit(0.5)).over(Window.partitionBy("entity", "h")))
+    return out(runs, "rmse_ratio", "median_ratio", keep=("entity", "h", "window", "n_oos"))
 
 
 SCHEMES = {"equal": (0.5, 0.5), "a_only": (1.0, 0.0), "b_only": (0.0, 1.0)}
@@ -191,14 +196,14 @@ def scheme_forecasts(spark, sf):
 
 SCHEME_BASE = [NM, GRID, COMP, SCHEME_SQL, target_cte("tg", "sc", "x", "(3), (12)"), forecast_cte("fc", "tg", MIN_TRAIN), ADJ, mean_test_cte("mt", "ad", "adj"),
                "ev AS (SELECT entity, h, count(y) AS n_oos, sqrt(avg((y - f_model) ** 2)) / sqrt(avg((y - f_drift) ** 2)) AS rmse_ratio FROM fc GROUP BY 1, 2)",
-               "sv AS (SELECT CAST(split_part(ev.entity, '/', 1) AS INT) AS entity, split_part(ev.entity, '/', 2) AS scheme, ev.h, n_oos, rmse_ratio, mt.t AS cw FROM ev JOIN mt ON mt.entity = ev.entity AND mt.h = ev.h WHERE n_oos >= 12)"]
+               "sv AS (SELECT CAST(split_part(ev.entity, '/', 1) AS INT) AS entity, split_part(ev.entity, '/', 2) AS scheme, ev.h, n_oos, CASE WHEN n_oos >= 12 THEN rmse_ratio END AS rmse_ratio, CASE WHEN n_oos >= 12 THEN mt.t END AS cw FROM ev LEFT JOIN mt ON mt.entity = ev.entity AND mt.h = ev.h)"]
 
 
 def scheme_scores(spark, sf):
     f = settled(scheme_forecasts(spark, sf))
     by = ["entity", "scheme", "h"]
-    s = fc.score_card(f, by, "ref_month").where("n_oos >= 12").select(*by, "n_oos", "rmse_ratio")
-    return s.join(fc.clark_west(f, by, "ref_month", 12).select(*by, F.col("stat").alias("cw")), by)
+    s = fc.score_card(f, by, "ref_month").select(*by, "n_oos", "rmse_ratio")
+    return enough(s.join(fc.clark_west(f, by, "ref_month", 12).select(*by, F.col("stat").alias("cw")), by, "left"), "n_oos", "cw")
 
 
 @query("weight_scheme_scores", "F31", with_(*SCHEME_BASE) + f"SELECT entity, scheme, h, n_oos, {rnd('rmse_ratio', 'rmse_ratio')}, {rnd('cw', 'cw')} FROM sv")
@@ -254,10 +259,11 @@ def _(spark, sf):
 @query("directional_evaluation", "H21", WITH + f"""
 , d AS (SELECT *, rank() OVER (PARTITION BY entity, h ORDER BY y) AS r1, rank() OVER (PARTITION BY entity, h ORDER BY f_model) AS r2, sign(f_model) * y AS ret FROM fc WHERE y IS NOT NULL),
  c AS (SELECT *, sum(ret) OVER (PARTITION BY entity, h ORDER BY ref_month) AS cum FROM d)
-SELECT entity, h, count(*) AS n, {rnd('avg(CASE WHEN sign(f_model) = sign(y) THEN 1.0 ELSE 0.0 END)', 'hit_rate')}, {rnd('corr(y, f_model)', 'pearson')}, {rnd('corr(r1, r2)', 'spearman')},
- {rnd('avg(ret)', 'mean_return')}, {rnd('max_by(cum, ref_month)', 'total_return')}, {rnd('min(cum)', 'worst_total')}, {rnd('avg(ret) / stddev_samp(ret) * sqrt(12)', 'information_ratio')} FROM c GROUP BY 1, 2 HAVING count(*) >= 12""")
+SELECT entity, h, count(*) AS n, {shown('avg(CASE WHEN sign(f_model) = sign(y) THEN 1.0 ELSE 0.0 END)', 'hit_rate', 'count(*)')}, {shown('corr(y, f_model)', 'pearson', 'count(*)')}, {shown('corr(r1, r2)', 'spearman', 'count(*)')},
+ {shown('avg(ret)', 'mean_return', 'count(*)')}, {shown('max_by(cum, ref_month)', 'total_return', 'count(*)')}, {shown('min(cum)', 'worst_total', 'count(*)')}, {shown('avg(ret) / stddev_samp(ret) * sqrt(12)', 'information_ratio', 'count(*)')} FROM c GROUP BY 1, 2""")
 def _(spark, sf):
-    d = fc.directional_scores(fc_table(spark, sf), ["entity", "h"], "ref_month").where("n >= 12")
+    d = fc.directional_scores(fc_table(spark, sf), ["entity", "h"], "ref_month")
+    d = enough(d, "n", "hit_rate", "pearson", "spearman", "mean_return", "total_return", "worst_total", "information_ratio")
     return out(d, "hit_rate", "pearson", "spearman", "mean_return", "total_return", "worst_total", "information_ratio", keep=("entity", "h", "n"))
 
 
@@ -274,16 +280,16 @@ def _(spark, sf):
 
 @query("sup_wald_break", "H13", with_(NM, GRID, COMP, target_cte("tg", "comp", "ect", "(3)")) + f"""
 , d AS (SELECT entity, ref_month, x, y, row_number() OVER (PARTITION BY entity ORDER BY ref_month) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM tg WHERE x IS NOT NULL AND y IS NOT NULL),
- s0 AS (SELECT entity, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS ssr0 FROM d GROUP BY 1),
+ s0 AS (SELECT entity, regr_syy(y, x) - coalesce(regr_sxy(y, x) ** 2 / nullif(regr_sxx(y, x), 0), 0) AS ssr0 FROM d GROUP BY 1),
  c AS (SELECT a.entity, a.i AS j, a.ref_month, a.n,
-   regr_syy(b.y, b.x) FILTER (b.i < a.i) - regr_sxy(b.y, b.x) FILTER (b.i < a.i) ** 2 / regr_sxx(b.y, b.x) FILTER (b.i < a.i)
-   + regr_syy(b.y, b.x) FILTER (b.i >= a.i) - regr_sxy(b.y, b.x) FILTER (b.i >= a.i) ** 2 / regr_sxx(b.y, b.x) FILTER (b.i >= a.i) AS ssr1
+   regr_syy(b.y, b.x) FILTER (b.i < a.i) - coalesce(regr_sxy(b.y, b.x) FILTER (b.i < a.i) ** 2 / nullif(regr_sxx(b.y, b.x) FILTER (b.i < a.i), 0), 0)
+   + regr_syy(b.y, b.x) FILTER (b.i >= a.i) - coalesce(regr_sxy(b.y, b.x) FILTER (b.i >= a.i) ** 2 / nullif(regr_sxx(b.y, b.x) FILTER (b.i >= a.i), 0), 0) AS ssr1
    FROM d a JOIN d b ON b.entity = a.entity WHERE a.i >= CAST(floor(a.n * 0.15::DOUBLE) AS INT) AND a.i < CAST(floor(a.n * 0.85::DOUBLE) AS INT) GROUP BY 1, 2, 3, 4),
- f AS (SELECT c.*, (ssr0 - ssr1) / 2 / (ssr1 / (n - 4)) AS F FROM c JOIN s0 USING (entity) WHERE n >= 12)
-SELECT entity, n, {rnd('max(F)', 'stat')}, arg_max(ref_month, F) AS at FROM f GROUP BY 1, 2""")
+ f AS (SELECT c.*, (ssr0 - ssr1) / 2 / (ssr1 / (n - 4)) AS F FROM c JOIN s0 USING (entity))
+SELECT l.entity, l.n, {shown('max(F)', 'stat', 'l.n')}, CASE WHEN l.n >= 12 THEN arg_max(ref_month, F) END AS at FROM (SELECT DISTINCT entity, n FROM d) l LEFT JOIN f ON f.entity = l.entity GROUP BY 1, 2""")
 def _(spark, sf):
     t = fc.targets(comp_table(spark, sf), E, "ref_month", "level", ["ect"], [3])
-    return br.sup_wald(t, E, "ref_month", "y", "ect").where("n >= 12").select("entity", "n", r6("stat").alias("stat"), "at")
+    return enough(br.sup_wald(t, E, "ref_month", "y", "ect"), "n", "stat", "at").select("entity", "n", r6("stat").alias("stat"), "at")
 
 
 @query("sup_wald_mean_break", "H13", with_(NM, GRID, COMP) + f"""
@@ -291,23 +297,23 @@ def _(spark, sf):
  s0 AS (SELECT entity, var_pop(y) * count(*) AS ssr0 FROM d GROUP BY 1),
  c AS (SELECT a.entity, a.i AS j, a.ref_month, a.n, var_pop(b.y) FILTER (b.i < a.i) * count(*) FILTER (b.i < a.i) + var_pop(b.y) FILTER (b.i >= a.i) * count(*) FILTER (b.i >= a.i) AS ssr1
    FROM d a JOIN d b ON b.entity = a.entity WHERE a.i >= CAST(floor(a.n * 0.15::DOUBLE) AS INT) AND a.i < CAST(floor(a.n * 0.85::DOUBLE) AS INT) GROUP BY 1, 2, 3, 4),
- f AS (SELECT c.*, (ssr0 - ssr1) / 1 / (ssr1 / (n - 2)) AS F FROM c JOIN s0 USING (entity) WHERE n >= 12)
-SELECT entity, n, {rnd('max(F)', 'stat')}, arg_max(ref_month, F) AS at FROM f GROUP BY 1, 2""")
+ f AS (SELECT c.*, (ssr0 - ssr1) / 1 / (ssr1 / (n - 2)) AS F FROM c JOIN s0 USING (entity))
+SELECT l.entity, l.n, {shown('max(F)', 'stat', 'l.n')}, CASE WHEN l.n >= 12 THEN arg_max(ref_month, F) END AS at FROM (SELECT DISTINCT entity, n FROM d) l LEFT JOIN f ON f.entity = l.entity GROUP BY 1, 2""")
 def _(spark, sf):
     d = br.sup_wald(comp_table(spark, sf), E, "ref_month", "gap_a", None)
-    return d.where("n >= 12").select("entity", "n", r6("stat").alias("stat"), "at")
+    return enough(d, "n", "stat", "at").select("entity", "n", r6("stat").alias("stat"), "at")
 
 
 @query("break_bootstrap", "H14")
 def _(spark, sf):
     t = fc.targets(comp_table(spark, sf), E, "ref_month", "level", ["ect"], [3])
-    d = br.break_test(t, E, "ref_month", "y", "ect", reps=99, block=12, seed=29)
+    d = br.break_test(t, E, "ref_month", "y", "ect", reps=199, block=12, seed=29)
     return out(d, "stat", "p", "before_const", "before_slope", "after_const", "after_slope", keep=("entity", "n", "at"))
 
 
 @query("sequential_breaks", "H15")
 def _(spark, sf):
-    d = br.sequential_breaks(comp_table(spark, sf), E, "ref_month", "gap_a", None, reps=49, block=6, seed=29, at_least=30, level=0.2)
+    d = br.sequential_breaks(comp_table(spark, sf), E, "ref_month", "gap_a", None, reps=199, block=6, seed=29, at_least=60, level=0.05)
     return out(d, "stat", "p", keep=("entity", "step", "n", "at"))
 
 

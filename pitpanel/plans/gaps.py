@@ -18,7 +18,7 @@ from pitpanel.session import settled
 
 # Fixed settings of the gap model.
 P = {"window": 4, "carry": 2, "eta_x": 0.46, "eta_m": 0.25, "income_share": 0.5, "fallback": -0.16, "cyclical": -0.3564,
-     "fixed": -2.0, "static": -2.5, "norm_months": 24, "years": 2, "spread": 0.5, "draws": 400, "seed": 7}
+     "fixed": -2.0, "static": -2.5, "norm_months": 24, "years": 2, "spread": 0.5, "draws": 2000, "seed": 7}
 
 
 def out(d, *cols, keep=("entity", "quarter")):
@@ -152,7 +152,7 @@ def z_sql(stream: str, seed: int = 7) -> str:
     return f"(sqrt(-2.0 * ln({u_sql(stream + ':r', seed)})) * cos(6.283185307179586::DOUBLE * {u_sql(stream + ':a', seed)}))"
 
 
-DRAWS = f"""dr AS (SELECT d, {z_sql('z_norm')} AS zn, {u_sql('u_x')} AS ux, {u_sql('u_m')} AS um, {u_sql('u_share')} AS us, {u_sql('u_back')} AS ub FROM generate_series(1, 400) g(d)),
+DRAWS = f"""dr AS (SELECT d, {z_sql('z_norm')} AS zn, {u_sql('u_x')} AS ux, {u_sql('u_m')} AS um, {u_sql('u_share')} AS us, {u_sql('u_back')} AS ub FROM generate_series(1, {P['draws']}) g(d)),
  dg AS (SELECT entity, quarter, d, -(underlying - (norm_path + norm_se * zn)) / coalesce(
    -(0.46::DOUBLE * (1 - 0.5::DOUBLE + 2 * 0.5::DOUBLE * ux) * ex_pct + 0.25::DOUBLE * (1 - 0.5::DOUBLE + 2 * 0.5::DOUBLE * um) * im_pct) / 100 - us * coalesce(inc_pct, 0) / 100,
    response * (1 - 0.5::DOUBLE + 2 * 0.5::DOUBLE * ub)) AS g FROM qg CROSS JOIN dr),
@@ -267,9 +267,8 @@ def _(spark, sf):
     return out(d, "lo_cal", "hi_cal", keep=("entity", "ref_month"))
 
 
-# Fixed settings: when each year's outcome became public.
-PUBLISHED = [(1996, "1997-07-01"), (1997, "1998-07-01"), (1998, "1999-07-01"), (1999, "2000-08-01"), (2000, "2001-07-01")]
-PUB_SQL = "pb(yr, public) AS (VALUES " + ", ".join(f"({y}, DATE '{d}')" for y, d in PUBLISHED) + ")"
+# every year of the corridor becomes public in the July after it
+PUB_SQL = "pb AS (SELECT DISTINCT yr, make_date(yr + 1, 7, 1) AS public FROM cd)"
 
 
 @query("published_years_calibration", "F26", with_(NM, GRID, COMP, CORR, PUB_SQL,
@@ -278,8 +277,8 @@ PUB_SQL = "pb(yr, public) AS (VALUES " + ", ".join(f"({y}, DATE '{d}')" for y, d
 SELECT cb.entity, cb.ref_month, CAST(n_scores AS INT) AS n_scores, {rnd('mid + shift - scale * (mid - lo)', 'lo_cal')}, {rnd('mid + shift + scale * (hi - mid)', 'hi_cal')}
 FROM cb ASOF LEFT JOIN ft ON ft.entity = cb.entity AND ft.public <= cb.ref_month""")
 def _(spark, sf):
-    pub = spark.createDataFrame(PUBLISHED, "year int, public string").withColumn("public", F.to_date("public"))
     b = settled(corridor_base(spark, sf))
+    pub = known(b).select("year").distinct().withColumn("public", F.make_date(F.col("year") + 1, F.lit(7), F.lit(1)))
     d = gp.published_calibration(known(b), b, pub, E, "year", 0.8, True, 3)
     return out(d, "lo_cal", "hi_cal", keep=("entity", "ref_month", "n_scores"))
 

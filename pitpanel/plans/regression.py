@@ -10,9 +10,9 @@ from pitpanel.operators import flows as fl
 from pitpanel.operators import regression as rg
 from pitpanel.plans.calendar import E
 from pitpanel.plans.features import FLOW, RGRID, flow_table, rgrid
-from pitpanel.plans.forecast import comp_table
+from pitpanel.plans.forecast import comp_table, enough
 from pitpanel.plans.registry import query
-from pitpanel.plans.sql import COMP, GRID, NM, REGS, hac_slope, mean_test_cte, rnd, with_
+from pitpanel.plans.sql import COMP, GRID, NM, REGS, hac_slope, mean_test_cte, rnd, shown, with_
 from pitpanel.session import settled
 
 BASE = [NM, GRID, REGS, RGRID, FLOW]
@@ -192,10 +192,11 @@ SPREAD = """sp AS (SELECT * FROM (SELECT entity, ref_month, v / n AS prem, (lead
 
 
 @query("spread_predictive_test", "G14", with_(NM, GRID, COMP, SPREAD, hac_slope("a", "sp", "nxt", "prem", 6), removed("rs", "sp", "nxt prem", "drv"), hac_slope("b", "rs", "nxt", "prem", 6)) + f"""
-SELECT a.entity, a.n, {rnd('a.slope', 'coef')}, {rnd('a.slope / a.se', 't')}, {rnd('b.slope', 'coef_given_driver')}, {rnd('b.slope / b.se', 't_given_driver')} FROM a JOIN b ON b.entity = a.entity WHERE a.n >= 12""")
+SELECT a.entity, a.n, {shown('a.slope', 'coef', 'a.n')}, {shown('a.slope / a.se', 't', 'a.n')}, {shown('b.slope', 'coef_given_driver', 'a.n')}, {shown('b.slope / b.se', 't_given_driver', 'a.n')} FROM a JOIN b ON b.entity = a.entity WHERE a.n > 3""")
 def _(spark, sf):
     d = premium(spark, sf).withColumn("lv", F.log("v"))
-    return out(fl.spread_tests(d, E, "ref_month", "level", "prem", "lv", 6).where("n >= 12"), "coef", "t", "coef_given_driver", "t_given_driver", keep=("entity", "n"))
+    d = enough(fl.spread_tests(d, E, "ref_month", "level", "prem", "lv", 6), "n", "coef", "t", "coef_given_driver", "t_given_driver")
+    return out(d, "coef", "t", "coef_given_driver", "t_given_driver", keep=("entity", "n"))
 
 
 @query("implied_forward", "G15", with_(NM, GRID, COMP) + f"""
@@ -224,14 +225,15 @@ ECM = [NM, GRID, COMP] + [x for h in (1, 3) for x in (
   LEFT JOIN comp d ON d.entity = c.entity AND d.ref_month = CAST(c.ref_month + INTERVAL {h} MONTH AS DATE)) WHERE ect IS NOT NULL AND y IS NOT NULL AND dv IS NOT NULL)""",
     removed(f"r{h}", f"e{h}", "y ect", "dv"), hac_slope(f"s{h}", f"r{h}", "y", "ect", h),
     f"t{h} AS (SELECT entity, regr_syy(y, y) AS syy FROM e{h} GROUP BY 1)", f"u{h} AS (SELECT entity, regr_syy(y, ect) AS syy FROM r{h} GROUP BY 1)")]
-ECM_ROW = "SELECT s{h}.entity, {h} AS h, n, " + ", ".join([rnd("slope", "speed"), rnd("slope / se", "speed_t"),
-    rnd("CASE WHEN slope < 0 AND slope > -1 THEN ln(0.5::DOUBLE) / ln(1 + slope) END", "half_life"), rnd("1 - u{h}.syy * (1 - r2) / t{h}.syy", "r2")]) + \
-    " FROM s{h} JOIN t{h} ON t{h}.entity = s{h}.entity JOIN u{h} ON u{h}.entity = s{h}.entity WHERE n >= 12"
+ECM_ROW = "SELECT s{h}.entity, {h} AS h, n, " + ", ".join([shown("slope", "speed"), shown("slope / se", "speed_t"),
+    shown("CASE WHEN slope < 0 AND slope > -1 THEN ln(0.5::DOUBLE) / ln(1 + slope) END", "half_life"), shown("1 - u{h}.syy * (1 - r2) / t{h}.syy", "r2")]) + \
+    " FROM s{h} JOIN t{h} ON t{h}.entity = s{h}.entity JOIN u{h} ON u{h}.entity = s{h}.entity WHERE n > 3"
 
 
 @query("error_correction", "G17", with_(*ECM) + " UNION ALL ".join(ECM_ROW.replace("{h}", str(h)) for h in (1, 3)))
 def _(spark, sf):
-    d = fl.error_correction(comp_once(spark, sf).withColumn("lv", F.log("v")), E, "ref_month", "level", "ect", ["lv"], [1, 3], 3).where("n >= 12")
+    d = fl.error_correction(comp_once(spark, sf).withColumn("lv", F.log("v")), E, "ref_month", "level", "ect", ["lv"], [1, 3], 3)
+    d = enough(d, "n", "speed", "speed_t", "half_life", "r2")
     return out(d, "speed", "speed_t", "half_life", "r2", keep=("entity", "h", "n"))
 
 

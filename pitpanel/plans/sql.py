@@ -5,6 +5,13 @@ def rnd(expr: str, name: str) -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
 
 
+LEAST = 12           # statistics of fewer observations are NULL; their row stays with its count
+
+
+def shown(expr: str, name: str, n: str = "n") -> str:
+    return rnd(f"CASE WHEN {n} >= {LEAST} THEN {expr} END", name)
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
