@@ -80,6 +80,7 @@ class Blocks(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
         self.links = self.skips = self.articles = self.strong = self.weak = self.headings = 0
+        self.places: dict[str, list[int]] = {}       # where each tag stands open, the innermost last
 
     def cut(self) -> None:
         words = "".join(self.parts).split()
@@ -95,15 +96,16 @@ class Blocks(HTMLParser):
         self.headings += by * (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")
 
     def drop(self, tag: str, until: frozenset[str] = frozenset()) -> None:
-        """Close the innermost ``tag`` and what is open inside it; stop at a tag of ``until``."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    closed, furniture, self.weak = self.open.pop()
-                    self.count(closed, furniture, -1)
-                return
-            if self.open[k][0] in until:
-                return
+        """Close the innermost ``tag`` and what is open inside it, unless a tag of ``until`` stands inside it.
+
+        The places of open tags are kept by name, so an end without a start costs nothing and every tag is closed once."""
+        at = self.places.get(tag)
+        if not at or any(p[-1] > at[-1] for t in until if (p := self.places.get(t))):
+            return
+        for _ in range(len(self.open) - at[-1]):
+            closed, furniture, self.weak = self.open.pop()
+            self.places[closed].pop()
+            self.count(closed, furniture, -1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -123,6 +125,7 @@ class Blocks(HTMLParser):
                     furniture = max(furniture, level if tag != "article" or level == 2 else 0)
                 elif name == "role" and value and tag != "article":
                     furniture = max(furniture, 2 * (value.lower() in FURNITURE_ROLES - {"form"}), int(value.lower() == "form"))
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, furniture, self.weak))
         self.weak = (0 if tag in ARTICLE else self.weak) + (furniture == 1)
         self.count(tag, furniture, 1)

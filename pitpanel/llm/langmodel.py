@@ -13,13 +13,13 @@ them meet their counts in a shuffle join.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,50 +35,57 @@ BATCH = 4096
 ROUNDS = 2
 RATE = 0.1
 END = b""             # no word is empty
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def word_lists(text: bytes | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The words of a text, a stretch at a time, then the end."""
-    text, at = text or b"", 0
-    while at < len(text):
-        stop = SPACE.search(text, at + size)
-        to = stop.end() if stop else len(text)
-        yield text[at:to].lower().split()
-        at = to
-    yield [END]
 
 
 def ending(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "replace")[-2:].encode()) % CLASSES
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, int, bytes]]:
+class Words:
+    """The words of some rows' texts and an end after each: distinct words, and every token as a number among them."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+        flat, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets))
+        there = np.asarray(pc.not_equal(flat, ""), bool)                  # white space at the ends leaves empty pieces
+        row = np.repeat(np.arange(len(sizes)), sizes)[there]
+        codes = flat.filter(pa.array(there)).dictionary_encode() if len(flat) else pa.array([], pa.large_string()).dictionary_encode()
+        self.distinct = codes.dictionary
+        self.sizes = np.bincount(row, minlength=len(sizes)) + 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.tokens = np.full(int(self.sizes.sum()), len(self.distinct), np.int64)          # the end: one beyond the distinct words
+        self.tokens[np.arange(len(row)) + row] = np.asarray(codes.indices)
+
+    def before(self, symbols: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols two and one before every token of its text."""
+        out = []
+        for back in (2, 1):
+            x = np.concatenate([np.full(back, start, symbols.dtype), symbols])[:len(symbols)]
+            for first in range(back):
+                at = self.starts + first
+                x[at[at < len(x)]] = start
+            out.append(x)
+        return out[0], out[1]
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Rows of about ``size`` bytes of text at a time: looking words up costs a pass over the head each time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            part = batch.slice(start, rows)
-            for i, t in enumerate(part.column(part.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()):
-                yield part, i, t or b""
+        texts = batch.column(batch.schema.get_field_index(column))
+        part = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            if stop > start:
+                yield batch.slice(start, stop - start), Words(texts.slice(start, stop - start))
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(word, n) over all training texts; a task sends partial counts of bounded size."""
+    """(word, n) over all training texts: counts of some texts at a time, summed before and after the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def out():
-            words, n = list(found), list(found.values())
-            for i in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i:i + 50_000], pa.binary()).cast(pa.string()), pa.array(n[i:i + 50_000], pa.int64())], names=["word", "n"])
-            found.clear()
-
-        for _, _, text in rows_of(batches, "text"):
-            for words in word_lists(text):
-                found.update(words)
-            if len(found) > 500_000:
-                yield from out()
-        yield from out()
+        for _, words in parts_of(batches, "text"):
+            n = np.bincount(words.tokens, minlength=len(words.distinct) + 1)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.distinct.cast(pa.string()), pa.array([""])]), pa.array(n, pa.int64())], names=["word", "n"])
 
     return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -90,7 +97,8 @@ class Vocabulary:
         top = sorted((w for w in head if w != END), key=lambda w: (-head[w], w))[:SYMBOLS - 1]
         self.least, self.total, self.distinct = least, total, distinct
         symbol = {w: i for i, w in enumerate([END, *top])}
-        self.words = {w: i for i, w in enumerate(head)}
+        self.words = list(head)
+        self.array = pa.array(self.words, pa.large_binary()).cast(pa.large_string())
         n = np.array(list(head.values()), float) if head else np.zeros(0)
         self.log_count = np.log10(n + 1)
         self.symbol = np.array([symbol.get(w, SYMBOLS + ending(w)) for w in head], np.int32)
@@ -106,12 +114,16 @@ class Vocabulary:
         own[SYMBOLS:] = class_n
         self.noise = (own + 0.5) / (own.sum() + 0.5 * len(own))
 
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's place in the head (-1: none) and its symbol."""
-        at = np.fromiter(map(self.words.get, words, [-1] * len(words)), np.int32, len(words))
-        sym = self.symbol[at] if len(self.symbol) else np.zeros(len(words), np.int32)
-        for i in np.flatnonzero(at < 0):
-            sym[i] = 0 if words[i] == END else SYMBOLS + ending(words[i])
+    def symbols(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of every word, and of the end after them, the place in the head (-1: none) and the symbol."""
+        both = pa.concat_arrays([words, pa.array([""], words.type)])
+        at = np.asarray(pc.index_in(both, value_set=self.array).fill_null(-1), np.int64)
+        sym = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int32)
+        beyond = np.flatnonzero(at < 0)
+        if len(beyond):
+            tails = pc.utf8_slice_codeunits(both.take(pa.array(beyond)), -2).dictionary_encode()
+            sym[beyond] = SYMBOLS + np.array([ending(t.encode()) for t in tails.dictionary.to_pylist()], np.int32)[np.asarray(tails.indices)]
+        sym[-1] = 0
         return at, sym
 
 
@@ -200,13 +212,10 @@ def train_round(train: DataFrame, vocabulary, params: np.ndarray, number: int) -
                 at += part.shape[1]
             stock, have = [x[:, at:]], x.shape[1] - at
 
-        for _, _, text in rows_of(batches, "text"):
-            before = np.array([START, START], np.int32)
-            for words in word_lists(text):
-                s = np.concatenate([before, v.symbols(words)[1]])
-                stock.append(np.stack([s[:-2], s[1:-1], s[2:]]))
-                have += len(words)
-                before = s[-2:]
+        for _, words in parts_of(batches, "text"):
+            s = v.symbols(words.distinct)[1][words.tokens]
+            stock.append(np.stack([*words.before(s, START), s]))
+            have += len(s)
             use(BATCH)
         use(1)
         flat = np.concatenate([x.ravel() for x in model.p]).astype(np.float64) * model.seen
@@ -269,32 +278,25 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
         v = Vocabulary(*vocabulary.value)
         a1, a2, z = tables(sent.value)
         row, ln10, everything = TaskContext.get().partitionId() << 40, np.log(10), np.log10(v.total + v.distinct + 1)
-        out: list[tuple] = []
-
-        def batch_of(x: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*x))
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-        for part, i, text in rows_of(batches, "text"):
-            before, n, known, base, model, rare = np.array([START, START], np.int32), 0, 0, 0.0, 0.0, Counter()
-            for words in word_lists(text):
-                at, sym = v.symbols(words)
-                s = np.concatenate([before, sym])
-                w2, w1, w, before = s[:-2], s[1:-1], s[2:], s[-2:]
-                inside = w >= SYMBOLS
-                freq = np.where(at >= 0, v.log_count[at], 0.0) if len(v.log_count) else np.zeros(len(words))
-                n, known = n + len(words), known + int((at >= 0).sum())
-                base += float(freq.sum()) - len(words) * everything
-                model += float((a1[w1, w] + a2[w2, w] - z[w1, w2]).sum()) / ln10 + float(freq[inside].sum() - v.class_log[w[inside] - SYMBOLS].sum())
-                rare.update(words[j] for j in np.flatnonzero(at < 0) if words[j] != END)
-            out.append((row, part.column(0)[i].as_py(), part.column(1)[i].as_py(), n, known, base, model, [{"word": w.decode(), "n": c} for w, c in rare.items()]))
-            row += 1
-            if len(out) == 256:
-                yield batch_of(out)
-                out = []
-        if out:
-            yield batch_of(out)
+        for part, words in parts_of(batches, "text"):
+            head, sym = v.symbols(words.distinct)
+            at, w = head[words.tokens], sym[words.tokens]
+            w2, w1 = words.before(w, START)
+            freq = np.where(head >= 0, v.log_count[head], 0.0)[words.tokens] if len(v.log_count) else np.zeros(len(w))
+            inside = w >= SYMBOLS
+            value = (a1[w1, w] + a2[w2, w] - z[w1, w2]) / ln10
+            value[inside] += freq[inside] - v.class_log[w[inside] - SYMBOLS]
+            per_row = lambda x: np.add.reduceat(x, words.starts)
+            base, model, known = per_row(freq) - words.sizes * everything, per_row(value), per_row((at >= 0).astype(np.int64))
+            rare: dict[int, Counter] = {}
+            beyond = np.flatnonzero((at < 0) & (words.tokens < len(words.distinct)))
+            for i, t in zip((np.searchsorted(words.starts, beyond, "right") - 1).tolist(), words.distinct.take(pa.array(words.tokens[beyond])).to_pylist()):
+                rare.setdefault(i, Counter())[t] += 1
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row + np.arange(part.num_rows), pa.int64()), part.column(0), part.column(1), pa.array(words.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model),
+                pa.array([[{"word": k, "n": n} for k, n in rare.get(i, {}).items()] for i in range(part.num_rows)], kind)],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            row += part.num_rows
 
     scored = settle(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
                                     "rare array<struct<word: string, n: bigint>>"), "scored")

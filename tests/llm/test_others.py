@@ -74,6 +74,37 @@ def test_comment_articles_are_furniture():
     assert html.main_text(page, html.train()) == "The story itself."
 
 
+def test_deep_pages_take_no_longer_than_flat_ones():
+    """Ends without a start, and deep nests, are linear: quadratic work takes minutes here."""
+    import time
+
+    start = time.perf_counter()
+    for page in ("<div>" * 30000 + "</b>" * 30000 + "text", "<div><p>" * 20000 + "x" + "</p></div>" * 20000, "<ul><li>" * 20000 + "x", "<b><i>" * 30000 + "</p></u>" * 30000):
+        html.blocks(page)
+    assert time.perf_counter() - start < 20
+
+
+def naive_drop(self, tag, until=frozenset()):
+    """The rule read off the open tags one by one."""
+    for k in range(len(self.open) - 1, -1, -1):
+        if self.open[k][0] == tag:
+            while len(self.open) > k:
+                closed, furniture, self.weak = self.open.pop()
+                self.count(closed, furniture, -1)
+            return
+        if self.open[k][0] in until:
+            return
+
+
+def test_closing_by_place_is_closing_by_walk(monkeypatch):
+    rng = np.random.default_rng(4)
+    names = ["div", "p", "li", "ul", "b", "a", "td", "tr", "table", "article", "nav", "h2", "section", "dd", "dl"]
+    pages = ["".join(f"<{'/' if rng.random() < 0.45 else ''}{names[rng.integers(len(names))]}>w{i} " for i in range(60)) for _ in range(300)]
+    fast = [html.blocks(p) for p in pages]
+    monkeypatch.setattr(html.Blocks, "drop", naive_drop)
+    assert fast == [html.blocks(p) for p in pages]
+
+
 def test_tree_learns_its_table():
     table = np.array(html.LABELLED, float)
     assert (html.classify(html.train(), table[:, :-1]) == table[:, -1].astype(bool)).all()
