@@ -45,7 +45,8 @@ class Words:
     """The words of some rows' texts and an end after each: distinct words, and every token as a number among them."""
 
     def __init__(self, texts: pa.Array):
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+        texts = pa.concat_arrays([texts, pa.array([None], texts.type)]).fill_null("").cast(pa.large_string())[:-1]      # a copy: functions misread the offsets of a slice
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         flat, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets))
         there = np.asarray(pc.not_equal(flat, ""), bool)                  # white space at the ends leaves empty pieces
         row = np.repeat(np.arange(len(sizes)), sizes)[there]

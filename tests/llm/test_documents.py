@@ -335,3 +335,25 @@ def test_components(spark, finish):
     low = reach(links)
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(7), finish=finish).collect()}
     assert all(got.get(x, x) == nodes[low[i]] for i, x in enumerate(nodes))
+
+
+def test_words_of_slices():
+    """Tokens, ends and contexts of slices of a batch, against plain splitting."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice(list("aBcé😀ß \t\n\x0b\x0c\x1c\x85\xa0ÀK"), rng.integers(0, 60))) for _ in range(400)]
+    column = pa.array(texts)
+    for start, stop in ((0, 400), (7, 8), (100, 400), (399, 400), (5, 5)):
+        w = langmodel.Words(column.slice(start, stop - start))
+        names = [*w.distinct.cast(pa.large_binary()).to_pylist(), b""]
+        want = [[*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""] for t in texts[start:stop]]
+        assert [[names[t] for t in w.tokens[s:s + n]] for s, n in zip(w.starts, w.sizes)] == want
+        w2, w1 = w.before(w.tokens, -1)
+        flat = [t for s, n in zip(w.starts, w.sizes) for t in zip([-1, -1, *w.tokens[s:s + n]], [-1, *w.tokens[s:s + n]], w.tokens[s:s + n])]
+        assert [(int(a), int(b), int(c)) for a, b, c in flat] == list(zip(w2.tolist(), w1.tolist(), w.tokens.tolist()))
+    batch = pa.RecordBatch.from_arrays([column], names=["text"])
+    parts = list(langmodel.parts_of(iter([batch, batch.slice(50, 100)]), "text", 500))
+    assert sum(p.num_rows for p, _ in parts) == 500 and len(parts) > 10
+    got = [names for p, w in parts for s, n in zip(w.starts, w.sizes) for names in [[*w.distinct.cast(pa.large_binary()).to_pylist(), b""]] for names in [[names[t] for t in w.tokens[s:s + n]]]]
+    assert got == [[*(t or "").encode().lower().split(), b""] for t in [*texts, *texts[50:150]]]
