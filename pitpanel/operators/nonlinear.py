@@ -1,17 +1,19 @@
 """Forecast variants: threshold, cubic and random-walk coefficients, fitted at every origin.
 
-An origin carries its training sample as two arrays (bounded by the calendar), so candidate
-thresholds and noise ratios are extra rows of one plan and need no further shuffle of data."""
+A series is one array (bounded by the calendar); an origin is a stretch of it, cut where it is fitted. All origins
+of a batch are fitted together: every threshold comes from one order by |x| and its running sums, all noise
+ratios move through the observations side by side, so no row is repeated for a candidate."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.functions.arrays import sorted_percentile
 from pitpanel.functions.columns import past
 from pitpanel.operators.calendar import Keys
 from pitpanel.operators.forecast import forecasts, per_horizon, targets
@@ -19,51 +21,69 @@ from pitpanel.operators.regression import products, solve_gram
 
 
 def origins(df: DataFrame, keys: Keys, time: str, level: str, x: str, horizons: Sequence[int], min_train: int) -> DataFrame:
-    """keys, h, time, x, y, f_drift, train: the realised (x, y) pairs at each origin."""
+    """keys, h, time, x, y, f_drift, train, n_train: the realised (x, y) pairs at each origin."""
     d = targets(df, keys, time, level, [x], horizons).withColumnRenamed(x, "x")
     by = [*keys, "h"]
-    pair = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct(F.col("x"), F.col("y")))
-    d = d.withColumn("train", per_horizon(horizons, lambda h: F.collect_list(pair).over(past(by, time, -h))))
-    d = d.where(F.col("x").isNotNull() & (F.size("train") >= min_train))
+    g = d.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("_r"))
+    o = g.select(*by, "_r", F.posexplode("_r").alias("_i", "_o")).where(F.col("_o.x").isNotNull())
+    known = F.filter(F.slice("_r", F.lit(1), F.greatest(F.col("_i") + 1 - F.col("h"), F.lit(0))), lambda r: r["x"].isNotNull() & r["y"].isNotNull())
+    o = o.select(*by, F.col("_o.t").alias(time), F.col("_o.x").alias("x"), F.col("_o.y").alias("y"), known.alias("train")).where(F.size("train") >= min_train)
     mean = F.aggregate("train", F.lit(0.0), lambda s, r: s + r["y"]) / F.size("train")
-    return d.select(*by, time, "x", "y", mean.alias("f_drift"), "train", F.size("train").alias("n_train"))
-
-
-def _sums(rows: str, cols) -> Column:
-    """Product matrix of the expressions ``cols(r)`` over an array of rows, in one pass."""
-    n = len(cols(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))))
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    zero = F.struct(*[F.lit(0.0).alias(f"s{i}_{j}") for i, j in pairs])
-
-    def add(acc: Column, r: Column) -> Column:
-        c = cols(r)
-        return F.struct(*[(acc[f"s{i}_{j}"] + c[i] * c[j]).alias(f"s{i}_{j}") for i, j in pairs])
-
-    total = F.aggregate(rows, zero, add)
-    return F.transform(F.array(total), lambda t: F.array(*[t[f"s{min(i, j)}_{max(i, j)}"] for i in range(n) for j in range(n)]))[0]
-
-
-def linear_forecasts(o: DataFrame) -> DataFrame:
-    one = lambda r: [F.lit(1.0), r["x"], r["y"]]
-    d = o.withColumn("_s", solve_gram(_sums("train", one)))
-    return d.withColumns({"f_linear": F.col("_s.beta")[0] + F.col("_s.beta")[1] * F.col("x"), "b_linear": F.col("_s.beta")[1]}).drop("_s")
+    return o.select(*by, time, "x", "y", mean.alias("f_drift"), "train", F.size("train").alias("n_train"))
+
+
+def _solve(g: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Solutions of stacks of small symmetric systems in unit-diagonal scale; of least length where singular."""
+    s = np.sqrt(np.einsum("...ii->...i", g))
+    s[s == 0] = 1.0
+    return np.einsum("...ij,...j->...i", np.linalg.pinv(g / (s[..., :, None] * s[..., None, :]), rcond=1e-13, hermitian=True), v / s) / s
+
+
+def threshold_batch(xs: list[np.ndarray], ys: list[np.ndarray], quantiles: Sequence[float], min_side: int) -> np.ndarray:
+    """For many samples: band edge, constant, slope inside and outside of the best threshold (NaN edge: the linear fit)."""
+    n = np.array([len(v) for v in xs])
+    x, y, size = (np.zeros((len(xs), n.max())) for _ in range(3))
+    size += np.inf
+    for i, (a, b) in enumerate(zip(xs, ys)):
+        order = np.argsort(np.abs(a), kind="stable")
+        x[i, :len(a)], y[i, :len(a)], size[i, :len(a)] = a[order], b[order], np.abs(a)[order]
+    run = lambda v: np.concatenate([np.zeros((len(v), 1)), np.cumsum(v, 1)], 1)
+    sx, sxx, sxy, sy, syy = run(x), run(x * x), run(x * y), y.sum(1), (y * y).sum(1)
+    row = np.arange(len(n))
+    linear = _solve(np.stack([np.stack([n, sx[:, -1]], 1), np.stack([sx[:, -1], sxx[:, -1]], 1)], 1), np.stack([sy, sxy[:, -1]], 1))
+    out = np.column_stack([np.full(len(n), np.nan), linear[:, 0], linear[:, 1], linear[:, 1]])
+    best = np.full(len(n), np.inf)
+    for q in quantiles:
+        at = q * (n - 1)
+        lo = np.floor(at).astype(int)
+        c = size[row, lo] + (size[row, np.minimum(lo + 1, n - 1)] - size[row, lo]) * (at - lo)
+        k = (size <= c[:, None]).sum(1)
+        ix, ixx, ixy = (v[row, k] for v in (sx, sxx, sxy))
+        ox, oxx, oxy = sx[:, -1] - ix, sxx[:, -1] - ixx, sxy[:, -1] - ixy
+        zero = np.zeros(len(n))
+        g = np.stack([np.stack([n, ix, ox], 1), np.stack([ix, ixx, zero], 1), np.stack([ox, zero, oxx], 1)], 1)
+        v = np.stack([sy, ixy, oxy], 1)
+        beta = _solve(g, v)
+        ssr = syy - (beta * v).sum(1)
+        better = (k >= min_side) & (n - k >= min_side) & ((ssr < best) | ((ssr == best) & (c < out[:, 0])))
+        best[better] = ssr[better]
+        out[better] = np.column_stack([c, beta])[better]
+    return out
 
 
 def threshold_forecasts(o: DataFrame, by: Keys, time: str, quantiles: Sequence[float], min_side: int = 12) -> DataFrame:
     """Slope inside and outside a band of |x|; the band edge is the quantile with the smallest
     sum of squares among those leaving ``min_side`` rows on either side, else the linear fit."""
-    d = linear_forecasts(o).withColumn("_abs", F.sort_array(F.transform("train", lambda r: F.abs(r["x"]))))
-    d = d.withColumn("c", F.explode(F.array(*[sorted_percentile(F.col("_abs"), q) for q in quantiles])))
-    inside = F.size(F.filter("_abs", lambda a: a <= F.col("c")))
-    d = d.withColumn("_in", inside).withColumn("_usable", (F.col("_in") >= min_side) & (F.col("n_train") - F.col("_in") >= min_side))
-    step = lambda r: [F.lit(1.0), F.when(F.abs(r["x"]) <= F.col("c"), r["x"]).otherwise(0.0),
-                      F.when(F.abs(r["x"]) <= F.col("c"), 0.0).otherwise(r["x"]), r["y"]]
-    d = d.withColumn("_s", solve_gram(_sums("train", step)))
-    best = F.min_by(F.struct("c", F.col("_s.beta").alias("b")), F.when(F.col("_usable"), F.struct(F.col("_s.ssr"), F.col("c"))))
-    g = d.groupBy(*by, time).agg(*[F.first(c).alias(c) for c in ("x", "y", "f_drift", "n_train", "f_linear", "b_linear")], best.alias("_b"))
-    f = F.col("_b.b")[0] + F.when(F.abs("x") <= F.col("_b.c"), F.col("_b.b")[1]).otherwise(F.col("_b.b")[2]) * F.col("x")
-    return g.select(*by, time, "x", "y", "f_drift", "n_train", F.coalesce(f, "f_linear").alias("f_model"),
-                    F.coalesce(F.col("_b.b")[1], "b_linear").alias("slope"), F.col("_b.c").alias("c"), F.col("_b.b")[2].alias("slope_outside"))
+
+    @F.pandas_udf("c double, const double, inside double, outside double")
+    def fit(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        got = threshold_batch([np.asarray(v) for v in x], [np.asarray(v) for v in y], quantiles, min_side) if len(x) else np.zeros((0, 4))
+        return pd.DataFrame(got, columns=["c", "const", "inside", "outside"])
+
+    d = o.withColumn("_b", fit("train.x", "train.y")).withColumn("c", F.when(~F.isnan("_b.c"), F.col("_b.c")))
+    slope = F.when(F.col("c").isNull() | (F.abs("x") <= F.col("c")), F.col("_b.inside")).otherwise(F.col("_b.outside"))
+    return d.select(*by, time, "x", "y", "f_drift", "n_train", (F.col("_b.const") + slope * F.col("x")).alias("f_model"),
+                    F.col("_b.inside").alias("slope"), "c", F.when(F.col("c").isNotNull(), F.col("_b.outside")).alias("slope_outside"))
 
 
 def cubic_forecasts(df: DataFrame, keys: Keys, time: str, level: str, x: str, horizons: Sequence[int], min_train: int) -> DataFrame:
@@ -81,40 +101,49 @@ def cubic_forecasts(df: DataFrame, keys: Keys, time: str, level: str, x: str, ho
                     b[1].alias("slope"), b[2].alias("cubic"))
 
 
+def drifting_batch(xs: list[np.ndarray], ys: list[np.ndarray], ratios: Sequence[float]) -> np.ndarray:
+    """For many samples: noise ratio, constant and slope at the end of the likeliest filter (ties: the first ratio)."""
+    n = np.array([len(v) for v in xs])
+    x, y = (np.zeros((len(xs), n.max())) for _ in range(2))
+    for i, (a, b) in enumerate(zip(xs, ys)):
+        x[i, :len(a)], y[i, :len(a)] = a, b
+    there = np.arange(x.shape[1]) < n[:, None]
+    mx, my = x.sum(1) / n, y.sum(1) / n
+    dx, dy = (x - mx[:, None]) * there, (y - my[:, None]) * there
+    vx, noise = (dx * dx).sum(1) / n, (dy * dy).sum(1) / n
+    with np.errstate(invalid="ignore", divide="ignore"):
+        slope = (dx * dy).sum(1) / n / vx
+    noise = np.where(noise > 0, noise, 1.0)[:, None]
+    q = np.asarray(ratios, float)[None, :]
+    q0, q1 = q * noise, q * noise / np.maximum(vx, 1e-12)[:, None]
+    wide = np.ones_like(q0)
+    a, b = (my - slope * mx)[:, None] * wide, slope[:, None] * wide
+    p00, p01, p11, like = 10 * noise * wide, 0 * wide, 10 * noise * wide, 0 * wide
+    for t in range(x.shape[1]):
+        on, xt = there[:, t, None], x[:, t, None]
+        u00, u11 = p00 + q0, p11 + q1
+        z0, z1 = u00 + p01 * xt, p01 + u11 * xt
+        f = z0 + xt * z1 + noise
+        miss = y[:, t, None] - a - b * xt
+        new = (a + z0 / f * miss, b + z1 / f * miss, u00 - z0 * z0 / f, p01 - z0 * z1 / f, u11 - z1 * z1 / f, like - 0.5 * (np.log(f) + miss * miss / f))
+        a, b, p00, p01, p11, like = (np.where(on, v, old) for v, old in zip(new, (a, b, p00, p01, p11, like)))
+    order = np.argsort(np.asarray(ratios), kind="stable")
+    best = order[np.argmax(like[:, order], 1)]
+    row = np.arange(len(n))
+    return np.column_stack([np.asarray(ratios, float)[best], a[row, best], b[row, best]])
+
+
 def drifting_forecasts(o: DataFrame, by: Keys, time: str, ratios: Sequence[float]) -> DataFrame:
     """Constant and slope as random walks, filtered from the least-squares start; the noise ratio
     is the one with the highest likelihood on the training sample."""
-    n = F.size("train").cast("double")
-    mean = lambda c: F.aggregate("train", F.lit(0.0), lambda s, r: s + r[c]) / n
-    d = o.withColumns({"_mx": mean("x"), "_my": mean("y")})
-    moment = lambda a, b: F.aggregate("train", F.lit(0.0), lambda s, r: s + (r[a] - F.col(f"_m{a}")) * (r[b] - F.col(f"_m{b}"))) / n
-    d = d.withColumns({"_vx": moment("x", "x"), "_vy": moment("y", "y"), "_cxy": moment("x", "y")})
-    d = d.withColumns({"_b": F.col("_cxy") / F.col("_vx"), "_r": F.when(F.col("_vy") > 0, F.col("_vy")).otherwise(1.0)})
-    d = d.withColumn("_a", F.col("_my") - F.col("_b") * F.col("_mx"))
-    d = d.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in ratios])))
-    d = d.withColumns({"_q0": F.col("q") * F.col("_r"), "_q1": F.col("q") * F.col("_r") / F.greatest(F.col("_vx"), F.lit(1e-12))})
-    start = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"), (F.col("_r") * 10).alias("p00"), F.lit(0.0).alias("p01"),
-                     (F.col("_r") * 10).alias("p11"), F.lit(0.0).alias("ll"))
-
-    def step(s: Column, r: Column) -> Column:
-        p00, p01, p11, x = s["p00"] + F.col("_q0"), s["p01"], s["p11"] + F.col("_q1"), r["x"]
-        k = F.struct((p00 + p01 * x).alias("z0"), (p01 + p11 * x).alias("z1"), (r["y"] - s["a"] - s["b"] * x).alias("v"),
-                     p00.alias("p00"), p11.alias("p11"))
-
-        def update(t: Column) -> Column:
-            f = t["z0"] + x * t["z1"] + F.col("_r")
-            return F.struct((s["a"] + t["z0"] / f * t["v"]).alias("a"), (s["b"] + t["z1"] / f * t["v"]).alias("b"),
-                            (t["p00"] - t["z0"] * t["z0"] / f).alias("p00"), (p01 - t["z0"] * t["z1"] / f).alias("p01"),
-                            (t["p11"] - t["z1"] * t["z1"] / f).alias("p11"), (s["ll"] - 0.5 * (F.log(f) + t["v"] * t["v"] / f)).alias("ll"))
-
-        return F.transform(F.array(k), update)[0]
-
-    d = d.withColumn("_state", F.aggregate("train", start, step))
-    best = F.max_by(F.struct("q", "_state"), F.struct(F.col("_state.ll"), -F.col("q")))
-    g = d.groupBy(*by, time).agg(*[F.first(c).alias(c) for c in ("x", "y", "f_drift", "n_train")], best.alias("_b"))
-    s = "_b._state"
-    return g.select(*by, time, "x", "y", "f_drift", "n_train", (F.col(f"{s}.a") + F.col(f"{s}.b") * F.col("x")).alias("f_model"),
-                    F.col(f"{s}.b").alias("slope"), F.col("_b.q").alias("q"))
+
+    @F.pandas_udf("q double, const double, slope double")
+    def fit(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        got = drifting_batch([np.asarray(v) for v in x], [np.asarray(v) for v in y], ratios) if len(x) else np.zeros((0, 3))
+        return pd.DataFrame(got, columns=["q", "const", "slope"])
+
+    d = o.withColumn("_b", fit("train.x", "train.y"))
+    return d.select(*by, time, "x", "y", "f_drift", "n_train", (F.col("_b.const") + F.col("_b.slope") * F.col("x")).alias("f_model"), F.col("_b.slope").alias("slope"), F.col("_b.q").alias("q"))
 
 
 def variant_forecasts(df: DataFrame, keys: Keys, time: str, level: str, x: str, horizons: Sequence[int], min_train: int,

@@ -29,7 +29,7 @@ def out(d, *cols, keep=("entity", "h", "ref_month")):
     return d.select(*keep, *[r6(c).alias(c) for c in cols])
 
 
-def origin_table(spark, sf, horizons=(3,)):
+def origin_table(spark, sf, horizons=HORIZONS):
     return nl.origins(comp_table(spark, sf), E, "ref_month", "level", "ect", list(horizons), MIN_TRAIN)
 
 
@@ -41,7 +41,7 @@ def _(spark, sf):
 
 @query("cubic_forecasts", "H10")
 def _(spark, sf):
-    d = nl.cubic_forecasts(comp_table(spark, sf), E, "ref_month", "level", "ect", [3], MIN_TRAIN)
+    d = nl.cubic_forecasts(comp_table(spark, sf), E, "ref_month", "level", "ect", HORIZONS, MIN_TRAIN)
     return out(d, "f_drift", "f_model", "slope", "cubic")
 
 
@@ -54,7 +54,7 @@ def _(spark, sf):
 @query("variant_score_table", "H12")
 def _(spark, sf):
     c = settled(comp_table(spark, sf))
-    f = nl.variant_forecasts(c, E, "ref_month", "level", "ect", [3], MIN_TRAIN, QUANTILES, RATIOS, 36)
+    f = nl.variant_forecasts(c, E, "ref_month", "level", "ect", HORIZONS, MIN_TRAIN, QUANTILES, RATIOS, 36)
     d = fc.score_card(f, ["entity", "variant", "h"], "ref_month")
     return out(d, "rmse_drift", "rmse_model", "rmse_ratio", "oos_r2", keep=("entity", "variant", "h", "n_oos"))
 
