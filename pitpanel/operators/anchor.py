@@ -18,6 +18,7 @@ from pitpanel.operators.calendar import Keys
 from pitpanel.operators.features import dynamic_terms
 from pitpanel.operators.gaps import draw_table
 from pitpanel.operators.regression import NUMBERS, attach, ols_clustered, ols_hac, sandwich, solve_gram
+from pitpanel.operators.scan import add_before, by_value
 from pitpanel.session import settled
 
 
@@ -189,25 +190,37 @@ def cluster_bootstrap(df: DataFrame, entity: str, time: str, y: str, xs: Sequenc
     p = len(z)
     cells = {(i, j): f"_g{i}_{j}" for i in range(p) for j in range(i, p)}
     g = dm.groupBy(entity).agg(*[F.sum(z[i] * z[j]).alias(n) for (i, j), n in cells.items()])
-    # number the entities 0..G-1 (one row per entity)
-    order = F.sort_array(F.collect_list(entity))
-    ids = g.agg(order.alias("_all")).select(F.size("_all").alias("_G"), F.posexplode("_all").alias("_id", entity))
-    picks = (ids.crossJoin(F.broadcast(df.sparkSession.range(1, draws + 1).withColumnRenamed("id", "draw")))       # draws is a setting
+    # number the entities 0..G-1: bucket totals and a rank inside each bucket
+    ids = add_before(by_value(g.select(entity), entity, n=F.count("*")), entity, ["n"]).select(entity, F.col("n_before").cast("int").alias("_id"), F.col("n_total").cast("int").alias("_G"))
+    picks = (ids.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
              .select("draw", pick(seed, "cluster", F.col("_G"), F.col("draw"), F.col("_id")).alias("_id")))
     summed = picks.join(ids.drop("_G"), "_id").join(g, entity).groupBy("draw").agg(*[F.sum(n).alias(n) for n in cells.values()])
     full = F.array(*[F.col(cells[min(i, j), max(i, j)]) for i in range(p) for j in range(p)])
     betas = summed.withColumn("_s", solve_gram(full)).select("draw", F.slice("_s.beta", 1, len(xs)).alias("b"))
-    # moving blocks inside each entity
-    rows = d.select(entity, F.row_number().over(whole([entity]).orderBy(time)).alias("_i"), F.count("*").over(whole([entity])).alias("_n"), F.col(y).alias("_y"), *xs)
-    fan = rows.select(entity, (F.col("_i") - 1).alias("_i"), "_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    start = pick(seed, "block", F.greatest(F.col("_n") - block + 1, F.lit(1)), F.col(entity), F.col("draw"), F.floor(F.col("_i") / block))
-    fan = fan.select(entity, "draw", F.least(start + F.col("_i") % block, F.col("_n") - 1).cast("int").alias("_src"))
-    src = rows.select(entity, (F.col("_i") - 1).alias("_src"), "_y", *xs)
-    means = fan.join(src, [entity, "_src"]).groupBy(entity, "draw").agg(F.avg("_y").alias("_y"), *[F.avg(x).alias(x) for x in xs])
+    # moving blocks inside each entity: its rows are one array, a draw reads places of it
+    cols = [y, *xs]
+    rows = d.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]))).alias("_r"))
+    n = F.size("_r")
+    fan = rows.select(entity, "_r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))).alias("draw"))
+    start = lambda i: pick(seed, "block", F.greatest(n - block + 1, F.lit(1)), F.col(entity), F.col("draw"), F.floor(i / block))
+    taken = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("_r"), F.least(start(i) + i % block, n - 1).cast("int")))
+    fan = fan.withColumn("_s", taken)
+    total = lambda name: F.aggregate("_s", F.lit(0.0), lambda a, r: a + r[name])
+    means = fan.select(entity, "draw", *[(total(f"v{i}") / n).alias(c if i else "_y") for i, c in enumerate(cols)])
     j = means.join(betas, "draw")
     return j.select(entity, "draw", "b", (F.col("_y") - long_run(xs)).alias("alpha"))
 
 
+def gap_draws(months: DataFrame, draws: DataFrame, entity: str, xs: Sequence[str], level: str) -> DataFrame:
+    """``months`` (entity, level, xs, ...) with ``draws``: the gap under every bootstrap draw of the entity, in the draws' order.
+
+    An entity's draws are one array, as many as the setting says; months meet it by entity."""
+    packed = draws.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("draw", "b", "alpha"))).alias("_d"))
+    d = months.join(packed, entity)
+    fit = lambda z: reduce(lambda a, c: a + c, [z["b"][i] * F.col(x) for i, x in enumerate(xs)], z["alpha"])
+    return d.withColumn("draws", F.transform("_d", lambda z: fit(z) - F.col(level))).drop("_d")
+
+
 def refit_origins(df: DataFrame, keys: Keys, time: str, y: str, xs: Sequence[str], at_least: int, every: int) -> DataFrame:
     """Rows under each refit origin: an expanding sample, re-estimated every ``every`` complete rows."""
     d = df.withColumn("_ok", reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *xs)]))

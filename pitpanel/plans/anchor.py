@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pitpanel.functions.arrays import with_percentiles
 from pitpanel.functions.columns import r6
 from pitpanel.operators import anchor as an
 from pitpanel.operators import trend as tr
+from pitpanel.operators.gaps import combine_draws, draw_table
 from pitpanel.plans.calendar import E
-from pitpanel.plans.gaps import gapped, panel_once
+from pitpanel.plans.gaps import P, banded, gapped, panel_once
 from pitpanel.plans.registry import query
 from pitpanel.plans.sql import GRID, NM, REGS, ols_cte, rnd, trend_cte, with_
 from pitpanel.session import settled
@@ -139,13 +141,51 @@ def _(spark, sf):
     return out(an.parameter_band(g, XS, 13, 2000, [0.1, 0.9]), "gap_log", "gap_p10", "gap_p90")
 
 
+DRAWS = 300
+
+
+def bootstrap_draws(q):
+    return an.cluster_bootstrap(q, "entity", "quarter", "lp", XS, 1, DRAWS, 14, 3)
+
+
 @query("cluster_bootstrap", "F17")
 def _(spark, sf):
-    q = settled(quarter_panel(panel_once(spark, sf)))
-    d = an.cluster_bootstrap(q, "entity", "quarter", "lp", XS, 1, 300, 14, 3)
+    d = bootstrap_draws(settled(quarter_panel(panel_once(spark, sf))))
     return d.select("entity", "draw", r6(F.col("b")[0]).alias("slope_lv"), r6(F.col("b")[1]).alias("slope_disc"), r6("alpha").alias("alpha"))
 
 
+def month_gap_draws(panel):
+    """Every month's anchor gap under each bootstrap draw, from the latest published regressors and the latest level."""
+    q = settled(quarter_panel(panel))
+    m = an.asof(month_levels(panel).withColumn("_at", F.col("ref_month")), q.select("entity", "available", *XS), E, "_at", "available", XS).drop("_at", "fact_time")
+    return an.gap_draws(m, settled(bootstrap_draws(q)), "entity", XS, "level").where("draws[0] IS NOT NULL")
+
+
+@query("bootstrap_gap_band", "F17")
+def _(spark, sf):
+    d = with_percentiles(month_gap_draws(panel_once(spark, sf)), "draws", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return out(d, "level", "p10", "p50", "p90")
+
+
+@query("bootstrap_corridor", "F21")
+def _(spark, sf):
+    """Draws of the norm-based gap mixed with the anchor's bootstrap draws under drawn weights: equal, anchor only, by inverse spread."""
+    panel = panel_once(spark, sf)
+    two = month_gap_draws(panel)
+    one = banded(panel).where("gap IS NOT NULL").withColumn("draws_b", F.transform("gap_draws", lambda g: F.log(F.when(g > -100, 1 + g / 100))))
+    d = an.asof(two.withColumn("_at", F.col("ref_month")), one.select("entity", "available", "draws_b"), E, "_at", "available", ["draws_b"]).where("draws_b IS NOT NULL")
+    d = d.join(F.broadcast(draw_table(spark, 23, P["draws"], [], ["anchor", "scheme"])))          # one row
+    spread = lambda c: F.aggregate(F.filter(c, lambda v: v.isNotNull()), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+                                   lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")),
+                                   lambda a: a["q"] / a["n"] - (a["s"] / a["n"]) * (a["s"] / a["n"]))
+    d = d.withColumns({"_va": spread("draws"), "_vb": spread("draws_b")}).withColumns({
+        "draws_a": F.transform("anchor", lambda u: F.get(F.col("draws"), F.floor(u * DRAWS).cast("int"))),
+        "weights": F.array(F.lit(0.5), F.lit(1.0), F.coalesce(F.try_divide(F.col("_vb"), F.col("_va") + F.col("_vb")), F.lit(0.5))),
+        "picks": F.transform("scheme", lambda u: F.floor(u * 3).cast("int"))})
+    d = d.withColumn("joint", combine_draws(d, "draws_a", "draws_b", "weights", "picks"))
+    return out(with_percentiles(d, "joint", {"lo": 0.1, "mid": 0.5, "hi": 0.9}), "lo", "mid", "hi")
+
+
 @query("entity_anchor", "F18")
 def _(spark, sf):
     panel = panel_once(spark, sf)
