@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -20,7 +21,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def rows(df, cols):
-    return collections.Counter(tuple(None if v is None or v != v else v for v in r) for r in df[cols].astype(object).itertuples(index=False))
+    return collections.Counter(tuple(None if v is None or v is pd.NA or v != v else v for v in r) for r in df[cols].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
