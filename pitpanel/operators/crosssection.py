@@ -14,11 +14,17 @@ from pitpanel.operators.scan import add_before, by_value
 
 
 def average_rank(value: str, by: Keys) -> Column:
-    """Rank from 1 within a group, ties sharing the mean of their ranks (a column)."""
+    """Rank from 1 within a group, ties sharing the mean of their ranks (a column); for groups bounded by the calendar."""
     ties = F.count(value).over(Window.partitionBy(*by, value))
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2.0
 
 
+def average_ranks(df: DataFrame, value: str, by: Keys, out: str) -> DataFrame:
+    """Rank from 1 within a group, ties sharing the mean of their ranks: by, value, ``out`` and ``n_total``, one row per distinct value."""
+    r = add_before(by_value(df, value, by, n=F.count("*")), value, ["n"], by)
+    return r.select(*by, value, (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(out), "n_total")
+
+
 def latest_cross_section(gaps: DataFrame, entity: str, time: str, value: str, focus: int) -> DataFrame:
     """The last month with any value: every entity's rank (1 = largest), the focus entity's
     rank, the median and the count."""
@@ -27,8 +33,10 @@ def latest_cross_section(gaps: DataFrame, entity: str, time: str, value: str, fo
     d = known.join(F.broadcast(last), known[time] == F.col("_last")).drop("_last").withColumn("_neg", -F.col(value))
     ranks = add_before(by_value(d, "_neg", n=F.count("*")), "_neg", ["n"])
     ranked = d.join(ranks.select("_neg", (F.col("n_before") + 1).alias("rank"), F.col("n_total").alias("n")), "_neg")
-    focal = d.groupBy(time).agg(F.percentile(value, F.lit(0.5)).alias("median"),
-                                F.max(F.when(F.col(entity) == focus, F.col("_neg"))).alias("_focus"))
+    holds = lambda place: (F.col("n_before") < place) & (F.col("n_before") + F.col("n") >= place)
+    at = lambda place: F.max(F.when(holds(place), -F.col("_neg")))
+    middle = ranks.agg(((at(F.floor((F.col("n_total") + 1) / 2)) + at(F.floor((F.col("n_total") + 2) / 2))) / 2).alias("median"))
+    focal = d.agg(F.max(F.when(F.col(entity) == focus, F.col("_neg"))).alias("_focus")).crossJoin(middle)       # one row each
     focal = focal.join(ranks.select(F.col("_neg").alias("_focus"), (F.col("n_before") + 1).alias("focus_rank")), "_focus", "left")
     return ranked.join(F.broadcast(focal.select("median", "focus_rank"))).select(
         entity, time, value, "rank", "focus_rank", "median", "n")
@@ -55,10 +63,16 @@ def rank_agreement(df: DataFrame, entity: str, time: str, ours: str, theirs: str
     """Rank correlation within each period (mean, min), pooled and within-entity correlation,
     share of equal signs: one row."""
     d = df.where(F.col(ours).isNotNull() & F.col(theirs).isNotNull())
-    d = d.select("*", average_rank(ours, [time]).alias("_r1"), average_rank(theirs, [time]).alias("_r2"),
-                 (F.col(ours) - F.avg(ours).over(whole([entity]))).alias("_d1"),
+    d = d.select(time, ours, theirs, (F.col(ours) - F.avg(ours).over(whole([entity]))).alias("_d1"),
                  (F.col(theirs) - F.avg(theirs).over(whole([entity]))).alias("_d2"))
-    by_time = d.groupBy(time).agg(F.corr("_r1", "_r2").alias("_rank_corr")).agg(
+    # equal pairs of a period are one row with their count; ranks come from buckets, not from a window over the period
+    pairs = d.groupBy(time, ours, theirs).agg(F.count("*").alias("_w"))
+    for c, r in ((ours, "_r1"), (theirs, "_r2")):
+        ranks = average_ranks(d, c, [time], r).select(F.col(time).alias("_t"), F.col(c).alias("_v"), (F.col(r) - (F.col("n_total") + 1) / 2.0).alias(r))
+        pairs = pairs.join(ranks, F.col(time).eqNullSafe(F.col("_t")) & (F.col(c) == F.col("_v"))).drop("_t", "_v")
+    s = lambda a, b: F.sum(F.col("_w") * F.col(a) * F.col(b))
+    spread = s("_r1", "_r1") * s("_r2", "_r2")
+    by_time = pairs.groupBy(time).agg(F.when(spread > 0, s("_r1", "_r2") / F.sqrt(spread)).alias("_rank_corr")).agg(
         F.avg("_rank_corr").alias("mean_rank_corr"), F.min("_rank_corr").alias("min_rank_corr"))
     pooled = d.agg(F.count("*").alias("n"), F.corr(ours, theirs).alias("pooled_corr"), F.corr("_d1", "_d2").alias("within_corr"),
                    F.avg((F.signum(ours) == F.signum(theirs)).cast("double")).alias("same_sign"))

@@ -147,21 +147,48 @@ def diff_snapshots(before: DataFrame, after: DataFrame, series: Keys, key: str,
     return g.withColumn("status", status)
 
 
-def gates(diffs: DataFrame, after: DataFrame, series: Keys, key: str, value: str, jump_limit: float) -> DataFrame:
+def gate_rows(df: DataFrame, series: Keys, severity: str, gate: Column, at: Column, size: Column) -> DataFrame:
+    return df.select(*series, F.lit(severity).alias("severity"), gate.alias("gate"), at.cast("date").alias("at"), size.cast("double").alias("size"))
+
+
+def gates(diffs: DataFrame, after: DataFrame, series: Keys, key: str, value: str, jump_limit: float, limits: DataFrame | None = None) -> DataFrame:
     """Failure rows: lost history (hard), an implausible jump in newly added months (hard), and
-    revisions (soft)."""
-    empty = F.lit(None).cast("date")
-    lost = diffs.where("lost > 0").select(*series, F.lit("hard").alias("severity"), F.lit("lost history").alias("gate"),
-                                          empty.alias("at"), F.col("lost").cast("double").alias("size"))
-    soft = diffs.where("revised > 0").select(*series, F.lit("soft").alias("severity"), F.lit("revised").alias("gate"),
-                                             F.col("max_revision_at").alias("at"), F.col("max_revision_pct").alias("size"))
+    revisions (soft). ``limits`` (series, limit) overrides ``jump_limit`` where it names a series."""
+    lost = gate_rows(diffs.where("lost > 0"), series, "hard", F.lit("lost history"), F.lit(None), F.col("lost"))
+    soft = gate_rows(diffs.where("revised > 0"), series, "soft", F.lit("revised"), F.col("max_revision_at"), F.col("max_revision_pct"))
     step = F.log(F.col(value) / F.lag(value).over(ordered(series, key)))
     moves = after.where(F.col(value).isNotNull()).withColumn("_step", step)
-    jumps = (moves.join(diffs.where("new > 0").select(*series, "new_first"), list(series))
-             .where((F.col(key) >= F.col("new_first")) & (F.abs("_step") > jump_limit))
-             .select(*series, F.lit("hard").alias("severity"), F.lit("jump").alias("gate"), F.col(key).alias("at"),
-                     F.col("_step").alias("size")))
-    return lost.unionByName(soft).unionByName(jumps)
+    started = diffs.where("new > 0").select(*series, "new_first")
+    if limits is None:
+        started = started.withColumn("_limit", F.lit(jump_limit))
+    else:
+        own = limits.select(*series, F.col("limit").alias("_own"))
+        started = started.join(own, list(series), "left").withColumn("_limit", F.coalesce("_own", F.lit(jump_limit))).drop("_own")
+    jumps = moves.join(started, list(series)).where((F.col(key) >= F.col("new_first")) & (F.abs("_step") > F.col("_limit")))
+    return lost.unionByName(soft).unionByName(gate_rows(jumps, series, "hard", F.lit("jump"), F.col(key), F.col("_step")))
+
+
+def schema_gate(problems: DataFrame, series: Keys) -> DataFrame:
+    """Problems of ``validate`` (one row per series, problem and field) as hard failures."""
+    return gate_rows(problems, series, "hard", F.concat(F.lit("schema: "), "problem", F.lit(" "), "field"), F.lit(None), F.col("n"))
+
+
+def month_due(today: Column, release_day: int) -> Column:
+    """The latest month that should be out: month m appears around ``release_day`` of m + 1 (a column)."""
+    back = F.when(F.dayofmonth(today) >= release_day, 1).otherwise(2)
+    return F.add_months(F.trunc(today, "MM"), -back)
+
+
+def due_gate(after: DataFrame, series: Keys, key: str, value: str, today: Column, release_day: int) -> DataFrame:
+    """Series whose last value is older than the month due (soft): where they end and by how many months they are late."""
+    end = after.where(F.col(value).isNotNull()).groupBy(*series).agg(F.max(key).alias("_last"))
+    late = months_from(month_due(today, release_day), "_last")
+    return gate_rows(end.where(late > 0), series, "soft", F.lit("late"), F.col("_last"), late)
+
+
+def reconcile_gate(reconciled: DataFrame, series: Keys) -> DataFrame:
+    """Series whose two sources (``reconcile``) differ outside the revision window (soft)."""
+    return gate_rows(reconciled.where("n_unexpected > 0"), series, "soft", F.lit("sources disagree"), F.lit(None), F.col("n_unexpected"))
 
 
 def headline_change(old: DataFrame, new: DataFrame, keys: Keys, month: str, total: str, parts: dict[str, float]) -> DataFrame:

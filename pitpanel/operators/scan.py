@@ -1,38 +1,46 @@
-"""Order statistics over a whole table without a single-partition window.
+"""Order statistics over a whole table, or inside large groups, without a window over all of it.
 
 A table is first reduced to one row per distinct value (a value shared by a third of the rows
 is one row by then), cut into value buckets at approximate quantiles, scanned inside each
 bucket, and corrected by the totals of the buckets before it. Only the bucket totals (at most
-``BUCKETS`` rows) meet in one place.
+``BUCKETS`` rows a group) meet in one place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
 
 
-def by_value(df: DataFrame, value: str, **measures: Column) -> DataFrame:
-    """One row per distinct value with its measures, and the value bucket it falls in."""
-    d = df.where(F.col(value).isNotNull()).groupBy(value).agg(*[c.alias(n) for n, c in measures.items()])
+def _with(d: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join with one row (or bucket row) per group; a NULL in the group is a group like others."""
+    o = other.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    return d.join(o, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]).drop(*[f"_g_{c}" for c in by])
+
+
+def by_value(df: DataFrame, value: str, by: Sequence[str] = (), **measures: Column) -> DataFrame:
+    """One row per distinct value (in each group of ``by``) with its measures, and the value bucket it falls in."""
+    d = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(n) for n, c in measures.items()])
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    splits = d.agg(F.percentile_approx(value, cuts, 10000).alias("_splits"))   # one row of fixed size
-    d = d.join(F.broadcast(splits))
+    splits = d.groupBy(*by).agg(F.percentile_approx(value, cuts, 10000).alias("_splits"))   # one row of fixed size a group
+    d = _with(d, splits, by) if by else d.join(F.broadcast(splits))
     return d.withColumn("_bucket", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
 
 
-def add_before(d: DataFrame, value: str, measures: list[str]) -> DataFrame:
-    """For each measure its sum over smaller values (``m_before``) and over all (``m_total``)."""
-    inside = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # at most BUCKETS rows
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = d.groupBy("_bucket").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
-    totals = totals.select("_bucket", *[F.coalesce(F.sum(f"_{m}").over(earlier), F.lit(0)).alias(f"_{m}_off") for m in measures],
+def add_before(d: DataFrame, value: str, measures: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """For each measure its sum over smaller values (``m_before``) and over all (``m_total``) of the group."""
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # at most BUCKETS rows a group
+    every = Window.partitionBy(*by).orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = d.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
+    totals = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{m}").over(earlier), F.lit(0)).alias(f"_{m}_off") for m in measures],
                            *[F.sum(f"_{m}").over(every).alias(f"{m}_total") for m in measures])
     d = d.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_in") for m in measures])
-    d = d.join(F.broadcast(totals), "_bucket")
+    d = _with(d, totals, [*by, "_bucket"]) if by else d.join(F.broadcast(totals), "_bucket")
     for m in measures:
         d = d.withColumn(f"{m}_before", F.col(f"_{m}_in") + F.col(f"_{m}_off")).drop(f"_{m}_in", f"_{m}_off")
     return d

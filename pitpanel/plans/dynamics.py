@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from pitpanel.functions.columns import ordered, past, r6, whole
 from pitpanel.functions.tails import p_normal_upper
+from pitpanel.operators import anchor as an
 from pitpanel.operators import cointegration as co
 from pitpanel.operators import forecast as fc
 from pitpanel.operators import nonlinear as nl
 from pitpanel.operators import regimes as rm
 from pitpanel.operators.features import balanced_panel, two_factor_state
 from pitpanel.operators.regression import mean_test
-from pitpanel.plans.anchor import quarter_panel
+from pitpanel.plans.anchor import ONE_SET, POOLED, QUARTERS, XS, quarter_panel
 from pitpanel.plans.calendar import E, grid
 from pitpanel.plans.forecast import HORIZONS, MIN_TRAIN, comp_table, enough, p_values
 from pitpanel.plans.gaps import panel_once
@@ -81,7 +82,7 @@ def quarters_once(spark, sf):
 
 @query("residual_cointegration", "I2")
 def _(spark, sf):
-    d = co.residual_cointegration(quarters_once(spark, sf), E, "quarter", "lp", ["lv", "disc"], 3)
+    d = co.residual_cointegration(quarters_once(spark, sf), E, "quarter", "lp", ["lv", "disc"])
     return out(d, "stat", "p", "crit_1", "crit_5", "crit_10", keep=("entity", "n", "lag", "cointegrated"))
 
 
@@ -102,11 +103,25 @@ def _(spark, sf):
     return out(co.adjustment_speeds(m, settled(s), E, "ref_month", ["lp", "lv"]), "speed", "t", keep=("entity", "equation", "n"))
 
 
+def pooled_roots(spark, sf):
+    """Unit-root tests of each entity's residuals of the pooled dynamic fit."""
+    q = quarters_once(spark, sf)
+    fit, effects = an.pooled_fit(q, [], "entity", "quarter", "lp", XS, 1)
+    res = an.residuals(q, settled(fit), effects, [], "entity", "quarter", "lp", XS, 1)
+    return co.pooled_residual_roots(settled(res), "entity", "quarter", len(XS) + 1)
+
+
+@query("pooled_residual_roots", "I4", with_(*QUARTERS, ONE_SET, *POOLED, """pr AS (SELECT sn.entity, quarter, lp - b0 * lv - b1 * disc - alpha AS e, n_obs FROM sn JOIN fe ON fe.entity = sn.entity WHERE n_obs >= 10),
+ p1 AS (SELECT *, e - lag(e) OVER o AS c, lag(e) OVER o AS l FROM pr WINDOW o AS (PARTITION BY entity ORDER BY quarter)),
+ p2 AS (SELECT * FROM (SELECT *, lag(c) OVER (PARTITION BY entity ORDER BY quarter) AS k FROM p1) WHERE k IS NOT NULL)""", ols_cte("ur", "p2", "entity", "c", ["k", "l"], "n_obs")) + f"""
+SELECT entity, any_value(n_obs) AS n_obs, {rnd('any_value(zy / sqrt(zz * ssr / (n - 2)))', 'stat')} FROM ur WHERE n > 2 GROUP BY 1""")
+def _(spark, sf):
+    return out(pooled_roots(spark, sf), "stat", keep=("entity", "n_obs"))
+
+
 @query("fisher_combination", "I4")
 def _(spark, sf):
-    q = quarters_once(spark, sf)
-    d = co.residual_cointegration(q, E, "quarter", "lp", ["lv"], 1)
-    return out(co.fisher(d, [], "p"), "stat", "share_rejecting", "p", keep=("n",))
+    return out(co.fisher(pooled_roots(spark, sf), [], "p"), "stat", "share_rejecting", "p", keep=("n",))
 
 
 @query("fisher_statistic", "I4", f"""

@@ -14,6 +14,7 @@ from pitpanel.plans.inputs import long_panel, monthly_panel, regressor_panel, re
 from pitpanel.plans.pointintime import ANNUAL, NOWCAST, PIT, annual_total, pit_table
 from pitpanel.plans.registry import query
 from pitpanel.plans.sql import GRID, LONG, NM, REGS, REL, TWO, rnd, with_
+from pitpanel.session import settled
 
 OW = "WINDOW o AS (PARTITION BY entity ORDER BY ref_month)"
 
@@ -175,7 +176,7 @@ def gap_table(spark, sf):
  r AS (SELECT *, rank() OVER (ORDER BY gap DESC) AS rank FROM l)
 SELECT entity, ref_month, {rnd('gap', 'gap')}, rank, (SELECT rank FROM r WHERE entity = 7) AS focus_rank, {rnd('(SELECT quantile_cont(gap, 0.5) FROM l)', 'median')}, (SELECT count(*) FROM l) AS n FROM r""")
 def _(spark, sf):
-    d = xs.latest_cross_section(gap_table(spark, sf), "entity", "ref_month", "gap", 7)
+    d = xs.latest_cross_section(settled(gap_table(spark, sf)), "entity", "ref_month", "gap", 7)
     return d.withColumn("gap", r6("gap")).withColumn("median", r6("median"))
 
 
@@ -214,7 +215,7 @@ SELECT count(*) AS n, {rnd('corr(g, b)', 'pooled_corr')}, {rnd('corr(d1, d2)', '
 def _(spark, sf):
     y = gap_table(spark, sf).where("gap is not null and bench is not null").groupBy("entity", F.year("ref_month").alias("year")).agg(
         F.avg("gap").alias("gap"), F.avg("bench").alias("bench"))
-    d = xs.rank_agreement(y, "entity", "year", "gap", "bench")
+    d = xs.rank_agreement(settled(y), "entity", "year", "gap", "bench")
     return out(d, "pooled_corr", "within_corr", "same_sign", "mean_rank_corr", "min_rank_corr", keep=("n",))
 
 

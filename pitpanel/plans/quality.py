@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.functions.columns import r6
@@ -175,6 +178,36 @@ def _(spark, sf):
     return qc.gates(d, after, E, "ref_month", "value", 0.8).withColumn("size", r6("size"))
 
 
+# Fixed settings: jump limits of single series, the day of the refresh, the day of the month at which the month before comes out.
+LIMITS, TODAY, RELEASE_DAY = [(1, 0.3), (4, 1.5), (7, 0.2)], "2000-09-12", 13
+TEXT_RULE = qc.TableRule(("ref_month", "value"), ("ref_month",), ("ref_month",), ("value",))
+
+
+@query("refresh_gates", "D10", with_(REL, SNAP, DIFF, NM, TWO) + f"""
+, mv AS (SELECT af.*, ln(value / lag(value) OVER (PARTITION BY entity ORDER BY ref_month)) AS st FROM af),
+ lim(entity, l) AS (VALUES {', '.join(f'({e}, {x})' for e, x in LIMITS)}),
+ e AS (SELECT entity, max(CASE WHEN a IS NOT NULL THEN ref_month END) ea, max(CASE WHEN b IS NOT NULL THEN ref_month END) eb FROM two GROUP BY 1),
+ r AS (SELECT two.entity, abs(CASE WHEN eb > ea THEN (b - a) / a ELSE (a - b) / b END) AS rel, row_number() OVER (PARTITION BY two.entity ORDER BY ref_month DESC) AS back
+   FROM two JOIN e USING (entity) WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT entity, 'hard' AS severity, 'lost history' AS gate, CAST(NULL AS DATE) AS at, {rnd('CAST(lost AS DOUBLE)', 'size')} FROM df WHERE lost > 0
+UNION ALL SELECT entity, 'soft', 'revised', max_revision_at, {rnd('max_revision_pct', 'size')} FROM df WHERE revised > 0
+UNION ALL SELECT mv.entity, 'hard', 'jump', mv.ref_month, {rnd('st', 'size')} FROM mv JOIN df ON df.entity = mv.entity LEFT JOIN lim ON lim.entity = mv.entity
+  WHERE new > 0 AND ref_month >= new_first AND abs(st) > coalesce(l, 0.8)
+UNION ALL SELECT entity, 'hard', 'schema: not numeric value', NULL, {rnd('CAST(count(*) AS DOUBLE)', 'size')} FROM af WHERE entity % 6 = 0 AND year(ref_month) = 1997 GROUP BY 1
+UNION ALL SELECT entity, 'soft', 'late', max(ref_month), {rnd("CAST(date_diff('month', max(ref_month), DATE '2000-07-01') AS DOUBLE)", 'size')} FROM af GROUP BY 1 HAVING max(ref_month) < DATE '2000-07-01'
+UNION ALL SELECT entity, 'soft', 'sources disagree', NULL, {rnd('CAST(count(*) AS DOUBLE)', 'size')} FROM r WHERE rel > 0.5 AND back > 24 GROUP BY 1""")
+def _(spark, sf):
+    before, after = snapshots(spark, sf)
+    after = settled(after)
+    diffs = settled(qc.diff_snapshots(before, after, E, "ref_month", "value"))
+    broken = (F.col("entity") % 6 == 0) & (F.year("ref_month") == 1997)
+    cells = after.select("entity", F.date_format("ref_month", "yyyy-MM-dd").alias("ref_month"), F.when(broken, "n.a.").otherwise(F.col("value").cast("string")).alias("value"))
+    found = [qc.gates(diffs, after, E, "ref_month", "value", 0.8, spark.createDataFrame(LIMITS, "entity int, limit double")),
+             qc.schema_gate(qc.validate(cells, TEXT_RULE, "entity"), E), qc.due_gate(after, E, "ref_month", "value", F.to_date(F.lit(TODAY)), RELEASE_DAY),
+             qc.reconcile_gate(qc.reconcile(two_sources(spark, sf), E, "ref_month", "a", "b", 0.5, 24), E)]
+    return reduce(DataFrame.unionByName, found).withColumn("size", r6("size"))
+
+
 @query("headline_change", "D11", with_(REL, SNAP) + f"""
 , f(run, entity, ref_month, value) AS (SELECT 'o', * FROM bf UNION ALL SELECT 'n', * FROM af),
  g AS (SELECT x.run, x.entity, x.ref_month, f.value FROM (SELECT run, entity, CAST(unnest(generate_series(min(ref_month), max(ref_month), INTERVAL 1 MONTH)) AS DATE) AS ref_month FROM f GROUP BY 1, 2) x

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import BinaryIO
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,17 +76,31 @@ def dimension_series(rows: DataFrame, filters: dict[str, str], period: str, valu
     return stamped.where("value is not null").groupBy("ref_month").agg(agreed("value", F.col("ref_month").cast("string")).alias("value"))
 
 
+SHAPES = 64      # sets of dimension names that a catalogue may use; a row is looked up once for each
+
+
 def catalogue_series(rows: DataFrame, catalogue: DataFrame, dims: Sequence[str], period: str, value: str) -> DataFrame:
     """Every catalogued series in one pass: (series_id, ref_month, value).
 
-    ``catalogue`` (series_id, dims map, scale, unit) is a settings table; a row belongs to a
-    series when it carries all of that series' dimension values."""
-    tagged = rows.withColumn("_dims", F.create_map(*[x for d in dims for x in (F.lit(d), F.col(d))]))
-    match = F.forall(F.map_entries("dims"), lambda e: F.col("_dims")[e["key"]] == e["value"])
-    j = tagged.join(F.broadcast(catalogue), match)
-    day = F.to_date(period)
+    ``catalogue`` is (series_id, dims map, scale, unit); a row belongs to a series when it carries all of that
+    series' dimension values. Series that name the same dimensions share a shape: a row is looked up once a
+    shape, by the values it has there (an equi-join). A NULL value, and a dimension the rows lack, match nothing."""
+    named = catalogue.withColumn("_shape", F.array_sort(F.map_keys("dims")))
+    shapes = [r._shape for r in named.select("_shape").distinct().limit(SHAPES + 1).collect()]
+    if len(shapes) > SHAPES:
+        raise ValueError(f"the catalogue uses more than {SHAPES} sets of dimension names")
+    none = F.array().cast("array<string>")
+    asked = named.select("series_id", "scale", "unit", F.array_join("_shape", ",").alias("_shape"),
+                         F.transform("_shape", lambda k: F.col("dims")[k]).alias("_values"))
+    offers = [F.struct(F.lit(",".join(s)).alias("_shape"), (F.array(*[F.col(c).cast("string") for c in s]) if s else none).alias("_values"))
+              for s in shapes if set(s) <= set(dims)]
+    if not offers:
+        offers = [F.struct(F.lit(None).cast("string").alias("_shape"), none.alias("_values"))]
+    tagged = rows.select(F.col(period).alias("_period"), F.col(value).alias("_value"), F.explode(F.array(*offers)).alias("_o")).select("_period", "_value", "_o.*")
+    j = tagged.where(~F.exists("_values", lambda v: v.isNull())).join(asked, ["_shape", "_values"])
+    day = F.to_date("_period")
     stamp = F.when(F.col("unit") == "Q", F.trunc(day, "QUARTER")).otherwise(F.trunc(day, "MM"))
-    d = j.select("series_id", stamp.alias("ref_month"), (F.col(value).try_cast("double") * F.col("scale")).alias("value"))
+    d = j.select("series_id", stamp.alias("ref_month"), (F.col("_value").try_cast("double") * F.col("scale")).alias("value"))
     name = F.concat_ws(" ", "series_id", F.col("ref_month").cast("string"))
     return d.where("value is not null").groupBy("series_id", "ref_month").agg(agreed("value", name).alias("value"))
 
@@ -95,19 +113,51 @@ def crosswalk(df: DataFrame, codes: DataFrame, name: str, scale: float) -> tuple
     return j, codes.join(j.select("code").distinct(), "code", "left_anti")
 
 
-def file_inventory(spark: SparkSession, path: str, text_suffixes: Sequence[str] = (".csv", ".txt", ".json", ".md"), exclude: str | None = None) -> DataFrame:
+CHUNK = 8 << 20
+
+
+def open_file(path: str) -> BinaryIO:
+    """A file as a stream, from any file system that Arrow knows by its address."""
+    system, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+    return system.open_input_stream(name)
+
+
+def stream_digest(stream: BinaryIO, text: bool, chunk: int = CHUNK) -> str:
+    """SHA-256 of a stream, a chunk in memory at a time; of text with CRLF read as LF, also across two chunks."""
+    digest, held = hashlib.sha256(), b""
+    while part := stream.read(chunk):
+        if text:
+            part = held + part
+            held = part[-1:] if part.endswith(b"\r") else b""
+            part = part[:len(part) - len(held)].replace(b"\r\n", b"\n")
+        digest.update(part)
+    digest.update(held)
+    return digest.hexdigest()
+
+
+def file_inventory(spark: SparkSession, path: str, text_suffixes: Sequence[str] = (".csv", ".txt", ".json", ".md"), exclude: str | None = None,
+                   opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
     """SHA-256 of every file by its path below the root (the folders before any wildcard); text files are hashed with LF line ends, so a checkout's line-end
-    setting does not matter. ``exclude`` is a regular expression on the path."""
+    setting does not matter. ``exclude`` is a regular expression on the path.
+
+    The scan lists paths and lengths only and deals them to tasks by size; a task streams each file through
+    ``opener``, so a file of any size takes one chunk of memory."""
     root = re.sub(r"^\w+:/*", "/", re.split(r"[*?\[{]", path)[0].rsplit("/", 1)[0] if re.search(r"[*?\[{]", path) else path.rstrip("/"))
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     if exclude:
         d = d.where(~F.col("path").rlike(exclude))
-    is_text = F.lit(False)
-    for s in text_suffixes:
-        is_text = is_text | F.lower("path").endswith(s)
-    unix = F.regexp_replace(F.col("content").cast("string"), "\r\n", "\n").cast("binary")
-    body = F.when(is_text, unix).otherwise(F.col("content"))
-    return d.select(F.regexp_replace("path", "^.*?" + re.escape(f"{root}/"), "").alias("file"), "length", F.sha2(body, 256).alias("sha256"))
+    suffixes = tuple(text_suffixes)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                with opener(name) as stream:
+                    found.append(stream_digest(stream, name.lower().endswith(suffixes)))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(found, pa.string())], ["path", "length", "sha256"])
+
+    hashed = d.mapInArrow(digests, "path string, length long, sha256 string")
+    return hashed.select(F.regexp_replace("path", "^.*?" + re.escape(f"{root}/"), "").alias("file"), "length", "sha256")
 
 
 def verify_inventory(before: DataFrame, after: DataFrame, key: Keys, digest: str) -> DataFrame:

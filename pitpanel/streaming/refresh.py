@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,3 +73,97 @@ def refresh_stream(spark: SparkSession, source: str, schema: StructType, prepare
         judged = judge(staged.where(F.col("bucket").isin(touched)).drop("batch_id"), gate, group)
         judged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
         through.write.mode("append").parquet(marks)
+
+
+@dataclass(frozen=True)
+class Measure:
+    """An aggregate of a group that can be put together from parts: ``of`` over rows, ``merge`` (sum, min or max) over parts."""
+
+    of: Column
+    merge: str
+
+
+MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def last_mark(spark: SparkSession, marks: str) -> tuple[int, int, int]:
+    """(run, slot, through) of the last run that finished; (-1, 1, -1) before the first."""
+    try:
+        return tuple(spark.read.parquet(marks).orderBy(F.col("run").desc()).select("run", "slot", "through").first())
+    except AnalysisException:
+        return -1, 1, -1
+
+
+def mark(spark: SparkSession, marks: str, run: int, slot: int, through: int) -> None:
+    spark.createDataFrame([(run, slot, through)], "run long, slot int, through long").coalesce(1).write.mode("append").parquet(marks)
+
+
+def refresh_groups(spark: SparkSession, source: str, schema: StructType, prepare: Callable[[DataFrame], DataFrame], measures: dict[str, Measure],
+                   checks: dict[str, Column], group: Keys, root: str, files_per_batch: int = 100) -> None:
+    """Stage what has landed since the last run and judge the groups from their measures; then stop.
+
+    A batch writes its rows once, and its ``measures`` per group. A run merges the measures of new batches into the
+    state (one row per group) and judges anew: it reads new rows and the state, never the rows of earlier batches.
+    ``checks`` are conditions on the measures; ``failed`` names the first that does not hold. There are two
+    slots for the state; a run writes the one that is not current and marks it only when done, so a run that
+    fails leaves the last state and verdicts as they were, and the next run takes up its batches. Batches
+    replayed after a failure overwrite their own folders."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        rows = f"{root}/rows/batch_id={batch_id}"
+        prepare(batch).write.mode("overwrite").parquet(rows)
+        parts = spark.read.parquet(rows).groupBy(*group).agg(*[m.of.alias(n) for n, m in measures.items()])
+        parts.write.mode("overwrite").parquet(f"{root}/parts/batch_id={batch_id}")
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    run, slot, done = last_mark(spark, f"{root}/marks")
+    try:
+        parts = spark.read.parquet(f"{root}/parts").where(F.col("batch_id") > done)
+    except AnalysisException:              # nothing has landed so far
+        return
+    through = parts.agg(F.max("batch_id")).first()[0]
+    if through is None:
+        return
+    columns = [*group, *measures]
+    known = parts.select(*columns)
+    if run >= 0:
+        known = known.unionByName(spark.read.parquet(f"{root}/state/slot={slot}").select(*columns))
+    merged = known.groupBy(*group).agg(*[MERGE[m.merge](n).alias(n) for n, m in measures.items()])
+    failed = F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()])
+    merged.withColumn("failed", failed).write.mode("overwrite").parquet(f"{root}/state/slot={1 - slot}")
+    mark(spark, f"{root}/marks", run + 1, 1 - slot, through)
+
+
+def judged_rows(spark: SparkSession, root: str, group: Keys) -> DataFrame:
+    """The rows of ``refresh_groups`` that the last finished run knew, each with its group's first failed check."""
+    _run, slot, through = last_mark(spark, f"{root}/marks")
+    rows = spark.read.parquet(f"{root}/rows").where(F.col("batch_id") <= through).drop("batch_id")
+    return judge(rows, lambda _: judged_groups(spark, root).select(*group, "failed"), group)
+
+
+def judged_groups(spark: SparkSession, root: str) -> DataFrame:
+    """One row per group: its measures over all rows so far and its first failed check."""
+    return spark.read.parquet(f"{root}/state/slot={last_mark(spark, f'{root}/marks')[1]}")
+
+
+def current_table(spark: SparkSession, root: str) -> DataFrame | None:
+    """What the last promoted refresh wrote; None before the first."""
+    run, slot, _through = last_mark(spark, f"{root}/marks")
+    return spark.read.parquet(f"{root}/slot={slot}") if run >= 0 else None
+
+
+def refresh_table(spark: SparkSession, root: str, fetch: Callable[[], DataFrame], gate: Callable[[DataFrame, DataFrame], DataFrame]) -> list:
+    """A refresh of a whole table as a transaction: write the candidate beside the current table, gate it, promote it or keep the old one.
+
+    ``gate`` (current, candidate) returns failure rows with ``severity``; the first table is not gated. Hard
+    failures, and an error while fetching or writing, leave the current table as it was: it changes by
+    one mark, written last. Returns the counts per (severity, gate); a table being read must not be
+    refreshed twice meanwhile, as there are two slots."""
+    run, slot, _through = last_mark(spark, f"{root}/marks")
+    fetch().write.mode("overwrite").parquet(f"{root}/slot={1 - slot}")
+    candidate, before = spark.read.parquet(f"{root}/slot={1 - slot}"), current_table(spark, root)
+    found = [] if before is None else gate(before, candidate).groupBy("severity", "gate").agg(F.count("*").alias("n")).collect()     # a row per kind of failure
+    if not any(r.severity == "hard" for r in found):
+        mark(spark, f"{root}/marks", run + 1, 1 - slot, -1)
+    return found
