@@ -9,6 +9,8 @@ schema does not have are errors. Variants keep keys sorted, so their JSON is can
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +22,27 @@ TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DO
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``calls`` (call_id, parent_id, ...) with ``level``: 0 without a known parent, else the parent's and one; NULL in a cycle."""
+    """``calls`` (call_id, parent_id, ...) with ``level``: 0 without a known parent, else the parent's and one; NULL in a cycle.
+
+    Rows that share a call_id share a level; of several parents the smallest gives it. A round joins only
+    calls that have an ancestor left; calls without one are neither joined nor written again."""
     checkpoint_dir(calls.sparkSession)
-    ids = calls.select("call_id", "parent_id").where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("parent_id").alias("parent_id"))
+    ids = calls.select("call_id", "parent_id").where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("parent_id").alias("parent_id")).checkpoint()
     known = ids.select(F.col("call_id").alias("parent_id"), F.lit(True).alias("known"))
-    state = ids.join(known, "parent_id", "left").select("call_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level")).checkpoint()
-    for _ in range(state.count().bit_length() + 1):          # what is not settled then is in a cycle
-        if state.where("up IS NOT NULL").isEmpty():
+    found = ids.where("parent_id IS NOT NULL").join(known, "parent_id", "left")              # NULL parents would all meet in one task
+    state = found.select("call_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level")).checkpoint()
+    roots = ids.where("parent_id IS NULL").select("call_id", F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("level"))
+    settled, live = [roots, state.where("up IS NULL")], state.where("up IS NOT NULL")
+    for _ in range(live.count().bit_length() + 1):           # what is not settled then is in a cycle
+        if live.isEmpty():
             break
-        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("more"))
-        state = state.join(above, "up", "left").select("call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")).checkpoint()
-    state = state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).cast("int").alias("level"))
-    return calls.join(state, "call_id", "left").withColumn("level", F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level")))
+        above = reduce(DataFrame.unionByName, [*settled, live]).select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("more"))
+        moved = live.join(above, "up", "left").select("call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")).checkpoint()
+        settled.append(moved.where("up IS NULL"))
+        live = moved.where("up IS NOT NULL")
+    state = reduce(DataFrame.unionByName, [*settled, live]).select("call_id", F.when(F.col("up").isNull(), F.col("level")).cast("int").alias("level"))
+    placed = calls.where("call_id IS NOT NULL").join(state, "call_id", "left")
+    return placed.unionByName(calls.where("call_id IS NULL").withColumn("level", F.lit(0)))
 
 
 def errors(name: Column, arguments: Column, schemas=SCHEMAS) -> Column:
@@ -52,57 +63,77 @@ def errors(name: Column, arguments: Column, schemas=SCHEMAS) -> Column:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
-    """One row per call, and per result without a call.
+    """One row per call, per further result of a call, and per result without a call.
 
     ``calls``: call_id, parent_id, name, arguments (JSON text), copies; ``results``: call_id, content, copies. A
-    call has one result: of several the smallest content. kind is call or result, linked whether both are
-    there; json is canonical: sorted keys, no spaces, NULL written out."""
-    answers = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
-    done = levels(calls).join(answers, "call_id", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    call carries its result, of several the smallest content; every other content is a row of kind ``further
+    result``. linked says whether both are there; json is canonical: sorted keys, no spaces, NULL written out."""
+    named = results.where("call_id IS NOT NULL")
+    answers = named.groupBy("call_id").agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
+    placed = levels(calls)
+    known = placed.where("call_id IS NOT NULL").join(answers, "call_id", "left")
+    done = known.unionByName(placed.where("call_id IS NULL"), allowMissingColumns=True).withColumn("linked", F.coalesce("linked", F.lit(False)))
     wrong = errors(F.col("name"), F.col("arguments"), schemas)
     call = F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("level"), F.col("name"), F.col("content").alias("result"))
     done = done.select("call_id", F.lit("call").alias("kind"), "parent_id", "level", "linked", wrong.alias("errors"), "copies",
                        F.to_json(call, {"ignoreNullFields": "false"}).alias("json"))
-    lost = results.join(calls.select("call_id").where("call_id IS NOT NULL").distinct(), "call_id", "left_anti")
-    lost = lost.select("call_id", F.lit("result").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("int").alias("level"),
-                       F.lit(False).alias("linked"), F.lit("no call").alias("errors"), "copies",
+    asked = calls.select("call_id").where("call_id IS NOT NULL").distinct()
+    first = answers.select("call_id", F.col("content").alias("_first")).join(asked.withColumn("_asked", F.lit(True)), "call_id", "left")
+    rest = named.join(first, "call_id").where("_asked IS NULL OR NOT (content <=> _first)").withColumn("linked", F.col("_asked").isNotNull())
+    rest = rest.select("call_id", "content", "copies", "linked").unionByName(results.where("call_id IS NULL").select("call_id", "content", "copies", F.lit(False).alias("linked")))
+    rest = rest.select("call_id", F.when(F.col("linked"), "further result").otherwise("result").alias("kind"), F.lit(None).cast("string").alias("parent_id"),
+                       F.lit(None).cast("int").alias("level"), "linked", F.when(F.col("linked"), "").otherwise("no call").alias("errors"), "copies",
                        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"}).alias("json"))
-    return done.unionByName(lost)
+    return done.unionByName(rest)
 
 
-def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of a conversation table (conv_id, turn, role, text).
+def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and other messages of a conversation table (conv_id, turn, role, text).
 
     A user's message calls the tool ``reply`` with its turn and text; the assistant's message of the next
-    turn is the result. A call rests on the call whose result it follows, two turns before. Repeated
-    messages of a turn are one with ``copies``; of different texts the smallest counts. System messages
-    and other roles, and a NULL role, are neither."""
+    turn is the result. A call rests on the call whose result it follows, two turns before. Equal
+    messages of a turn are one with ``copies``; different texts of a turn are calls, or results, of their own
+    under one identifier. System messages and all other roles, a NULL role too, are messages."""
     m = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
                              F.col("text").cast("string").alias("text"))
-    m = m.where("role IN ('user', 'assistant')").groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    m = m.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
     name = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
     arguments = F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"})
     calls = m.where("role = 'user'").select(name(0).alias("call_id"), name(2).alias("parent_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), "copies")
     results = m.where("role = 'assistant'").select(name(1).alias("call_id"), F.col("text").alias("content"), "copies")
+    body = F.to_json(F.struct("conv_id", "role", "text", "turn"), {"ignoreNullFields": "false"})
+    others = m.where("role IS NULL OR role NOT IN ('user', 'assistant')").select(name(0).alias("call_id"), body.alias("json"), "copies")
     # a call rests on an earlier one only if that one was answered
     answered = results.select(F.col("call_id").alias("parent_id"), F.lit(True).alias("answered")).where("parent_id IS NOT NULL").distinct()
     calls = calls.join(answered, "parent_id", "left").withColumn("parent_id", F.when(F.col("answered"), F.col("parent_id"))).drop("answered")
-    return calls, results
+    return calls, results, others
 
 
 def chats(conversations: DataFrame) -> DataFrame:
-    """``link`` over ``messages``: NULL texts are missing arguments, a NULL conv_id or turn links with nothing; no rows give no rows."""
-    return link(*messages(conversations))
+    """``link`` over ``messages``, and the other messages as rows of kind ``message``: every message is in some row.
+
+    NULL texts are missing arguments, a NULL conv_id or turn links with nothing; no rows give no rows."""
+    calls, results, others = messages(conversations)
+    linked = link(calls, results)
+    plain = others.select("call_id", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("int").alias("level"),
+                          F.lit(False).alias("linked"), F.lit("").alias("errors"), "copies", "json")
+    return linked.unionByName(plain)
 
 
-ORACLE = """WITH RECURSIVE m AS (SELECT conv_id, turn, role, min(text) AS text, count(*) AS copies FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL),
+ORACLE = """WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, count(*) AS copies FROM conversations GROUP BY ALL),
     c AS (SELECT conv_id || '-' || turn AS call_id, conv_id || '-' || (turn - 2) AS before, text, turn, copies FROM m WHERE role = 'user'),
     r AS (SELECT conv_id || '-' || (turn - 1) AS call_id, text AS content, copies FROM m WHERE role = 'assistant'),
+    a AS (SELECT call_id, min(content) AS content FROM r WHERE call_id IS NOT NULL GROUP BY 1),
     p AS (SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.call_id = c.before) THEN before END AS parent_id FROM c),
-    lv AS (SELECT call_id, 0 AS level FROM p WHERE parent_id IS NULL OR parent_id NOT IN (SELECT call_id FROM p WHERE call_id IS NOT NULL)
-           UNION ALL SELECT p.call_id, lv.level + 1 FROM p JOIN lv ON p.parent_id = lv.call_id)
-    SELECT p.call_id, 'call' AS kind, p.parent_id, lv.level::INT AS level, r.call_id IS NOT NULL AS linked, CASE WHEN p.text IS NULL THEN 'missing:text' ELSE '' END AS errors, p.copies,
-        '{"arguments":{"text":' || to_json(p.text) || ',"turn":' || p.turn || '},"id":' || to_json(p.call_id) || ',"level":' || lv.level || ',"name":"reply","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
-    FROM p JOIN lv ON p.call_id = lv.call_id LEFT JOIN r ON r.call_id = p.call_id
-    UNION ALL SELECT r.call_id, 'result', NULL, NULL, false, 'no call', r.copies, '{"id":' || to_json(r.call_id) || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}'
-    FROM r WHERE r.call_id NOT IN (SELECT call_id FROM c)"""
+    d AS (SELECT DISTINCT call_id, parent_id FROM p),
+    lv AS (SELECT call_id, 0 AS level FROM d WHERE parent_id IS NULL OR parent_id NOT IN (SELECT call_id FROM p WHERE call_id IS NOT NULL)
+           UNION ALL SELECT d.call_id, lv.level + 1 FROM d JOIN lv ON d.parent_id = lv.call_id)
+    SELECT p.call_id, 'call' AS kind, p.parent_id, lv.level::INT AS level, a.call_id IS NOT NULL AS linked, CASE WHEN p.text IS NULL THEN 'missing:text' ELSE '' END AS errors, p.copies,
+        '{"arguments":{"text":' || coalesce(to_json(p.text)::VARCHAR, 'null') || ',"turn":' || p.turn || '},"id":' || to_json(p.call_id) || ',"level":' || lv.level || ',"name":"reply","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' AS json
+    FROM p JOIN lv ON p.call_id = lv.call_id LEFT JOIN a ON a.call_id = p.call_id
+    UNION ALL SELECT r.call_id, CASE WHEN c.call_id IS NULL THEN 'result' ELSE 'further result' END, NULL, NULL, c.call_id IS NOT NULL, CASE WHEN c.call_id IS NULL THEN 'no call' ELSE '' END, r.copies,
+        '{"id":' || to_json(r.call_id) || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}'
+    FROM r LEFT JOIN (SELECT DISTINCT call_id FROM c) c ON c.call_id = r.call_id LEFT JOIN a ON a.call_id = r.call_id WHERE c.call_id IS NULL OR r.content IS DISTINCT FROM a.content
+    UNION ALL SELECT conv_id || '-' || turn, 'message', NULL, NULL, false, '', copies,
+        '{"conv_id":' || coalesce(conv_id::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || coalesce(turn::VARCHAR, 'null') || '}'
+    FROM m WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""

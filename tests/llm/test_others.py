@@ -193,10 +193,30 @@ def test_conversations_odd(spark):
                                 (3, None, "assistant", "y", 1), (4, 0, None, "z", 1), (5, 0, "system", "s", 1)], "conv_id long, turn long, role string, text string, level int")
     got = {(r.kind, r.call_id): r for r in toolcalls.chats(df).collect()}
     assert got["call", "1-0"].copies == 2 and got["call", "1-0"].linked and got["call", "1-2"].level == 1 and got["call", "1-2"].errors == "missing:text"
-    assert set(got) == {("call", "1-0"), ("call", "1-2"), ("result", "2-0"), ("call", None), ("result", None)}
+    assert set(got) == {("call", "1-0"), ("call", "1-2"), ("result", "2-0"), ("call", None), ("result", None), ("message", "4-0"), ("message", "5-0")}
+    assert json.loads(got["message", "4-0"].json) == {"conv_id": 4, "role": None, "text": "z", "turn": 0}
+    assert got["message", "5-0"].json == '{"conv_id":5,"role":"system","text":"s","turn":0}'
     assert toolcalls.chats(empty(df)).count() == 0
 
 
+def test_every_message_is_in_some_row(spark):
+    """Differing texts of a turn, further results and other roles, against the reference SQL and counted by hand."""
+    table = [(1, 0, "user", "hi"), (1, 0, "user", "ho"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", None), (1, 1, "tool", "t"), (1, 2, "user", "on"),
+             (1, 3, "assistant", None), (2, 1, "assistant", "x"), (2, 1, "assistant", "y"), (2, 0, "system", "be \"kind\"\n"), (2, 0, "system", "be \"kind\"\n"), (2, 0, None, None), (3, 0, "user", "é")]
+    df = spark.createDataFrame(table, "conv_id long, turn long, role string, text string")
+    got = toolcalls.chats(df).toPandas()
+    assert got.copies.sum() == len(table) - 2                       # the results "a" and NULL stand in their calls' rows
+    of = lambda kind, call: sorted((json.loads(j).get("result", json.loads(j).get("text")) for j in got[(got.kind == kind) & (got.call_id == call)].json), key=str)
+    assert of("further result", "1-0") == [None, "b"] and of("result", "2-0") == ["x", "y"] and of("message", "1-1") == ["t"]
+    assert sorted((json.loads(r.json)["arguments"]["text"], r.copies) for r in got[got.call_id == "1-0"].itertuples() if r.kind == "call") == [("hi", 2), ("ho", 1)]
+    assert {r.level for r in got[(got.kind == "call") & (got.call_id == "1-2")].itertuples()} == {1}
+    con = duckdb.connect()
+    conversations = df.toPandas().astype({"conv_id": "int64", "turn": "int64"})  # noqa: F841
+    con.register("conversations", conversations)
+    want = con.sql(toolcalls.ORACLE).df()
+    assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 def test_pipeline_keeps_one_of_each_group_and_all_that_is_clean(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
