@@ -56,12 +56,18 @@ SENT_ROWS = 400_000      # row names (16 bytes) are broadcast up to this many, b
 def named_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with a name for every row that is the same on every read: its file's hash and its place there.
 
-    A table that does not come from files is written to the shared folder first."""
-    name = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias(RID)
+    A table that does not come from files is written to the shared folder first. A column of the table's own
+    called ``_metadata`` stays as it is."""
+
+    def name(d: DataFrame) -> Column:
+        file = d.metadataColumn("_metadata")
+        return F.struct(F.xxhash64(file["file_path"]).alias("f"), file["row_index"].alias("r")).alias(RID)
+
     try:
-        return docs.select("*", name)
+        return docs.select("*", name(docs))
     except AnalysisException:
-        return settle(docs, "docs").select("*", name)
+        kept = settle(docs, "docs")
+        return kept.select("*", name(kept))
 
 
 def by_names(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:

@@ -25,6 +25,8 @@ from pitpanel.llm.common import crc, settle, text_batches
 DIMS = 1 << 13
 SAMPLE = 400        # training documents per language that the centroids are fitted on
 CLUSTERS = 4
+STARTS = 4          # random starts of the clustering
+LEAST = 0.05        # the smallest share of a language's sample that a centroid stands for
 LANGUAGES = 10_000  # languages whose counts are broadcast, at most; with more they are joined by shuffle
 UNKNOWN = "und"
 PASSAGES = 2        # passages of each length out of a training document that limits are set from
@@ -138,34 +140,45 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     return np.array([found.get(i, 0) for i in range(DIMS)], float), found.get(-1, 0)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Spherical k-means with farthest-point starts."""
-    at = [int((x @ x.mean(0)).argmax())]
-    for _ in range(min(k, len(x)) - 1):
-        at.append(int((x @ x[at].T).max(1).argmin()))
-    c = x[at]
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        c = np.stack([x[near == j].sum(0) if (near == j).any() else c[j] for j in range(len(c))])
-        c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+def cluster(x: np.ndarray, k: int, rounds: int = 15, starts: int = STARTS, least: float = LEAST) -> np.ndarray:
+    """Spherical k-means from seeded random rows, the start with the largest summed cosine.
+
+    A cluster under ``least`` of the rows is started anew from a random row of the largest one while rounds are
+    left, and given up at the end: every centroid returned is nearest to at least that share of the rows."""
+    rng, best, kept = np.random.default_rng(11), -np.inf, None
+    few = least * len(x)
+    for _ in range(starts):
+        c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+        for turn in range(rounds):
+            near = (x @ c.T).argmax(1)
+            size = np.bincount(near, minlength=len(c))
+            crowd = np.flatnonzero(near == size.argmax())
+            fresh = lambda j: x[rng.choice(crowd)] if size[j] < few and turn < rounds - 3 else c[j]
+            c = np.stack([x[near == j].sum(0) if size[j] >= max(few, 1) else fresh(j) for j in range(len(c))])
+            c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        while (size := np.bincount((x @ c.T).argmax(1), minlength=len(c))).min() < few:
+            c = np.delete(c, size.argmin(), 0)
+        if (total := (x @ c.T).max(1).sum()) > best:
+            best, kept = total, c
+    return kept
 
 
 def _sample(train: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` documents per language, those of the smallest hash; each task sends no more than that on."""
+    """At most ``size`` different texts per language and task, those of the smallest hash; copies of a text are one."""
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, pd.DataFrame] = {}
         for batch in batches:
             for lang, part in batch.to_pandas().groupby("lang"):
-                kept[lang] = pd.concat([kept[lang], part] if lang in kept else [part]).nsmallest(size, "h")
+                both = pd.concat([kept[lang], part] if lang in kept else [part])
+                kept[lang] = both.drop_duplicates(["h", "text"]).nsmallest(size, "h")
         for part in kept.values():
             for start in range(0, len(part), 50):
                 yield pa.RecordBatch.from_pandas(part.iloc[start:start + 50], preserve_index=False)
 
-    n = settle(train.groupBy("lang").count(), "languages")
+    n = settle(train.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")), "languages")
     # a hash threshold per language first, so a task sends its share and not ``size`` documents
-    share = n.select("lang", F.least(F.lit(1.0), F.lit(1.5 * size) / F.col("count")).alias("p"))
+    share = n.select("lang", F.least(F.lit(1.0), F.lit(1.5 * size) / F.col("texts")).alias("p"))
     share = F.broadcast(share) if n.count() <= LANGUAGES else share
     near = train.join(share, "lang").where("(h + 0.5) / 4294967296 < p").select("lang", "h", "text")
     return near.mapInArrow(lowest, "lang string, h long, text string")
@@ -236,7 +249,10 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns."""
+    """The rows of ``docs`` that are not rejected, with all their columns, whatever their names.
+
+    A NULL text, a text without a letter, and every row where nothing was learned are rejected; a NULL doc_id or
+    lang rejects nothing. Repeated rows stay repeated; no rows give no rows."""
     model = fit(docs.where(~held_out(doc_id)), text=text, lang=lang)
     sent = docs.sparkSession.sparkContext.broadcast(astuple(model))
     names = docs.columns

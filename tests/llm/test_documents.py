@@ -129,6 +129,17 @@ def test_filter_has_no_false_negative_and_few_false_positives(n):
 
 # -- language ID --------------------------------------------------------------------------------
 
+def test_rows_are_named_beside_a_column_called_metadata(spark, tmp_path):
+    from pitpanel.llm.common import RID, by_names, named_rows
+
+    spark.range(20).selectExpr("id", "id * 2 AS _metadata").repartition(3).write.parquet(str(tmp_path / "t"))
+    for df in (spark.read.parquet(str(tmp_path / "t")), spark.range(20).selectExpr("id", "id * 2 AS _metadata"), spark.range(20).selectExpr("id", "named_struct('file_path', 'x', 'row_index', 1L) AS _metadata")):
+        named = named_rows(df)
+        assert named.select(RID).distinct().count() == 20
+        kept = by_names(named, named.where("id % 3 = 0").select(RID), "left_semi")
+        assert kept.columns == ["id", "_metadata"] and sorted(r.id for r in kept.collect()) == list(range(0, 20, 3))
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -138,6 +149,41 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got) and sum(r.rejected for r in got) / len(got) < 0.005
 
 
+def test_language_centroids_stand_for_shares():
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    middle = np.eye(4, 12)
+    x = unit(np.concatenate([middle[rng.integers(0, 4, 300)], np.eye(12)[8:]]) + 0.05 * rng.normal(size=(304, 12)))     # four topics, four outliers
+    c = langid.cluster(x, 4)
+    size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    assert len(c) == 4 and size.min() >= langid.LEAST * len(x) and ((c @ middle.T).max(1) > 0.98).all()
+    assert len(langid.cluster(x[:1], 4)) == 1 and 1 <= len(langid.cluster(np.repeat(x[:1], 9, 0), 4)) <= 4
+
+
+def test_language_score_by_hand(spark):
+    """Cosines from trigrams counted one by one in Python numbers."""
+    docs = spark.read.parquet(SMALL)
+    model = langid.fit(docs.where(~langid.held_out()))
+    got = {r.doc_id: r for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    for r in docs.where("length(text) < 3000").orderBy("doc_id").limit(25).collect():
+        words = re.findall(rb"[a-z\x80-\xff]+", r.text.lower().encode())
+        clean, tally = b" " + b" ".join(words) + b" ", collections.Counter()
+        for i in range(len(clean) - 2):
+            tally[((clean[i] * 65536 + clean[i + 1] * 256 + clean[i + 2]) * 2654435761 % 2**32) >> 19] += 1
+        weight = {d: (1 + math.log(n)) * float(model.idf[d]) for d, n in tally.items()}
+        norm = math.sqrt(sum(v * v for v in weight.values())) or 1.0
+        cosines = [sum(v * float(c[d]) for d, v in weight.items()) / norm for c in model.centroids]
+        if words:
+            assert got[r.doc_id].score == pytest.approx(max(cosines), abs=1e-5) and got[r.doc_id].lang_pred == model.langs[int(np.argmax(cosines))]
+
+
+def test_language_sample_counts_copies_once(spark):
+    base = spark.range(300).selectExpr("'en' AS lang", "crc32(concat('the text number ', id)) AS h", "concat('the text number ', id) AS text")
+    hot = base.orderBy("h").limit(1).crossJoin(spark.range(2000)).drop("id")
+    got = langid._sample(base.unionByName(hot).repartition(3), 50).toPandas()
+    assert got.text.nunique() >= 50 and set(base.orderBy("h").limit(50).toPandas().text) <= set(got.text)
+
+
 def test_language_rejects_what_is_far_and_handles_odd_rows(spark, docs):
     model = langid.fit(docs)
     df = spark.createDataFrame([(1, "Ελληνικά γράμματα και λέξεις εδώ"), (2, None), (3, "123 ..."), (4, "the of and with that which")], "doc_id long, text string")
