@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitpanel.functions.columns import ordered
+from pitpanel.functions.columns import ordered, ratio
 from pitpanel.functions.tails import p_normal_two
 from pitpanel.operators.calendar import Keys
 from pitpanel.operators.features import lag_matrix
 from pitpanel.operators.forecast import targets
-from pitpanel.operators.regression import contributions, ols, ols_hac, with_residuals
+from pitpanel.operators.regression import contributions, identified, ols, ols_hac, with_residuals
 
 
 def _coef(fit: DataFrame, by: Keys, at: int, name: str) -> DataFrame:
@@ -134,7 +134,8 @@ def error_correction(df: DataFrame, keys: Keys, time: str, level: str, gap: str,
                      lags: int, prob: str | None = None) -> DataFrame:
     """h-month change on the gap and the drivers' changes; adjustment speed and half-life.
 
-    With ``prob`` the gap is split by a state probability and both speeds are returned."""
+    With ``prob`` the gap is split by a state probability and both speeds are returned. The speed of
+    a state that has no weight in any row, or of a gap that is always zero, is NULL."""
     w = ordered(keys, time)
     d = df.withColumns({f"_d_{c}": F.col(c) - F.lag(c).over(w) for c in drivers})
     split = ["_calm", "_stress"] if prob else [gap]
@@ -143,8 +144,8 @@ def error_correction(df: DataFrame, keys: Keys, time: str, level: str, gap: str,
     xs = [*split, *[f"_d_{c}" for c in drivers]]
     t = targets(d, keys, time, level, xs, horizons)
     fit = ols_hac(t, [*keys, "h"], time, "y", xs, F.col("h"), max_lag=max(horizons))
-    half = lambda b: F.when((b < 0) & (b > -1), F.log(F.lit(0.5)) / F.log(1 + b))
-    b = F.col("beta")
+    half = lambda b: F.when((b < 0) & (b > -1), ratio(F.log(F.lit(0.5)), F.log(1 + b)))
+    b = [F.when(identified(i), F.col("beta")[i]) for i in range(3)]
     cols = [b[1].alias("speed"), F.col("t")[1].alias("speed_t"), half(b[1]).alias("half_life"), "r2"]
     if prob:
         cols += [b[2].alias("speed_stress"), F.col("t")[2].alias("speed_stress_t")]

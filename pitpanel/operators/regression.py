@@ -4,7 +4,8 @@ Spark sums the products of all columns per group (map-side combined, so a hot gr
 more than any other); only one small product matrix per group reaches a solver.
 Conventions: the constant comes first; HAC covariances use Bartlett weights over consecutive
 rows of the estimation sample and no small-sample factor; clustered covariances carry the
-G / (G - 1) x (n - 1) / (n - k) factor; both give normal p-values.
+G / (G - 1) x (n - 1) / (n - k) factor; both give normal p-values. A t is NULL where the standard
+error is zero, an r2 where y does not vary.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from pitpanel.functions.columns import ordered, whole
+from pitpanel.functions.columns import ordered, ratio, whole
 from pitpanel.functions.tails import p_chi2_upper, p_normal_two
 from pitpanel.operators.calendar import Keys
 
@@ -34,12 +35,14 @@ def _square(values: pd.Series) -> np.ndarray:
 
 def invert(a: np.ndarray) -> np.ndarray:
     """Inverse of a symmetric product matrix, solved in unit-diagonal scale; pseudo-inverse
-    where it is singular."""
+    where it is singular. A column that is zero in all rows has zeros here."""
     s = np.sqrt(np.diag(a))
-    s[s == 0] = 1.0
-    c = a / np.outer(s, s)
-    out = np.linalg.inv(c) if np.linalg.cond(c) < 1e13 else np.linalg.pinv(c)
-    return out / np.outer(s, s)
+    out, on = np.zeros(a.shape), np.flatnonzero(s)
+    if len(on):
+        s = np.outer(s[on], s[on])
+        c = a[np.ix_(on, on)] / s
+        out[np.ix_(on, on)] = (np.linalg.inv(c) if np.linalg.cond(c) < 1e13 else np.linalg.pinv(c)) / s
+    return out
 
 
 @F.pandas_udf(SOLUTION)
@@ -103,11 +106,11 @@ def ols(df: DataFrame, by: Keys, y: str, xs: Sequence[str], intercept: bool = Tr
     g = gram(df, by, y, xs, intercept).where(F.col("n") > k)
     d = g.withColumn("_s", solve_gram("gram")).select(*by, "n", "_sy", "_syy", F.lit(k).alias("k"), "_s.*")
     tss = F.col("_syy") - (F.col("_sy") * F.col("_sy") / F.col("n") if intercept else F.lit(0.0))
-    d = d.withColumn("r2", 1 - F.col("ssr") / tss)
+    d = d.withColumn("r2", 1 - ratio(F.col("ssr"), tss))
     s2 = F.col("ssr") / (F.col("n") - k)
     se = F.array(*[F.sqrt(s2 * F.col("inv")[i * k + i]) for i in range(k)])
     d = d.withColumn("se", se)
-    return d.withColumn("t", F.zip_with("beta", "se", lambda b, s: b / s)).drop("_sy", "_syy")
+    return d.withColumn("t", F.zip_with("beta", "se", ratio)).drop("_sy", "_syy")
 
 
 def fitted(xs: Sequence[str], intercept: bool = True, beta: str = "beta") -> Column:
@@ -142,9 +145,14 @@ def long_run_products(df: DataFrame, by: Keys, time: str, scores: Sequence[str],
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.array(*cells).alias("meat"), F.array(*[F.avg(s) for s in scores]).alias("mean_score"))
 
 
+def identified(i: int) -> Column:
+    """Whether regressor ``i`` of a fit is other than zero in some row; if not, its coefficient is unknown."""
+    return F.col("inv")[i * (F.size("beta") + 1)] != 0
+
+
 def _with_cov(fit: DataFrame, k: int) -> DataFrame:
     se = F.array(*[F.sqrt(F.col("cov")[i * k + i]) for i in range(k)])
-    return fit.withColumn("se", se).withColumn("t", F.zip_with("beta", "se", lambda b, s: b / s))
+    return fit.withColumn("se", se).withColumn("t", F.zip_with("beta", "se", ratio))
 
 
 def ols_hac(df: DataFrame, by: Keys, time: str, y: str, xs: Sequence[str], lags: Column | int, max_lag: int | None = None,
