@@ -186,8 +186,8 @@ def ols_clustered(df: DataFrame, by: Keys, cluster: str, y: str, xs: Sequence[st
 
 
 def terms(fit: DataFrame, by: Keys, names: Sequence[str], p_values: bool = True, keep: Sequence[str] = ("n", "r2")) -> DataFrame:
-    """One row per coefficient: by, term, coef, se, t, p."""
-    cells = F.array(*[F.struct(F.lit(n).alias("term"), F.col("beta")[i].alias("coef"), F.col("se")[i].alias("se"), F.col("t")[i].alias("t"))
+    """One row per coefficient: by, term, coef, se, t, p; NULL but for the term where its regressor is always zero."""
+    cells = F.array(*[F.struct(F.lit(n).alias("term"), *[F.when(identified(i), F.col(c)[i]).alias(a) for c, a in (("beta", "coef"), ("se", "se"), ("t", "t"))])
                       for i, n in enumerate(names)])
     d = fit.select(*by, *keep, F.inline(cells))
     return d.withColumn("p", p_normal_two("t")) if p_values else d
