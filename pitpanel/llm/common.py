@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -81,13 +83,41 @@ def crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1024         # whole texts that are sent to a Python worker at once, where the result does not depend on it
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Jobs run inside send Python workers at most ``rows`` rows at once; the session's own setting comes back after.
+
+    A batch is held by the executor and its worker, each with room to grow: 10,000 texts are some 100 MB a task."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system.
+
+    A Python worker lives on after its task: what one stage held at its peak would count in all later ones."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):          # glibc has it
+        trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches of at most ``rows`` rows with one column as UTF-8 bytes, NULL as empty."""
+    give_back()                          # what the worker's last task left
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
             texts = part.column(part.schema.get_field_index(column)).cast(pa.large_binary())
             yield part, [t or b"" for t in texts.to_pylist()]
+    give_back()
 
 
 def local_forest(schema: pa.Schema):

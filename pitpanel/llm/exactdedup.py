@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import attach, crc, settle, text_batches
+from pitpanel.llm.common import attach, crc, settle, short_batches, text_batches
 
 BUCKET_KEYS = 200_000       # digests per filter, as planned; a filter holds what its bucket holds
 BROADCAST_ROWS = 200_000    # digests with several rows are broadcast up to this many (32 bytes each), else shuffled
@@ -142,7 +142,8 @@ def duplicates(docs: DataFrame, snapshot: Column, doc_id: str = "doc_id", text:
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), snapshot.cast("int").alias("snapshot"), F.col(text).cast("string").alias("text"))
     named = docs.select(*[c.alias(n) for n, c in (("doc_id", F.col(doc_id).cast("long")), ("snapshot", snapshot.cast("int")), ("text", F.col(text).cast("string")))],
                         (F.monotonically_increasing_id() if rid is None else rid).alias("rid"))
-    rows = settle(digest_rows(named, "text", ["rid", "doc_id", "snapshot"], length=digest_bytes), "digests")
+    with short_batches(docs.sparkSession):
+        rows = settle(digest_rows(named, "text", ["rid", "doc_id", "snapshot"], length=digest_bytes), "digests")
     total = rows.count()
     wide = max(1, -(-total // bucket_keys))
     bucket = F.pmod(F.xxhash64("digest"), F.lit(wide))
@@ -158,8 +159,9 @@ def duplicates(docs: DataFrame, snapshot: Column, doc_id: str = "doc_id", text:
     some = several.count()
     side = F.broadcast(several) if some <= BROADCAST_ROWS else several
     bodies = digest_rows(ids, "text", ["doc_id"], body=True, length=digest_bytes).join(side, "digest", "left_semi")
-    classes = settle(bodies.groupBy("digest", "body").agg(F.count("*").alias("size"), F.max("doc_id").alias("keep_id"), F.first("sha256").alias("sha256"))
-                     .drop("body"), "classes")
+    with short_batches(docs.sparkSession):
+        classes = settle(bodies.groupBy("digest", "body").agg(F.count("*").alias("size"), F.max("doc_id").alias("keep_id"), F.first("sha256").alias("sha256"))
+                         .drop("body"), "classes")
     apart = classes.groupBy("digest").count().where("count > 1").select("digest")         # different texts, one digest
     one = classes.join(F.broadcast(apart) if digest_bytes < 32 else apart, "digest", "left_anti").drop("sha256")
     more = classes.join(apart, "digest").drop("digest")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import crc, settle, text_batches
+from pitpanel.llm.common import crc, settle, short_batches, text_batches
 
 DIMS = 1 << 13
 SAMPLE = 400        # training documents per language that the centroids are fitted on
@@ -135,7 +135,8 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([*range(DIMS), -1], pa.int32()), pa.array([*df.tolist(), n], pa.int64())], names=["dim", "n"])
 
-    got = train.select("text").mapInArrow(run, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()   # DIMS + 1 rows
+    with short_batches(train.sparkSession):
+        got = train.select("text").mapInArrow(run, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()   # DIMS + 1 rows
     found = {r.dim: r.n for r in got}
     return np.array([found.get(i, 0) for i in range(DIMS)], float), found.get(-1, 0)
 
@@ -201,7 +202,8 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, text:
         c, low = cluster(x, clusters), limits(base, texts, x, clusters)
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]] * len(c), "centroid": [v.tolist() for v in c], "low": [low.tolist()] * len(c)})
 
-    rows = _sample(train, sample).groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, low array<double>").collect()  # languages x clusters
+    with short_batches(train.sparkSession):
+        rows = _sample(train, sample).groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, low array<double>").collect()  # languages x clusters
     rows = sorted(rows, key=lambda r: (r.lang, r.centroid))
     return Model([r.lang for r in rows], idf, np.array([r.centroid for r in rows], np.float32).reshape(-1, DIMS), np.array([r.low for r in rows], float).reshape(-1, STEPS))
 

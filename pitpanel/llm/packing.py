@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import settle, text_batches
+from pitpanel.llm.common import settle, short_batches, text_batches
 
 CAPACITY = 4096
 GROUP = 4096          # pieces a group is planned for
@@ -281,7 +281,8 @@ def sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     A NULL or empty text is its end id alone. Repeated rows are documents of their own; a NULL doc_id
     stays NULL; no rows give no rows; other columns are ignored. Which pieces meet depends on their
     place in the input only."""
-    rows = settle(pieces(docs, path, doc_id, text, capacity).withColumn("doc_id", F.col("doc_id").cast("string")), "pieces")
+    with short_batches(docs.sparkSession):
+        rows = settle(pieces(docs, path, doc_id, text, capacity).withColumn("doc_id", F.col("doc_id").cast("string")), "pieces")
     left, total, done = rows, rows.count(), []
     slack = capacity // 512
     while True:

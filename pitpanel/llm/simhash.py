@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import attach, components, settle, text_batches
+from pitpanel.llm.common import attach, components, settle, short_batches, text_batches
 
 POSTING = 256
 SEED = 42
@@ -112,7 +112,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     NULL and empty texts, and texts without a word, have fingerprint zero and link like any other.
     Repeated rows stay repeated. A NULL doc_id is kept; it counts for component_id only where the
     component has no other. No rows give no rows. Other columns are ignored."""
-    rows = settle(fingerprints(docs, doc_id, text, words, rid), "fingerprints")
+    with short_batches(docs.sparkSession):
+        rows = settle(fingerprints(docs, doc_id, text, words, rid), "fingerprints")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "rid"))
     classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("first"), F.count("*").alias("n")), "fingerprint-classes")
     roots = components(links(classes.select("fp"), limit))

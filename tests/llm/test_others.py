@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from helpers import ODD, empty, odd, reach  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from pitpanel.llm import embeddings, html, queries, toolcalls  # noqa: E402
+from pitpanel.llm import common, embeddings, exactdedup, html, packing, queries, simhash, toolcalls  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -246,3 +246,30 @@ def test_pipeline_odd(spark, tmp_path):
     assert exact.count() == len({(r[1] or "").encode().lower() for r in ODD}) and exact.columns == df.columns
     empty(df).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_texts_reach_workers_in_short_batches(spark, monkeypatch):
+    own, seen = spark.conf.get(common.BATCH), {}
+    for m in (simhash, exactdedup, packing):
+        monkeypatch.setattr(m, "settle", lambda df, name, real=m.settle: (seen.setdefault(name, spark.conf.get(common.BATCH)), real(df, name))[1])
+    d = odd(spark)
+    simhash.near_duplicates(d)
+    exactdedup.duplicates(d, exactdedup.by_age())
+    packing.sequences(d, common.tokenizer_file("word_bpe_49k.json"))
+    assert [int(seen[n]) for n in ("fingerprints", "digests", "classes", "pieces")] == [common.TEXT_ROWS] * 4
+    assert spark.conf.get(common.BATCH) == own
+    with pytest.raises(KeyError), common.short_batches(spark, 7):
+        assert spark.conf.get(common.BATCH) == "7"
+        with common.short_batches(spark):                     # a smaller limit stays
+            assert spark.conf.get(common.BATCH) == "7"
+        raise KeyError
+    assert spark.conf.get(common.BATCH) == own
+
+
+def test_a_worker_gives_freed_memory_back():
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    blocks = [bytes(2000) for _ in range(100_000)]
+    pins = blocks[::100]                                      # spread over the heap, which so keeps its size
+    del blocks
+    before = resident()
+    assert list(common.text_batches(iter(()), "text")) == [] and before - resident() > 100e6 and len(pins) == 1000
